@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exactdedup, minhash, mixing, quality, tokencount
+from . import bpe, chat, embeddup, exactdedup, langid, minhash, mixing, quality, tokencount
 
 #: Shares of the mixture, relative to each other; sources not named have a weight of 1.
 WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
@@ -30,6 +30,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents, quality.train(documents, table(spark, sf_dir, "labels")))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddup.near_pairs(table(spark, sf_dir, "embeddings")).selectExpr("vec_a", "vec_b", "round(cosine, 6) AS cosine")
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exactdedup.exact_dedup(documents, copies_col="n_copies").select("doc_id", "n_copies")
@@ -39,12 +47,28 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return langid.identify(documents, *langid.train(documents))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality, op6_exact_dedup, op7_bpe, op10_minhash)
+    f.__name__: f
+    for f in (
+        op1_mixing,
+        op2_token_counts,
+        op3_quality,
+        op4_embedding_near_dedup,
+        op5_chat_formatting,
+        op6_exact_dedup,
+        op7_bpe,
+        op8_language_id,
+        op10_minhash,
+    )
 }
 
 _WEIGHT = "CASE source " + " ".join(f"WHEN '{s}' THEN CAST({w} AS DOUBLE)" for s, w in WEIGHTS.items()) + " ELSE CAST(1.0 AS DOUBLE) END"
@@ -64,4 +88,15 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, source, tokens, finish_time, served
         FROM s WHERE served <= (SELECT floor(sum(tokens) * {BUDGET_FRACTION}) FROM q)""",
     "op6_exact_dedup": "SELECT min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY text",
+    "op4_embedding_near_dedup": f"""
+        WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        p AS (
+            SELECT a.vec_id AS vec_a, b.vec_id AS vec_b,
+                   list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e)) / sqrt(list_inner_product(b.e, b.e)) AS cosine
+            FROM v a JOIN v b ON a.vec_id < b.vec_id)
+        SELECT vec_a, vec_b, round(least(cosine, 1.0), 6) AS cosine FROM p WHERE cosine >= {embeddup.COSINE}""",
+    "op5_chat_formatting": f"""
+        SELECT conv_id, count(*) AS n_messages,
+               string_agg('{chat.BEGIN}' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '{chat.END}' || chr(10), '' ORDER BY turn) AS rendered
+        FROM conversations GROUP BY conv_id""",
 }
