@@ -51,3 +51,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def content_key(text):
     """16 bytes that stand for a text in joins."""
     return F.unhex(F.md5(text))
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1 and so on: Arrow stages can't take names with dots."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])

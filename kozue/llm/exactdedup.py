@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import col, fresh
+from .common import numbered
 from .kernels import scatter, slices, text_buffers
 
 FIRST_BYTES = 64
@@ -82,10 +82,10 @@ def _keep_first(table: pa.Table, text: int, ident: int, copies: int) -> pa.Table
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", copies_col: str | None = None) -> DataFrame:
     """Rows of df whose text is the first of its kind; copies_col, if given, is added with the number of rows that share it."""
-    copies, size, head = fresh(df, "copies", "size", "head")
-    columns = df.columns
+    columns, ids = df.columns, [f"c{k}" for k in range(len(df.columns))]
     text, ident = columns.index(text_col), columns.index(id_col)
-    schema = StructType([*df.schema.fields, StructField(copies, LongType(), False)])
+    work = numbered(df)
+    schema = StructType([*work.schema.fields, StructField("copies", LongType(), False)])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, 32 << 20):
@@ -108,12 +108,14 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
         if held is not None:
             yield from held.select(range(len(columns) + 1)).to_batches()
 
-    marked = df.withColumn(copies, F.lit(1).cast("bigint")).mapInArrow(local, schema)
     digits = (
-        marked.withColumn(size, F.coalesce(F.octet_length(col(text_col)), -1 - F.pmod(F.hash(col(id_col)), F.lit(4096))).cast("bigint"))
+        work.withColumn("copies", F.lit(1).cast("bigint"))
+        .mapInArrow(local, schema)
+        .withColumn("size", F.coalesce(F.octet_length(ids[text]), -1 - F.pmod(F.hash(ids[ident]), F.lit(4096))).cast("bigint"))
         # Bytes, so that a character cut in two doesn't matter.
-        .withColumn(head, F.coalesce(F.substring(F.encode(col(text_col), "UTF-8"), 1, FIRST_BYTES), F.lit(b"")))
+        .withColumn("head", F.coalesce(F.substring(F.encode(F.col(ids[text]), "UTF-8"), 1, FIRST_BYTES), F.lit(b"")))
     )
-    out = digits.repartition(col(size), col(head)).sortWithinPartitions(col(size), col(head)).mapInArrow(grouped, schema)
-    kept = [col(c) for c in columns]
-    return out.select(*kept, col(copies).alias(copies_col)) if copies_col else out.select(*kept)
+    out = digits.repartition("size", "head").sortWithinPartitions("size", "head").mapInArrow(grouped, schema)
+    if copies_col is None:
+        return out.drop("copies").toDF(*columns)
+    return out.toDF(*columns, copies_col)

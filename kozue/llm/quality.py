@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, col
+from .common import checkpointed, col, numbered
 from .kernels import U64, Words, letter_table, slices, text_buffers, whitespace_table
 
 SAMPLE_ROWS = 20_000
@@ -316,4 +316,5 @@ def keep_good(df: DataFrame, model: Classifier, text_col: str = "text", least_qu
             q, t = score(batch.column(place), flags)
             yield batch.filter(pa.array((q >= least_quality) & (t < most_toxic)))
 
-    return df.mapInArrow(stage, df.schema)
+    work = numbered(df)
+    return work.mapInArrow(stage, work.schema).toDF(*df.columns)

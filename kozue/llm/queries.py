@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embeddup, exactdedup, langid, minhash, mixing, quality, tokencount
+from . import bpe, chat, embeddup, exactdedup, langid, minhash, mixing, quality, suffix, tokencount
 
 #: Shares of the mixture, relative to each other; sources not named have a weight of 1.
 WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
@@ -52,6 +52,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents, *langid.train(documents))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_exact_dedup,
         op7_bpe,
         op8_language_id,
+        op9_suffix_dedup,
         op10_minhash,
     )
 }
