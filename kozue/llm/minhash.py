@@ -5,7 +5,7 @@ pair are compared batch by batch. After n compared values of which m agree, the
 the pair is dropped as soon as the posterior probability of a similarity of at least the threshold falls under the miss
 probability. Survivors are verified exactly, by the Jaccard similarity of their shingle sets.
 
-Equal texts are one text throughout: copies are tied to the copy of the lowest id, and only that one is searched for.
+Equal texts are one text throughout.
 
 Cases: rows with a null text or id are in no pair (the filter keeps rows with a null text; of copies and of groups it keeps the
 row of the lowest id, null ids last); a text with no word is near its own copies only; a text of one or two words has itself as
@@ -174,57 +174,65 @@ def _exact(threshold: float, size: int):
     return stage
 
 
-def near_text_pairs(keyed: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, batch: int = BATCH, miss: float = MISS, size: int = SHINGLE) -> DataFrame:
-    """Pairs a < b of keys of distinct near texts with their exact similarity; keyed: key, text, one row or more for a text."""
+def near_texts(keyed: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, batch: int = BATCH, miss: float = MISS, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """Verified pairs (a, b, jaccard) of keys of distinct texts, and the components (node, root) that they make; keyed: key, text,
+    one row or more for a text.
+
+    A family of n near copies has n squared pairs, which groups don't need. First, each member of a band's bucket is compared with
+    the bucket's least one only, and of those that it may be near to, verified with one. What these pairs connect is contracted;
+    then every other pair of a bucket that still lies in two components is compared and verified. So no candidate that could
+    connect two groups is left out.
+    """
     signed = checkpointed(_signed(keyed, bands * rows, size).groupBy("key").agg(F.first("sig").alias("sig")))
-    crowded = (
+    bucket = Window.partitionBy("band")
+    crowded = checkpointed(
         _banded(signed, bands, rows)
         .select("key", F.explode("bands").alias("band"))
-        .groupBy("band")
-        .agg(F.collect_set("key").alias("keys"))
-        .filter("size(keys) > 1")
-    )
-    found = (
-        crowded.select("keys", F.explode("keys").alias("a"))
-        .select("a", F.explode(F.filter("keys", lambda k: k > F.col("a"))).alias("b"))
-        .distinct()
-    )
-    compared = (
-        found.join(signed.select(F.col("key").alias("a"), F.col("sig").alias("sa")), "a")
-        .join(signed.select(F.col("key").alias("b"), F.col("sig").alias("sb")), "b")
-        .select("a", "b", "sa", "sb")
-        .mapInArrow(_sequential(threshold, miss, batch), "a binary, b binary")
+        .withColumn("center", F.min("key").over(bucket))
+        .withColumn("n", F.count(F.lit(1)).over(bucket))
+        .filter("n > 1")
+        .select("key", "band", "center")
     )
-    survivors = checkpointed(compared)
-    involved = _small(survivors.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    texts = keyed.join(involved, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    pairs = (
-        survivors.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-        .join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
-        .select("a", "b", "ta", "tb")
-    )
-    return pairs.mapInArrow(_exact(threshold, size), "a binary, b binary, jaccard double")
-
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Pairs of ids: each copy with the first of its text (jaccard 1), and the firsts of near texts. Columns doc_a < doc_b, jaccard."""
-    named = df.select(col(id_col).alias("id"), col(text_col).alias("text")).filter("id is not null and text is not null")
-    keyed = named.select(content_key(F.col("text")).alias("key"), "id", "text")
-    firsts = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    copies = (
-        keyed.select("key", "id")
-        .join(firsts.filter("n > 1"), "key")
-        .filter("id > first")
-        .select(F.col("first").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    )
-    near = near_text_pairs(keyed.select("key", "text"), **options)
-    ids = firsts.select("key", "first")
-    near = (
-        near.join(ids.select(F.col("key").alias("a"), F.col("first").alias("fa")), "a")
-        .join(ids.select(F.col("key").alias("b"), F.col("first").alias("fb")), "b")
-        .select(F.least("fa", "fb").alias("doc_a"), F.greatest("fa", "fb").alias("doc_b"), "jaccard")
+    def maybe_near(pairs: DataFrame) -> DataFrame:
+        return (
+            pairs.join(signed.select(F.col("key").alias("a"), F.col("sig").alias("sa")), "a")
+            .join(signed.select(F.col("key").alias("b"), F.col("sig").alias("sb")), "b")
+            .select("a", "b", "sa", "sb")
+            .mapInArrow(_sequential(threshold, miss, batch), "a binary, b binary")
+        )
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        involved = _small(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+        texts = keyed.join(involved, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+        both = (
+            pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+            .join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
+            .select("a", "b", "ta", "tb")
+        )
+        return checkpointed(both.mapInArrow(_exact(threshold, size), "a binary, b binary, jaccard double"))
+
+    spokes = checkpointed(maybe_near(crowded.filter("key <> center").select(F.col("center").alias("a"), F.col("key").alias("b")).distinct()))
+    first = checkpointed(spokes.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    edges = verified(first)
+    roots = components(edges)
+
+    def rooted(pairs: DataFrame, key: str, root: str) -> DataFrame:
+        of = roots.select(F.col("node").alias(key), F.col("root").alias("of"))
+        return pairs.join(of, key, "left").withColumn(root, F.coalesce("of", key)).drop("of")
+
+    placed = rooted(crowded, "key", "root").withColumn("least", F.min("root").over(bucket)).withColumn("most", F.max("root").over(bucket))
+    mixed = placed.filter("least <> most")
+    others = (
+        mixed.select("band", "center", F.col("key").alias("a"), F.col("root").alias("ra"))
+        .join(mixed.select("band", F.col("key").alias("b"), F.col("root").alias("rb")), "band")
+        .filter("a < b and ra <> rb and a <> center")  # those of the center are among the spokes
+        .select("a", "b")
+        .distinct()
     )
-    return near.unionByName(copies)
+    apart = rooted(rooted(spokes.join(first, ["a", "b"], "left_anti"), "a", "ra"), "b", "rb").filter("ra <> rb").select("a", "b")
+    edges = edges.unionByName(verified(checkpointed(maybe_near(others).union(apart).distinct())))
+    return edges, components(edges)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -245,11 +253,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Members of groups of near or equal texts, each with its group's lowest id: doc_a, doc_b. A group is a connected component of
+    verified pairs."""
+    named = df.select(col(id_col).alias("id"), col(text_col).alias("text")).filter("id is not null and text is not null")
+    keyed = named.select(content_key(F.col("text")).alias("key"), "id", "text")
+    _, groups = near_texts(keyed.select("key", "text"), **options)
+    ids = keyed.select("key", "id").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    leaders = ids.groupBy("root").agg(F.min("id").alias("doc_a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return ids.join(leaders, "root").filter("id <> doc_a").select("doc_a", F.col("id").alias("doc_b")).distinct()
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of df, one for each group of near or equal texts: the one of the lowest id."""
     key, mark, several, rank = fresh(df, "key", "mark", "several", "rank")
     keyed = df.filter(col(text_col).isNotNull()).select(content_key(col(text_col)).alias("key"), col(text_col).alias("text"), col(id_col).alias("id"))
-    groups = components(checkpointed(near_text_pairs(keyed.select("key", "text"), **options)))
+    _, groups = near_texts(keyed.select("key", "text"), **options)
     rooted = groups.select(F.col("node").alias("key"), "root").union(groups.select("root", "root").distinct())
     # Narrow rows decide which text stays of each group, and which texts have copies; no text moves but that of copies.
     texts = keyed.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).join(rooted, "key", "left")

@@ -397,25 +397,35 @@ def test_minhash_recall_and_precision(spark, near):
         if t is not None and i is not None:
             ids.setdefault(t, i)
     sets = {i: shingles(t) for t, i in ids.items()}
-    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and len(sets[a] & sets[b]) >= minhash.THRESHOLD * len(sets[a] | sets[b])}
-    got = minhash.near_duplicates(df).collect()
-    firsts = {(r.doc_a, r.doc_b) for r in got if r.jaccard < 1 or r.doc_b in sets}
-    assert firsts <= want and len(firsts) >= 0.95 * len(want)
-    assert all(abs(r.jaccard - len(sets[r.doc_a] & sets[r.doc_b]) / len(sets[r.doc_a] | sets[r.doc_b])) < 1e-12 for r in got if r.doc_b in sets)
-    copies = {(ids[t], i) for i, t, _ in near if t is not None and i is not None and ids[t] != i}
-    assert {(r.doc_a, r.doc_b) for r in got} - firsts == copies
-    # One document of each group stays.
-    leader = {i: i for i in sets}
+    alike = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and len(sets[a] & sets[b]) >= minhash.THRESHOLD * len(sets[a] | sets[b])}
+    keyed = df.filter("text is not null").select(minhash.content_key(F.col("text")).alias("key"), "text")
+    edges, _ = minhash.near_texts(keyed)
+    key_ids = {hashlib.md5(t.encode()).digest(): i for t, i in ids.items()}
+    for r in edges.collect():
+        a, b = sorted((key_ids[bytes(r.a)], key_ids[bytes(r.b)]))
+        assert (a, b) in alike and abs(r.jaccard - len(sets[a] & sets[b]) / len(sets[a] | sets[b])) < 1e-12
+    got = [(r.doc_a, r.doc_b) for r in minhash.near_duplicates(df).collect()]
+    leader = {i: i for i, t, _ in near if i is not None and t is not None}
 
     def root(x):
         while leader[x] != x:
             x = leader[x]
         return x
 
-    for r in got:
-        if r.doc_b in sets:
-            a, b = sorted((root(r.doc_a), root(r.doc_b)))
-            leader[b] = a
+    def union(a, b):
+        a, b = sorted((root(a), root(b)))
+        leader[b] = a
+
+    for i, t, _ in near:
+        if t is not None and i is not None:
+            union(ids[t], i)
+    for a, b in alike:
+        union(a, b)
+    want = {(root(x), x) for x in leader if root(x) != x}
+    assert set(got) <= want and len(got) >= 0.97 * len(want) and len(got) == len(set(got))
+    leader = {i: i for i in leader}
+    for a, b in got:
+        union(a, b)
     kept = minhash.near_dedup(df)
     assert kept.columns == df.columns
     assert sorted(first(r.doc_id) for r in kept.collect()) == sorted([(False, i) for i in sets if root(i) == i] + [first(i) for i, t, _ in near if t is None])
