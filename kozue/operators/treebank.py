@@ -32,7 +32,7 @@ def mark_bunsetu_heads(head: list[int], dep: list[str], bi: list[str | None]) ->
         if label == "B" or start < 0:
             close()
             start = root = i
-        elif head[i] < start or i <= root < head[i] or dep[i].lower() == "root" or head[i] == i:
+        elif head[i] < start or i <= head[root] < head[i] or dep[i].lower() == "root" or head[i] == i:
             root = i
     close()
     return out

@@ -140,7 +140,7 @@ class Lattice:
             tokens.append({"orth": s, "ws": "", "lemma": (e and e.lemma) or s, "norm": (e and e.norm) or s, "tag": tag, "pos": "", "ent_iob": "O", "ent_type": "", "reading": (e and e.reading) or None, "inflection": (e and e.inflection) or None, "idx": i})
             a, b = (self.sub(e.a), self.sub(e.b)) if e else (None, None)
             subs.append({"a": a, "b": b} if a or b else None)
-        for t, then in zip(tokens, [*tokens[1:], None], strict=True):
+        for t, then in zip(tokens, [*tokens[1:], None], strict=False):
             t["pos"] = default_pos(t["orth"], t["tag"], then and then["tag"])[0]
         attach(tokens)
         return tokens, subs

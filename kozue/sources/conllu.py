@@ -67,7 +67,7 @@ def parse_block(block: str) -> dict | None:
         if found < 0 or surface[at:found].strip():
             return out | {"error": f"{t['orth']} isn't at {at} of the text"}
         t["idx"], at = found, found + len(t["orth"])
-    for t, then in zip(tokens, [*tokens[1:], None], strict=True):
+    for t, then in zip(tokens, [*tokens[1:], None], strict=False):
         end = t["idx"] + len(t["orth"])
         t["ws"] = surface[end : then["idx"]] if then else surface[end:]
     return out | {"text": surface, "tokens": tokens, "bi": bi, "ne": ne, "misc": miscs}

@@ -6,6 +6,7 @@ import sys
 from typing import TextIO
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 ORDER = ("file_no", "line_no", "sent_id")
 
@@ -13,7 +14,8 @@ ORDER = ("file_no", "line_no", "sent_id")
 def write_parts(out: DataFrame, path: str, order: tuple[str, ...] = ORDER) -> None:
     """Text files whose names sort as the lines do; the way to write much."""
     by = [c for c in order if c in out.columns]
-    out.repartitionByRange(*by).sortWithinPartitions(*by).select("out").write.option("lineSep", "").text(path)
+    ended = F.when(F.col("out").endswith("\n"), F.substring("out", 1, F.length("out") - 1)).otherwise(F.col("out"))
+    out.repartitionByRange(*by).sortWithinPartitions(*by).select(ended.alias("out")).write.text(path)
 
 
 def write_one(out: DataFrame, to: TextIO | None = None, json: bool = False, order: tuple[str, ...] = ORDER) -> int:
