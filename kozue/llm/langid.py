@@ -28,7 +28,7 @@ from .kernels import slices
 DIMENSIONS = 1024
 SAMPLE_ROWS = 4000
 #: Trigram vectors that a worker remembers; a bound on memory, not on what is counted.
-REMEMBERED = 60_000
+REMEMBERED = 40_000
 SPACE = 32
 
 
@@ -66,16 +66,16 @@ class Bundler:
 
     def __init__(self, dimensions: int = DIMENSIONS):
         self.dimensions = dimensions
-        self.codes, self.vectors = np.zeros(0, np.int64), np.zeros((0, dimensions), np.float32)
+        self.codes, self.vectors = np.zeros(0, np.int64), np.zeros((0, dimensions), np.int8)
 
     def _learn(self, codes: np.ndarray) -> None:
         new = np.setdiff1d(codes, self.codes, assume_unique=True)
         if len(new):
             if len(self.codes) + len(new) > REMEMBERED:
-                self.codes, self.vectors, new = np.zeros(0, np.int64), np.zeros((0, self.dimensions), np.float32), codes
+                self.codes, self.vectors, new = np.zeros(0, np.int64), np.zeros((0, self.dimensions), np.int8), codes
             codes = np.concatenate((self.codes, new))
             order = np.argsort(codes)
-            self.vectors = np.concatenate((self.vectors, trigram_vectors(new, self.dimensions).astype(np.float32)))[order]
+            self.vectors = np.concatenate((self.vectors, trigram_vectors(new, self.dimensions)))[order]
             self.codes = codes[order]
 
     def bundle(self, texts: list[str | None]) -> np.ndarray:
@@ -104,7 +104,7 @@ class Bundler:
             if len(mine):
                 counts = np.bincount(mine, minlength=n)
                 have = np.flatnonzero(counts)
-                out[k] = counts[have].astype(np.float32) @ vectors[place[have]]
+                out[k] = counts[have].astype(np.float32) @ vectors[place[have]].astype(np.float32)
         return out
 
 

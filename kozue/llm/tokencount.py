@@ -181,7 +181,7 @@ def piece_starts(points: np.ndarray, offsets: np.ndarray, chunk: int = CHUNK) ->
 class CountingAutomaton:
     """Deterministic transducer from the bytes of a piece to changes of its token count."""
 
-    def __init__(self, ranks: dict[bytes, int], states: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], states: int = 60_000):
         from .bpe import Encoder
 
         self.ranks, self.limit = ranks, states
@@ -239,7 +239,7 @@ class CountingAutomaton:
 @lru_cache(2)
 def _counter(path: str) -> Memo:
     automaton = CountingAutomaton(load_ranks(path))
-    return Memo(lambda piece: automaton.count(piece.encode()))
+    return Memo(lambda piece: automaton.count(piece.encode()), 100_000)
 
 
 def count_batch(texts: list[str | None], memo: Memo) -> np.ndarray:
