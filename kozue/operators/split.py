@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ARROW_TOKEN
+from .recognize import flatten
 from .tokens import joined
 
 MODES = ("A", "B", "C", None)
@@ -88,6 +91,90 @@ def split_sentence(tokens: list[dict], subs: list[dict | None] | None, mode: str
     return out
 
 
+def split_batch(tokens: pa.ListArray, subs: pa.ListArray, mode: str, pos_rule: PosRule = default_pos) -> pa.ListArray:
+    """split_sentence for all sentences of a batch at once; only the parts of speech of pieces are decided one by one."""
+    f = flatten(tokens)
+    n, head = len(f.head), f.head
+    lists = _aligned(tokens, subs, mode)
+    sizes = np.where(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)) > 0, np.asarray(pc.fill_null(pc.list_value_length(lists), 0)), 0)
+    has = sizes > 0
+    count = np.maximum(sizes, 1)
+    last = np.cumsum(count) - 1
+    first = last - count + 1
+    here = np.arange(n)
+    root = head == here
+    tight = f.is_in("dep", TIGHT) & ~root
+    anchor = np.where(tight, first, last)
+    old = np.repeat(here, count)
+    k = np.arange(len(old)) - first[old]
+    final = k == count[old] - 1
+    piece = has[old]
+    up = np.where(root, last, anchor[head] if n else here)[old]
+    new_head = np.where(piece & ~root[old] & ~tight[old] & ~final, last[old], up)
+    values = lists.flatten()
+    place = np.where(piece, np.cumsum(piece) - 1, 0)
+    mask = pa.array(piece)
+
+    def both(name: str, sub: str) -> pa.Array:
+        own = f.strings(name).take(pa.array(old))
+        return pc.if_else(mask, values.field(sub).take(pa.array(place)), own) if len(values) else own
+
+    surface, tag = both("orth", "surface"), both("tag", "tag")
+    fields = {name: f.strings(name).take(pa.array(old)) for name in f.columns}
+    if len(values):
+        empty = pa.scalar(None, pa.string())
+        reading = pc.replace_substring_regex(pc.fill_null(both("reading", "reading"), ""), "[=|]", "_")
+        reading = pc.if_else(mask, pc.if_else(pc.equal(reading, ""), empty, reading), fields["reading"])
+        inflection = both("inflection", "inf")
+        inflection = pc.if_else(mask, pc.if_else(pc.equal(pc.fill_null(inflection, ""), ""), empty, inflection), fields["inflection"])
+        dep_of = pa.array([DEP_BY_TAG.get(x, "compound") for x in tag.to_pylist()], pa.string())
+        later = pa.array(piece & (k > 0))
+        iob = pc.if_else(pc.and_(later, pc.equal(fields["ent_iob"], "B")), "I", fields["ent_iob"])
+        width = np.asarray(pc.fill_null(pc.utf8_length(surface), 0)).astype(np.int64)
+        before = np.cumsum(width) - width
+        shift = pa.array((before - before[first[old]]).astype(np.int32))
+        pos = fields["pos"].to_pylist()
+        surfaces, tags = surface.to_pylist(), tag.to_pylist()
+        own_tags = f.strings("tag").to_pylist()
+        ends = set(f.begin[1:].tolist())
+        for i in np.flatnonzero(has).tolist():
+            pending, a, b = None, int(first[i]), int(last[i])
+            for j in range(a, b + 1):
+                if pending:
+                    pos[j], pending = pending, None
+                else:
+                    following = tags[j + 1] if j < b else own_tags[i + 1] if i + 1 not in ends else None
+                    pos[j], pending = pos_rule(surfaces[j], tags[j], following)
+        fields |= {
+            "orth": surface,
+            "tag": tag,
+            "lemma": both("lemma", "lemma"),
+            "norm": both("norm", "norm"),
+            "reading": reading,
+            "inflection": inflection,
+            "ent_iob": iob,
+            "pos": pa.array(pos, pa.string()),
+            "ws": pc.if_else(pa.array(piece & ~final), "", fields["ws"]),
+            "dep": pc.if_else(pa.array(piece & ~final), dep_of, fields["dep"]),
+            "idx": pc.add(fields["idx"], shift),
+        }
+    begin = np.append(0, np.cumsum(count))[f.begin]
+    fields["head"] = pa.array((new_head - np.repeat(begin[:-1], np.diff(begin))).astype(np.int32))
+    struct = pa.StructArray.from_arrays([fields[x.name].cast(x.type) for x in ARROW_TOKEN], fields=list(ARROW_TOKEN))
+    return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), struct)
+
+
+def _aligned(tokens: pa.ListArray, subs: pa.ListArray, mode: str) -> pa.ListArray:
+    """The lists of a mode, one for each token; sentences without sub-tokens get nulls."""
+    if not subs.null_count and subs.offsets.equals(tokens.offsets):
+        flat = subs.flatten()
+        lists = flat.field(mode.lower())
+        return pc.if_else(flat.is_valid(), lists, pa.scalar(None, lists.type)) if flat.null_count else lists
+    kind = subs.type.value_type.field(mode.lower()).type
+    rows = [([(x or {}).get(mode.lower()) for x in s] if s else [None] * len(t)) for s, t in zip(subs.to_pylist(), tokens.to_pylist(), strict=True)]
+    return pa.array([x for r in rows for x in r], kind)
+
+
 def split_compounds(sentences: DataFrame, mode: str | None, pos_rule: PosRule = default_pos) -> DataFrame:
     """sentences with tokens split; `sub_tokens` is dropped where it has been used up, and kept for mode None."""
     check_mode(mode)
@@ -101,8 +188,7 @@ def split_compounds(sentences: DataFrame, mode: str | None, pos_rule: PosRule =
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [split_sentence(a, b, mode, pos_rule) for a, b in zip(batch.column(t).to_pylist(), batch.column(s).to_pylist(), strict=True)]
-            split = pa.array(rows, pa.list_(ARROW_TOKEN))
+            split = split_batch(batch.column(t), batch.column(s), mode, pos_rule)
             yield pa.RecordBatch.from_arrays([split if n == "tokens" else batch.column(names.index(n)) for n in rest], rest)
 
     return sentences.mapInArrow(stage, sentences.drop("sub_tokens").schema)

@@ -135,6 +135,28 @@ def test_split_is_that_of_single_splits():
         assert all(t["reading"] == "a_b_c" for t in got if t["orth"][0] != "w")
 
 
+def test_split_batches_are_split_sentences():
+    import pyarrow as pa
+
+    from kozue.plans.lattice import _subs_type
+    from kozue.schema import ARROW_TOKEN
+
+    rng = random.Random(1)
+    piece = lambda s: {"surface": s, "tag": rng.choice(["NOUN", "NUM", "名詞-普通名詞-サ変可能", "動詞-非自立可能"]), "inf": rng.choice(["", "x;y"]), "lemma": s, "reading": rng.choice(["", "a=b|c"]), "norm": s}
+    sents, subs = [], []
+    for _ in range(300):
+        n = rng.randint(0, 6)
+        root = rng.randrange(n) if n else 0
+        toks = [tok(rng.randrange(n) if i != root else i, rng.choice(["compound", "nmod", "punct", "ROOT"]), "NOUN", f"w{i}é", rng.choice("OBI"), "動詞-非自立可能") | {"ws": " "} for i in range(n)]
+        sents.append(toks)
+        subs.append(None if rng.random() < 0.1 else [{"a": [piece(f"{i}{c}") for c in "abc"[: rng.randint(1, 3)]], "b": None} if rng.random() < 0.5 else None for i in range(n)])
+    for some in (slice(None), [k for k in range(300) if subs[k] is not None]):
+        a = sents if isinstance(some, slice) else [sents[k] for k in some]
+        b = subs if isinstance(some, slice) else [subs[k] for k in some]
+        got = split.split_batch(pa.array(a, pa.list_(ARROW_TOKEN)), pa.array(b, pa.list_(_subs_type())), "A").to_pylist()
+        assert got == [split.split_sentence(x, y, "A") for x, y in zip(a, b, strict=True)]
+
+
 def test_split_modes(spark):
     lines = spark.createDataFrame([(1, 0, "機能性食品を食べた。")], "doc_id long, sent_id int, text string")
     analysed = lattice.annotate(lines)
