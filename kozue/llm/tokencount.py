@@ -179,67 +179,76 @@ def piece_starts(points: np.ndarray, offsets: np.ndarray, chunk: int = CHUNK) ->
 
 
 class CountingAutomaton:
-    """Deterministic transducer from the bytes of a piece to changes of its token count."""
+    """Deterministic transducer from the bytes of a piece to changes of its token count.
 
-    def __init__(self, ranks: dict[bytes, int], states: int = 60_000):
+    `states` bounds the memory of what has been determinised: beyond it, it starts anew and results stay the same. It should be
+    well above the states that the data keep coming back to, or they are made again and again.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], states: int = 300_000):
         from .bpe import Encoder
 
         self.ranks, self.limit = ranks, states
         self.merge = Encoder(ranks).merge
-        self.prefixes = {token[:k] for token in ranks for k in range(1, len(token))}
-        self.stable: dict[bytes, bool] = {}
+        self.prefixes = {part: part for token in ranks for part in (token[:k] for k in range(1, len(token)))}
+        self.tokens = {token: token for token in ranks}
         self.reset()
 
     def reset(self) -> None:
+        self.cuts: dict[tuple, tuple] = {}  # one object for equal cuts of all states
         self.ids: dict[tuple, int] = {}
         self.keys: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, int]]] = []
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.add(((b"", b"", 0),))
+        self.moves: dict[int, int] = {}  # (state, byte) to (next state, change + 2^15), each packed into an integer
+        self.pairs: dict[int, bool] = {}
+        self.add([(b"", b"", 0)])
 
-    def add(self, key: tuple) -> int:
+    def add(self, cuts: list[tuple]) -> int:
         """A state is a tuple of open cuts: the bytes since the cut, the last token before it, and tokens added since the cut."""
-        if key not in self.ids:
-            self.ids[key] = len(self.keys)
+        key = tuple(self.cuts.setdefault(c, c) for c in cuts)
+        state = self.ids.setdefault(key, len(self.keys))
+        if state == len(self.keys):
             self.keys.append(key)
-            self.moves.append({})
-        return self.ids[key]
+        return state
 
     def follows(self, left: bytes, token: bytes) -> bool:
         """Whether token can come right after left (none at a piece's start) in an encoding."""
-        pair = (left, token)
+        before, rank = self.ranks[left] if left else -1, self.ranks[token]
+        pair = (before + 1) << 24 | rank
         if (known := self.pairs.get(pair)) is None:
-            known = self.pairs[pair] = self.merge(left + token) == ([self.ranks[left]] if left else []) + [self.ranks[token]]
+            known = self.pairs[pair] = self.merge(left + token) == ([before] if left else []) + [rank]
         return known
 
-    def step(self, state: int, byte: int) -> tuple[int, int]:
+    def step(self, state: int, byte: int) -> int:
         key, b = self.keys[state], bytes((byte,))
         for since, left, added in key:  # longest first
-            token = since + b
-            if token in self.ranks and self.follows(left, token):
+            token = self.tokens.get(since + b)
+            if token is not None and self.follows(left, token):
                 break
         else:
             raise ValueError(f"the vocabulary lacks byte {byte}")
         change = 1 - added  # from the count now, over this cut, to one more than at the cut
-        cuts = [(since + b, before, n + change) for since, before, n in key if since + b in self.prefixes]
-        move = self.moves[state][byte] = self.add((*cuts, (b"", token, 0))), change
+        cuts = [(part, before, n + change) for since, before, n in key if (part := self.prefixes.get(since + b)) is not None]
+        move = self.moves[state << 8 | byte] = self.add([*cuts, (b"", token, 0)]) << 16 | change + 0x8000
         return move
 
     def count(self, piece: bytes) -> int:
         if len(self.keys) > self.limit or len(self.pairs) > 4 * self.limit:
             self.reset()
         state = total = 0
+        get = self.moves.get
         for byte in piece:
-            move = self.moves[state].get(byte) or self.step(state, byte)
-            state = move[0]
-            total += move[1]
+            move = get(state << 8 | byte)
+            if move is None:
+                move = self.step(state, byte)
+            state = move >> 16
+            total += (move & 0xFFFF) - 0x8000
         return total
 
 
 @lru_cache(2)
 def _counter(path: str) -> Memo:
     automaton = CountingAutomaton(load_ranks(path))
-    return Memo(lambda piece: automaton.count(piece.encode()), 100_000)
+    return Memo(lambda piece: automaton.count(piece.encode()), 150_000)
 
 
 def count_batch(texts: list[str | None], memo: Memo) -> np.ndarray:
