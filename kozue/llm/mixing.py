@@ -138,7 +138,8 @@ def mix(
     source_col: str = "source",
 ) -> DataFrame:
     """The served documents in global order of finish time: doc_id, source, tokens, finish_time, served (tokens so far)."""
-    served = _served(_queue(df, weights, default_weight, seed, id_col, text_col, source_col), budget, budget_fraction)
+    queue = checkpointed(_queue(df, weights, default_weight, seed, id_col, text_col, source_col))
+    served = _served(queue, budget, budget_fraction)
     served = served.repartitionByRange(*_order()).sortWithinPartitions(*_order())
     return served.select("doc_id", "source", "tokens", "finish_time", "served")
 
@@ -157,7 +158,8 @@ def mix_documents(
     """The whole rows of the served documents. What is served of a source begins its shuffled queue, so the place of its last
     document, a row a source, tells them from the others without moving any text."""
     source_name, cut_name = fresh(df, "source", "cut")
-    served = _served(_queue(df, weights, default_weight, seed, id_col, text_col, source_col), budget, budget_fraction)
+    queue = checkpointed(_queue(df, weights, default_weight, seed, id_col, text_col, source_col))
+    served = _served(queue, budget, budget_fraction)
     cuts = served.groupBy(F.col("source").alias(source_name)).agg(F.max(F.struct("shuffle_key", "doc_id", "tie")).alias(cut_name))
     cuts = checkpointed(cuts)
     if cuts.count() <= BROADCAST_SOURCES:
