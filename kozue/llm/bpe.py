@@ -27,7 +27,7 @@ from .kernels import scatter, slices
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces that a worker remembers in each of two generations; a bound on memory, not on what is encoded.
-MEMO = 250_000
+MEMO = 100_000
 
 
 def load_ranks(path: str = DEFAULT_RANKS) -> dict[bytes, int]:

@@ -88,12 +88,12 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     schema = StructType([*work.schema.fields, StructField("copies", LongType(), False)])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, 32 << 20):
+        for batch in slices(batches, text, 16 << 20):
             yield from _keep_first(pa.Table.from_batches([batch]), text, ident, len(columns)).to_batches()
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        for batch in slices(batches, text, 32 << 20):
+        for batch in slices(batches, text, 16 << 20):
             table = pa.Table.from_batches([batch])
             table = table if held is None else pa.concat_tables([held, table])
             # The first digits of the last row may go on in the next batch: its group is reduced and held.

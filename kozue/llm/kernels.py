@@ -13,7 +13,7 @@ _B_INV = pow(_B, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
 
 #: Bytes of text that an Arrow stage works on at once; bounds the memory of its arrays, not what it processes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def _random_bytes_table() -> np.ndarray:

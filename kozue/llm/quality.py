@@ -222,7 +222,7 @@ def _lexicon(sample: DataFrame, size: int) -> np.ndarray:
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 1 << BUCKET_BITS), np.int64)
         rows = np.zeros(2, np.int64)
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, 1 << 20):
             units, row = lexicon_units(*text_buffers(batch.column(0)))
             each = np.unique(row.astype(np.int64) << BUCKET_BITS | units)
             toxic = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int64)
@@ -268,7 +268,7 @@ def _fit_sample(sample: DataFrame, lexicon_size: int) -> Classifier:
     flags = Classifier(lexicon, None, None).flags()
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, 1 << 20):
             x = features(batch.column(0), flags)
             yield pa.RecordBatch.from_arrays([*map(pa.array, x.T), batch.column(1), batch.column(2)], [*FEATURES, "quality", "toxic"])
 
@@ -297,7 +297,7 @@ def classify(df: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = model.flags()
-        for batch in slices(batches, 1, 2 << 20):
+        for batch in slices(batches, 1, 1 << 20):
             q, t = score(batch.column(1), flags)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(q), pa.array(t), pa.array((q >= least_quality) & (t < most_toxic))], ["doc_id", "quality", "toxicity", "keep"])
 
@@ -312,7 +312,7 @@ def keep_good(df: DataFrame, model: Classifier, text_col: str = "text", least_qu
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = model.flags()
-        for batch in slices(batches, place, 2 << 20):
+        for batch in slices(batches, place, 1 << 20):
             q, t = score(batch.column(place), flags)
             yield batch.filter(pa.array((q >= least_quality) & (t < most_toxic)))
 
