@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,6 +76,17 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = SLICE_BYTE
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+    release()
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give memory that a finished task has freed back to the system: workers stay, and their executor's memory is shared."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
