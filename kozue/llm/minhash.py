@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, col, content_key, fresh
-from .kernels import U64, Words, mix, slices, text_buffers, whitespace_table, windows
+from .kernels import U64, Words, mix, release, slices, text_buffers, whitespace_table, windows
 
 SHINGLE = 3
 THRESHOLD = 0.45
@@ -118,19 +118,24 @@ def _signed(texts: DataFrame, n: int, size: int) -> DataFrame:
     return texts.mapInArrow(stage, "key binary, sig binary")
 
 
+def band_codes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The codes of each signature's bands."""
+    sig = sig.reshape(-1, rows, bands)
+    code = np.zeros((len(sig), bands), np.uint64) + mix(np.arange(1, bands + 1, dtype=np.uint64))
+    for r in range(rows):
+        code = mix(code * U64(31) + sig[:, r].astype(np.uint64) + U64(1))
+    return code
+
+
 def _banded(signed: DataFrame, bands: int, rows: int) -> DataFrame:
     """key and the codes of its bands."""
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            sig = np.frombuffer(text_buffers(batch.column(1))[0], np.uint32).reshape(n, rows, bands)
-            code = np.zeros((n, bands), np.uint64) + salt
-            for r in range(rows):
-                code = mix(code * U64(31) + sig[:, r].astype(np.uint64) + U64(1))
+            code = band_codes(np.frombuffer(text_buffers(batch.column(1))[0], np.uint32), bands, rows)
             codes = pa.ListArray.from_arrays(np.arange(0, n * bands + 1, bands, dtype=np.int32), pa.array(code.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), codes], ["key", "bands"])
 
@@ -157,17 +162,24 @@ def _sequential(threshold: float, miss: float, batch: int):
     return stage
 
 
+def _jaccards(va: np.ndarray, ba: np.ndarray, left: np.ndarray, vb: np.ndarray, bb: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Similarities of the left and right texts of two collections of shingle sets."""
+    out = np.zeros(len(left))
+    for k, (i, j) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+        a, b = va[ba[i] : ba[i + 1]], vb[bb[j] : bb[j + 1]]
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        out[k] = both / max(1, len(a) + len(b) - both)
+    return out
+
+
 def _exact(threshold: float, size: int):
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             for at in range(0, part.num_rows, 500):
                 some = part.slice(at, 500)
                 (va, ba), (vb, bb) = shingle_sets(some.column(2), size), shingle_sets(some.column(3), size)
-                out = np.zeros(some.num_rows)
-                for k in range(some.num_rows):
-                    a, b = va[ba[k] : ba[k + 1]], vb[bb[k] : bb[k + 1]]
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    out[k] = both / max(1, len(a) + len(b) - both)
+                every = np.arange(some.num_rows)
+                out = _jaccards(va, ba, every, vb, bb, every)
                 good = np.flatnonzero(out >= threshold)
                 yield pa.RecordBatch.from_arrays([*some.select([0, 1]).take(pa.array(good)).columns, pa.array(out[good])], ["a", "b", "jaccard"])
 
@@ -235,6 +247,91 @@ def near_texts(keyed: DataFrame, threshold: float = THRESHOLD, bands: int = BAND
     return edges, components(edges)
 
 
+#: Weight of a block of a component's texts: characters, and TEXT_WEIGHT for each text (250 short texts at most).
+BLOCK_WEIGHT, TEXT_WEIGHT = 4_000_000, 16_000
+#: Pairs of texts whose bands are compared at a time.
+PAIRS = 20_000
+
+
+def _within(threshold: float, bands: int, rows: int, batch: int, miss: float, size: int):
+    """Verified pairs of rows i, j, block, key, text, root, that come sorted by root, i, j: of block i with block j, and within a block
+    if i = j. A key's further rows are dropped."""
+
+    def pairs(group: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keys = group.column("key").to_pylist()
+        seen: dict[bytes, int] = {}
+        for k, key in enumerate(keys):
+            seen.setdefault(key, k)
+        group = group.take(pa.array(sorted(seen.values())))
+        keys = np.array(group.column("key").to_pylist(), object)
+        block, first, second = group.column("block").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        values, begins = shingle_sets(group.column("text"), size)
+        sig = signatures(values, begins, bands * rows)
+        codes = band_codes(sig, bands, rows)
+        if first == second:
+            left, right = np.triu_indices(len(keys), 1)
+        else:
+            left, right = (x.ravel() for x in np.meshgrid(np.flatnonzero(block == first), np.flatnonzero(block == second), indexing="ij"))
+        for at in range(0, len(left), PAIRS):
+            a, b = left[at : at + PAIRS], right[at : at + PAIRS]
+            found = np.flatnonzero((codes[a] == codes[b]).any(1))
+            a, b = a[found], b[found]
+            alive = sequential_survivors(sig[a], sig[b], threshold, miss, batch)
+            a, b = a[alive], b[alive]
+            out = _jaccards(values, begins, a, values, begins, b)
+            good = np.flatnonzero(out >= threshold)
+            a, b = keys[a[good]], keys[b[good]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).tolist(), pa.binary()), pa.array(np.maximum(a, b).tolist(), pa.binary()), pa.array(out[good])], ["a", "b", "jaccard"])
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for part in batches:
+            groups = list(zip(*(part.column(c).to_pylist() for c in ("root", "i", "j")), strict=True))
+            starts = [k for k in range(len(groups)) if not k or groups[k] != groups[k - 1]]
+            for at, to in zip(starts, [*starts[1:], len(groups)], strict=True):
+                if held and groups[at] != now:
+                    yield from pairs(pa.concat_batches(held))
+                    held = []
+                now = groups[at]
+                held.append(part.slice(at, to - at))
+        if held:
+            yield from pairs(pa.concat_batches(held))
+        release()
+
+    return stage
+
+
+def near_text_pairs(keyed: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, batch: int = BATCH, miss: float = MISS, size: int = SHINGLE) -> DataFrame:
+    """All verified candidates: pairs a < b of keys of distinct near texts, with their exact similarity; keyed: key, id, text.
+
+    Both texts of a verified pair are in one component, so within each component every two texts are looked at again: those that
+    agree in a band are compared batch by batch, survivors verified. A component's texts are cut into blocks and every two blocks
+    meet in a task; so a text moves once for each block of its component, not once for each of its pairs.
+    """
+    _, groups = near_texts(keyed.select("key", "text"), threshold, bands, rows, batch, miss, size)
+    rooted = checkpointed(groups.select(F.col("node").alias("key"), "root").union(groups.select("root", "root")).distinct())
+    of_root = Window.partitionBy("root")
+    weight = F.sum(F.col("length") + TEXT_WEIGHT).over(of_root.orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = (
+        keyed.select("key", "id", F.length("text").alias("length"))
+        .join(_small(rooted), "key")
+        .groupBy("key", "root")
+        .agg(F.min("id").alias("id"), F.first("length").alias("length"))
+        .withColumn("block", F.floor(weight / BLOCK_WEIGHT).cast("int"))
+        .withColumn("last", F.max("block").over(of_root))
+        .select("key", "id", "root", "block", "last")
+    )
+    meeting = (
+        keyed.join(_small(placed), ["key", "id"])
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+        .select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "text")
+    )
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = meeting.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return sorted_.mapInArrow(_within(threshold, bands, rows, batch, miss, size), "a binary, b binary, jaccard double")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root (the least node of its component), for the nodes of undirected edges. Alternates large-star and small-star steps
     until nothing changes; the number of rounds grows with the logarithm of the largest component."""
@@ -264,6 +361,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return ids.join(leaders, "root").filter("id <> doc_a").select("doc_a", F.col("id").alias("doc_b")).distinct()
 
 
+def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Pairs of ids: the firsts (lowest ids) of all near texts, with their exact similarity, and each copy with the first of its text
+    (jaccard 1). Columns doc_a < doc_b, jaccard."""
+    named = df.select(col(id_col).alias("id"), col(text_col).alias("text")).filter("id is not null and text is not null")
+    keyed = named.select(content_key(F.col("text")).alias("key"), "id", "text")
+    firsts = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    copies = keyed.select("key", "id").join(firsts.filter("n > 1"), "key").select(F.col("first").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    ids = firsts.select("key", "first")
+    near = (
+        near_text_pairs(keyed, **options)
+        .join(ids.select(F.col("key").alias("a"), F.col("first").alias("fa")), "a")
+        .join(ids.select(F.col("key").alias("b"), F.col("first").alias("fb")), "b")
+        .select(F.least("fa", "fb").alias("doc_a"), F.greatest("fa", "fb").alias("doc_b"), "jaccard")
+    )
+    # Only where an id names several texts has a pair of ids several similarities.
+    return near.unionByName(copies).filter("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of df, one for each group of near or equal texts: the one of the lowest id."""
     key, mark, several, rank = fresh(df, "key", "mark", "several", "rank")

@@ -390,6 +390,29 @@ def near(spark):
     return out + [(None, made[0], "x"), out[1]]
 
 
+@pytest.mark.parametrize("weight", [None, 3000])
+def test_minhash_query_returns_all_pairs(spark, near, tmp_path, monkeypatch, weight):
+    from kozue.llm.queries import QUERIES
+
+    if weight:  # families in many blocks
+        monkeypatch.setattr(minhash, "BLOCK_WEIGHT", weight)
+        monkeypatch.setattr(minhash, "TEXT_WEIGHT", 1000)
+    spark.createDataFrame(near, "doc_id long, text string, jaccard string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    ids = {}
+    for i, t, _ in near:
+        if t is not None and i is not None:
+            ids.setdefault(t, i)
+    sets = {i: shingles(t) for t, i in ids.items()}
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and len(sets[a] & sets[b]) >= minhash.THRESHOLD * len(sets[a] | sets[b])}
+    got = QUERIES["op10_minhash"](spark, str(tmp_path)).collect()
+    assert len(got) == len({(r.doc_a, r.doc_b) for r in got})
+    firsts = {(r.doc_a, r.doc_b) for r in got if r.doc_b in sets}
+    assert firsts <= want and len(firsts) >= 0.95 * len(want)
+    assert all(abs(r.jaccard - len(sets[r.doc_a] & sets[r.doc_b]) / len(sets[r.doc_a] | sets[r.doc_b])) < 1e-12 for r in got if r.doc_b in sets)
+    copies = {(ids[t], i) for i, t, _ in near if t is not None and i is not None and ids[t] != i}
+    assert {(r.doc_a, r.doc_b) for r in got} - firsts == copies and all(r.jaccard == 1 for r in got if r.doc_b not in sets)
+
+
 def test_minhash_recall_and_precision(spark, near):
     df = spark.createDataFrame(near, "doc_id long, text string, jaccard string").repartition(3)
     ids = {}
