@@ -45,6 +45,8 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("convert")
     c.add_argument("source", help="CoNLL-U files")
     c.add_argument("-n", "--per-paragraph", type=int, default=10)
+    c.add_argument("-e", "--extend-dep-labels", action="store_true", help="mark relations of bunsetu heads")
+    c.add_argument("-l", "--luw-ent", action="store_true", help="long units in place of entities")
     c.add_argument("-o", "--output-path", required=True)
     b = sub.add_parser("bench")
     b.add_argument("annotators", nargs="+")
@@ -93,7 +95,7 @@ def main(argv: Sequence[str] | None = None) -> int:
             print(row.line)
     elif args.command == "convert":
         spark = session(-1)
-        convert(conllu.read_conllu(spark, args.source).filter("error is null"), args.per_paragraph).select("json").write.text(args.output_path)
+        convert(conllu.read_conllu(spark, args.source).filter("error is null"), args.per_paragraph, args.extend_dep_labels, args.luw_ent).select("json").write.text(args.output_path)
     else:
         spark = session(-1)
         print(json.dumps(bench(spark, lines.read_stdin(spark), args.annotators, args.repeats)))
@@ -112,11 +114,12 @@ def evaluate_texts(reference: DataFrame, system: DataFrame) -> DataFrame:
     return evaluate.counts(g, s)
 
 
-def convert(sentences: DataFrame, per_paragraph: int) -> DataFrame:
-    """Gold JSON documents of parsed CoNLL-U sentences, one a file and `newdoc`."""
+def convert(sentences: DataFrame, per_paragraph: int, bunsetu_heads: bool = False, luw: bool = False) -> DataFrame:
+    """Gold JSON documents of parsed CoNLL-U sentences, one a file and `newdoc`. Sentences that aren't projective, have a circle or bad
+    labels are skipped."""
     from .operators import treebank
 
-    named = sentences.select(F.coalesce("newdoc", "src").alias("doc_id"), "sent_id", "text", formats.gold_tokens().alias("tokens"))
+    named = treebank.gold_ready(sentences, bunsetu_heads, luw).select(F.coalesce("newdoc", "src").alias("doc_id"), "sent_id", "text", formats.gold_tokens().alias("tokens"))
     return gold.to_gold(treebank.paragraphs(named, per_paragraph), ["doc_id"])
 
 

@@ -123,6 +123,48 @@ def projective(sentences: DataFrame, flag: str = "ok") -> DataFrame:
     return sentences.mapInArrow(stage, StructType([*sentences.schema.fields, StructField(flag, BooleanType())]))
 
 
+def gold_ready(sentences: DataFrame, bunsetu_heads: bool = False, luw: bool = False) -> DataFrame:
+    """Sentences as they go into gold JSON: without those whose tree has crossing arcs or a circle or whose labels are bad, with
+    BILUO labels of entities, or with luw of long units (all tokens must have one); with bunsetu_heads, the suffix on relations of
+    bunsetu heads (sentences in which a token has no bunsetu label are left out). sentences: those of CoNLL-U."""
+    from ..sources.conllu import misc_fields
+
+    names = sentences.columns
+    place, bi_place, misc_place = (names.index(n) for n in ("tokens", "bi", "misc"))
+
+    def ready(tokens: list[dict], bi: list[str | None], misc: list[str]) -> list[dict]:
+        fields = [misc_fields(m) for m in misc]
+        if luw:
+            labels = [f"{f['LUWBILabel']}-{f['LUWPOS']}" if "LUWBILabel" in f and "LUWPOS" in f else None for f in fields]
+            if any(x is not None and x[0] not in "BILU" for x in labels):
+                raise ValueError("a token outside of long units")
+        else:
+            labels = [f.get("ENE") or f.get("NE") for f in fields]
+        every = range(len(tokens))
+        spans = decode_labels(labels, list(every), [i + 1 for i in every], luw)
+        dep = mark_bunsetu_heads([t["head"] for t in tokens], [t["dep"] for t in tokens], bi) if bunsetu_heads else [t["dep"] for t in tokens]
+        out = [t | {"dep": d, "ent_iob": "O", "ent_type": ""} for t, d in zip(tokens, dep, strict=True)]
+        for a, b, name in spans:
+            for i in range(a, b):
+                out[i] |= {"ent_iob": "U" if b - a == 1 else "B" if i == a else "L" if i == b - 1 else "I", "ent_type": name}
+        return out
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, changed = [], []
+            for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in (place, bi_place, misc_place)), strict=True)):
+                try:
+                    changed.append(ready(*row))
+                    keep.append(k)
+                except ValueError:
+                    continue
+            columns = batch.take(pa.array(keep, pa.int64())).columns
+            columns[place] = pa.array(changed, batch.schema.field(place).type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return projective(sentences).filter("ok").drop("ok").mapInArrow(stage, sentences.schema)
+
+
 def biluo(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """Labels of tokens (sent, i, begin, end) by spans (sent, begin, end, label): sent, i, label. A token belongs to the span that it
     overlaps; if several, to the first."""

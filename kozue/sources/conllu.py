@@ -16,7 +16,7 @@ _ARROW = pa.schema([("src", pa.string()), ("sent_id", pa.string()), ("newdoc", p
 _TOKEN_ID = re.compile(r"[0-9]+")
 
 
-def _misc(field: str) -> dict[str, str]:
+def misc_fields(field: str) -> dict[str, str]:
     return dict(x.split("=", 1) if "=" in x else (x, "") for x in field.split("|")) if field != "_" else {}
 
 
@@ -41,7 +41,7 @@ def parse_block(block: str) -> dict | None:
                 continue  # ranges and empty nodes
             if int(f[0]) != len(tokens) + 1:
                 raise ValueError(f"token {f[0]} after {len(tokens)}")
-            m = _misc(f[9])
+            m = misc_fields(f[9])
             head = int(f[6]) - 1
             label = m.get("ENE") or m.get("NE") or "O"
             iob, _, kind = label.partition("-")

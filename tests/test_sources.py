@@ -170,3 +170,27 @@ def test_seed_covers_its_text(spark):
         assert sum(t.dep == "ROOT" for t in r.tokens) == 1
     assert seed.sentences_of(spark.createDataFrame([(1, None), (2, ""), (3, "\n \n a")], "doc_id long, text string")).select("doc_id", "sent_id").collect() == [(3, 2)]
     assert rows.select(F.lit(1)).count() == 5
+
+
+def test_convert_skips_and_marks(spark, tmp_path):
+    def block(name, *tokens):
+        rows = [f"{i + 1}\t{orth}\t{orth}\tN\tn\t_\t{head}\t{dep}\t_\tSpaceAfter=No|{misc}" for i, (orth, head, dep, misc) in enumerate(tokens)]
+        return "\n".join([f"# sent_id = {name}", f"# text = {''.join(t[0] for t in tokens)}", *rows]) + "\n\n"
+
+    b, i = "BunsetuBILabel=B|LUWBILabel=B|LUWPOS=x", "BunsetuBILabel=I|LUWBILabel=I|LUWPOS=x"
+    text = block("good", ("a", 3, "nmod", b + "|NE=B-P"), ("b", 1, "case", i + "|NE=I-P"), ("c", 0, "root", b + "|NE=B-Q"))
+    text += block("crossing", ("d", 3, "x", b), ("e", 4, "x", b), ("f", 0, "root", b), ("g", 3, "x", b))
+    text += block("circle", ("h", 2, "x", b), ("i", 1, "x", b), ("j", 0, "root", b))
+    text += block("badlabel", ("k", 0, "root", b + "|NE=I-P"))
+    text += block("nolabels", ("m", 0, "root", "A=1"))
+    (tmp_path / "t.conllu").write_text(text)
+    sents = conllu.read_conllu(spark, str(tmp_path / "t.conllu")).filter("error is null").coalesce(1).cache()
+
+    def tokens(*options):
+        (row,) = cli.convert(sents, 0, *options).collect()
+        return {t["orth"]: (t["dep"], t["ner"]) for p in json.loads(row.json)["paragraphs"] for s in p["sentences"] for t in s["tokens"]}
+
+    plain = {"a": ("nmod", "B-P"), "b": ("case", "L-P"), "c": ("root", "U-Q")}
+    assert tokens() == plain | {"m": ("root", "O")}
+    assert tokens(True) == plain | {"a": ("nmod_bunsetu", "B-P")}
+    assert tokens(False, True) == {"a": ("nmod", "B-x"), "b": ("case", "L-x"), "c": ("root", "U-x"), "k": ("root", "U-x")}
