@@ -19,13 +19,14 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col
 from .kernels import slices
 
 DIMENSIONS = 1024
+#: Labelled rows of each language that its prototype is made of, at most.
 SAMPLE_ROWS = 4000
 #: Trigram vectors that a worker remembers; a bound on memory, not on what is counted.
 REMEMBERED = 40_000
@@ -109,13 +110,31 @@ class Bundler:
 
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
-    """Languages and their prototypes, from at most sample_rows labelled rows (those of the lowest hash of id and label)."""
+    """Languages and their prototypes, from at most sample_rows labelled rows of each language (those of the lowest hash of id, label
+    and text)."""
     labelled = df.select(col(text_col).alias("text"), col(lang_col).alias("lang"), col(id_col).alias("id")).filter("text is not null and lang is not null")
-    # The hash of the rows to take is found among narrow rows first, so no text is sorted.
-    last = labelled.select(F.xxhash64("id", "lang").alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
-    if last is None:
+    labelled = labelled.withColumn("h", F.xxhash64("id", "lang", "text"))
+
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[str, np.ndarray] = {}
+        for batch in batches:
+            names = batch.column(0).dictionary_encode()
+            which, h = names.indices.to_numpy(), batch.column(1).to_numpy()
+            for k, lang in enumerate(names.dictionary.to_pylist()):
+                least[lang] = np.sort(np.concatenate((least.get(lang, np.zeros(0, np.int64)), h[which == k])))[:sample_rows]
+        for lang, h in least.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h)], ["lang", "h"])
+
+    # The hashes of the rows to take are found among narrow rows first, so few texts are sorted.
+    order = Window.partitionBy("lang").orderBy("h")
+    few = labelled.select("lang", "h").mapInArrow(lowest, "lang string, h bigint").withColumn("place", F.row_number().over(order))
+    lasts = few.filter(F.col("place") <= sample_rows).groupBy("lang").agg(F.max("h").alias("last")).collect()
+    if not lasts:
         return [], np.zeros((0, dimensions), np.float32)
-    sample = labelled.filter(F.xxhash64("id", "lang") <= last).select("text", "lang").limit(sample_rows)
+    last = F.broadcast(df.sparkSession.createDataFrame(lasts, "lang string, last bigint"))
+    # Equal rows have equal hashes; of these, no more than are left are taken.
+    taken = labelled.join(last, "lang").filter("h <= last").withColumn("place", F.row_number().over(order))
+    sample = taken.filter(F.col("place") <= sample_rows).select("text", "lang")
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

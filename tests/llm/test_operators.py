@@ -325,6 +325,14 @@ def test_language_id(spark):
     assert abs(found.score - cosine.max()) < 1e-4 and abs(found.lead - np.diff(np.sort(cosine))[-1]) < 1e-4
 
 
+def test_rare_language_has_a_prototype(spark):
+    made = [(i, "the thing there" if i != 77 else "ой где ты", "aa" if i != 77 else "bb") for i in range(400)] + [(5, "the thing there", "aa")] * 9
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string").repartition(3)
+    langs, prototypes = langid.train(df, sample_rows=3)
+    assert langs == ["aa", "bb"] and len(prototypes) == 2
+    assert langid.identify(df.filter("doc_id = 77"), langs, prototypes).first().language == "bb"
+
+
 def test_language_edges(docs, empty):
     model = langid.train(docs)
     got = langid.identify(docs, *model).collect()
