@@ -56,3 +56,13 @@ def content_key(text):
 def numbered(df: DataFrame) -> DataFrame:
     """df with columns c0, c1 and so on: Arrow stages can't take names with dots."""
     return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
+#: Rows of keys (some 16 bytes each) up to which a table of keys goes to all executors; beyond it, it is joined by key.
+BROADCAST_KEYS = 1_000_000
+
+
+def small(keys: DataFrame, limit: int | None = None) -> DataFrame:
+    """keys, once computed; to be broadcast if they are few."""
+    keys = checkpointed(keys)
+    return F.broadcast(keys) if keys.count() <= (BROADCAST_KEYS if limit is None else limit) else keys

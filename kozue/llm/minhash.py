@@ -7,10 +7,11 @@ probability. Survivors are verified exactly, by the Jaccard similarity of their
 
 Equal texts are one text throughout.
 
-Cases: rows with a null text or id are in no pair (the filter keeps rows with a null text; of copies and of groups it keeps the
-row of the lowest id, null ids last); a text with no word is near its own copies only; a text of one or two words has itself as
-its only shingle; repeated rows are copies; an id that several texts have names each of them; an empty table gives no rows.
-Other columns don't matter.
+Cases: a row with a null text is in no pair and a class of its own; a null id is in no pair, but its text counts in classes, which
+are named by their lowest id that isn't null (the filter keeps rows with a null text; of copies and of groups it keeps the row of
+the lowest id, null ids last); a text with no word is near its own copies only; a text of one or two words has itself as its only
+shingle; repeated rows are copies; an id that several texts have names each of them; an empty table gives no rows. Other columns
+don't matter.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, col, content_key, fresh
+from .common import checkpointed, col, content_key, fresh, small
+from .graph import components
 from .kernels import U64, Words, mix, release, slices, text_buffers, whitespace_table, windows
 
 SHINGLE = 3
@@ -142,16 +144,6 @@ def _banded(signed: DataFrame, bands: int, rows: int) -> DataFrame:
     return signed.mapInArrow(stage, "key binary, bands array<bigint>")
 
 
-#: Keys (16 bytes each) up to which a set of texts to look at goes to all executors; beyond it, the texts are joined by key.
-BROADCAST_KEYS = 1_000_000
-
-
-def _small(keys: DataFrame) -> DataFrame:
-    """keys, once computed; to be broadcast if they are few."""
-    keys = checkpointed(keys)
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-
-
 def _sequential(threshold: float, miss: float, batch: int):
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -196,15 +188,10 @@ def near_texts(keyed: DataFrame, threshold: float = THRESHOLD, bands: int = BAND
     connect two groups is left out.
     """
     signed = checkpointed(_signed(keyed, bands * rows, size).groupBy("key").agg(F.first("sig").alias("sig")))
-    bucket = Window.partitionBy("band")
-    crowded = checkpointed(
-        _banded(signed, bands, rows)
-        .select("key", F.explode("bands").alias("band"))
-        .withColumn("center", F.min("key").over(bucket))
-        .withColumn("n", F.count(F.lit(1)).over(bucket))
-        .filter("n > 1")
-        .select("key", "band", "center")
-    )
+    # Counts are aggregated before they move, so a crowded band is no single task's; joins by band are split where they are skewed.
+    banded = _banded(signed, bands, rows).select("key", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.min("key").alias("center"), F.max("key").alias("most")).filter("center <> most").select("band", "center")
+    crowded = checkpointed(banded.join(buckets, "band").select("key", "band", "center"))
 
     def maybe_near(pairs: DataFrame) -> DataFrame:
         return (
@@ -215,7 +202,7 @@ def near_texts(keyed: DataFrame, threshold: float = THRESHOLD, bands: int = BAND
         )
 
     def verified(pairs: DataFrame) -> DataFrame:
-        involved = _small(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+        involved = small(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
         texts = keyed.join(involved, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
         both = (
             pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
@@ -233,8 +220,9 @@ def near_texts(keyed: DataFrame, threshold: float = THRESHOLD, bands: int = BAND
         of = roots.select(F.col("node").alias(key), F.col("root").alias("of"))
         return pairs.join(of, key, "left").withColumn(root, F.coalesce("of", key)).drop("of")
 
-    placed = rooted(crowded, "key", "root").withColumn("least", F.min("root").over(bucket)).withColumn("most", F.max("root").over(bucket))
-    mixed = placed.filter("least <> most")
+    placed = rooted(crowded, "key", "root")
+    several = placed.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("band")
+    mixed = checkpointed(placed.join(several, "band"))
     others = (
         mixed.select("band", "center", F.col("key").alias("a"), F.col("root").alias("ra"))
         .join(mixed.select("band", F.col("key").alias("b"), F.col("root").alias("rb")), "band")
@@ -253,16 +241,11 @@ BLOCK_WEIGHT, TEXT_WEIGHT = 4_000_000, 16_000
 PAIRS = 20_000
 
 
-def _within(threshold: float, bands: int, rows: int, batch: int, miss: float, size: int):
+def _within(threshold: float, bands: int, rows: int, batch: int, miss: float, size: int, counted: bool):
     """Verified pairs of rows i, j, block, key, text, root, that come sorted by root, i, j: of block i with block j, and within a block
-    if i = j. A key's further rows are dropped."""
+    if i = j. If counted, keys and how many pairs they are in instead."""
 
     def pairs(group: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys = group.column("key").to_pylist()
-        seen: dict[bytes, int] = {}
-        for k, key in enumerate(keys):
-            seen.setdefault(key, k)
-        group = group.take(pa.array(sorted(seen.values())))
         keys = np.array(group.column("key").to_pylist(), object)
         block, first, second = group.column("block").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
         values, begins = shingle_sets(group.column("text"), size)
@@ -272,6 +255,7 @@ def _within(threshold: float, bands: int, rows: int, batch: int, miss: float, si
             left, right = np.triu_indices(len(keys), 1)
         else:
             left, right = (x.ravel() for x in np.meshgrid(np.flatnonzero(block == first), np.flatnonzero(block == second), indexing="ij"))
+        links = np.zeros(len(keys), np.int64)
         for at in range(0, len(left), PAIRS):
             a, b = left[at : at + PAIRS], right[at : at + PAIRS]
             found = np.flatnonzero((codes[a] == codes[b]).any(1))
@@ -280,8 +264,14 @@ def _within(threshold: float, bands: int, rows: int, batch: int, miss: float, si
             a, b = a[alive], b[alive]
             out = _jaccards(values, begins, a, values, begins, b)
             good = np.flatnonzero(out >= threshold)
+            if counted:
+                links += np.bincount(a[good], minlength=len(keys)) + np.bincount(b[good], minlength=len(keys))
+                continue
             a, b = keys[a[good]], keys[b[good]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).tolist(), pa.binary()), pa.array(np.maximum(a, b).tolist(), pa.binary()), pa.array(out[good])], ["a", "b", "jaccard"])
+        if counted:
+            some = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some].tolist(), pa.binary()), pa.array(links[some])], ["key", "n"])
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -302,52 +292,28 @@ def _within(threshold: float, bands: int, rows: int, batch: int, miss: float, si
     return stage
 
 
-def near_text_pairs(keyed: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, batch: int = BATCH, miss: float = MISS, size: int = SHINGLE) -> DataFrame:
-    """All verified candidates: pairs a < b of keys of distinct near texts, with their exact similarity; keyed: key, id, text.
+def _members(groups: DataFrame) -> DataFrame:
+    """key, root of all texts of components of two or more."""
+    return small(groups.select(F.col("node").alias("key"), "root").union(groups.select("root", "root")).distinct())
+
+
+def near_text_pairs(keyed: DataFrame, members: DataFrame, counted: bool = False, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, batch: int = BATCH, miss: float = MISS, size: int = SHINGLE) -> DataFrame:
+    """All verified candidates: pairs a < b of keys of distinct near texts, with their exact similarity (a, b, jaccard); if counted,
+    the number of such pairs by key (key, n). keyed: key, text; members: key, root.
 
     Both texts of a verified pair are in one component, so within each component every two texts are looked at again: those that
     agree in a band are compared batch by batch, survivors verified. A component's texts are cut into blocks and every two blocks
     meet in a task; so a text moves once for each block of its component, not once for each of its pairs.
     """
-    _, groups = near_texts(keyed.select("key", "text"), threshold, bands, rows, batch, miss, size)
-    rooted = checkpointed(groups.select(F.col("node").alias("key"), "root").union(groups.select("root", "root")).distinct())
-    of_root = Window.partitionBy("root")
-    weight = F.sum(F.col("length") + TEXT_WEIGHT).over(of_root.orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = (
-        keyed.select("key", "id", F.length("text").alias("length"))
-        .join(_small(rooted), "key")
-        .groupBy("key", "root")
-        .agg(F.min("id").alias("id"), F.first("length").alias("length"))
-        .withColumn("block", F.floor(weight / BLOCK_WEIGHT).cast("int"))
-        .withColumn("last", F.max("block").over(of_root))
-        .select("key", "id", "root", "block", "last")
-    )
-    meeting = (
-        keyed.join(_small(placed), ["key", "id"])
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-        .select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "text")
-    )
+    texts = keyed.join(members, "key").groupBy("key", "root").agg(F.first("text").alias("text"))
+    weights = keyed.select("key", F.length("text").alias("length")).join(members, "key").groupBy("key", "root").agg(F.max("length").alias("length"))
+    last = weights.groupBy("root").agg(F.floor(F.sum(F.col("length") + TEXT_WEIGHT) / BLOCK_WEIGHT).cast("int").alias("last"))
+    placed = texts.join(small(last), "root").withColumn("block", F.pmod(F.xxhash64("key"), F.col("last") + 1).cast("int"))
+    meeting = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "text")
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = meeting.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    return sorted_.mapInArrow(_within(threshold, bands, rows, batch, miss, size), "a binary, b binary, jaccard double")
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, root (the least node of its component), for the nodes of undirected edges. Alternates large-star and small-star steps
-    until nothing changes; the number of rounds grows with the logarithm of the largest component."""
-    now = checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
-    while True:
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u")
-        small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v")))
-        then = checkpointed(small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        changed = then.exceptAll(now).limit(1).count() or now.exceptAll(then).limit(1).count()
-        now = then
-        if not changed:
-            return now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+    found = sorted_.mapInArrow(_within(threshold, bands, rows, batch, miss, size, counted), "key binary, n bigint" if counted else "a binary, b binary, jaccard double")
+    return found.groupBy("key").agg(F.sum("n").alias("n")) if counted else found
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -363,14 +329,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Pairs of ids: the firsts (lowest ids) of all near texts, with their exact similarity, and each copy with the first of its text
-    (jaccard 1). Columns doc_a < doc_b, jaccard."""
+    (jaccard 1). Columns doc_a < doc_b, jaccard. A family of n texts that are all near each other has n squared / 2 of them."""
     named = df.select(col(id_col).alias("id"), col(text_col).alias("text")).filter("id is not null and text is not null")
     keyed = named.select(content_key(F.col("text")).alias("key"), "id", "text")
     firsts = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     copies = keyed.select("key", "id").join(firsts.filter("n > 1"), "key").select(F.col("first").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     ids = firsts.select("key", "first")
+    texts = keyed.select("key", "text")
     near = (
-        near_text_pairs(keyed, **options)
+        near_text_pairs(texts, _members(near_texts(texts, **options)[1]), **options)
         .join(ids.select(F.col("key").alias("a"), F.col("first").alias("fa")), "a")
         .join(ids.select(F.col("key").alias("b"), F.col("first").alias("fb")), "b")
         .select(F.least("fa", "fb").alias("doc_a"), F.greatest("fa", "fb").alias("doc_b"), "jaccard")
@@ -379,6 +346,23 @@ def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     return near.unionByName(copies).filter("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
+def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """A row for each row of df: doc_id; class_id, the lowest id of its connected component of near and equal texts; n_links, the
+    number of other texts that are verified to be near its own; n_copies, the rows that have its very text."""
+    named = df.select(col(id_col).alias("id"), col(text_col).alias("text"))
+    keyed = named.filter("text is not null").select(content_key(F.col("text")).alias("key"), "id", "text")
+    texts = keyed.select("key", "text")
+    members = _members(near_texts(texts, **options)[1])
+    links = near_text_pairs(texts, members, True, **options).withColumnRenamed("n", "n_links")
+    firsts = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n_copies")).join(members, "key", "left")
+    several = firsts.filter("root is not null")
+    classes = several.groupBy("root").agg(F.min("first").alias("class_id"))
+    found = several.join(classes, "root").join(links, "key", "left").select("key", "class_id", "n_links", "n_copies")
+    copies = firsts.filter("root is null and n_copies > 1").select("key", F.col("first").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), "n_copies")
+    of_text = named.select("id", content_key(F.col("text")).alias("key")).join(small(found.unionByName(copies)), "key", "left")
+    return of_text.select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of df, one for each group of near or equal texts: the one of the lowest id."""
     key, mark, several, rank = fresh(df, "key", "mark", "several", "rank")
@@ -393,7 +377,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         .filter("place > 1 or n > 1")
         .select(F.col("key").alias(mark), (F.col("place") == 1).alias(several))
     )
-    marked = df.withColumn(key, content_key(col(text_col))).join(_small(marks), F.col(key) == F.col(mark), "left")
+    marked = df.withColumn(key, content_key(col(text_col))).join(small(marks), F.col(key) == F.col(mark), "left")
     columns = [col(c) for c in df.columns]
     order = Window.partitionBy(F.col(key)).orderBy(col(id_col).asc_nulls_last())
     copies = marked.filter(F.col(several)).withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1)

@@ -31,7 +31,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddup.near_pairs(table(spark, sf_dir, "embeddings")).selectExpr("vec_a", "vec_b", "round(cosine, 6) AS cosine")
+    return embeddup.near_classes(table(spark, sf_dir, "embeddings"))
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_pairs(table(spark, sf_dir, "documents"))
+    return minhash.near_classes(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -94,12 +94,15 @@ ORACLES: dict[str, str] = {
         FROM s WHERE served <= (SELECT floor(sum(tokens) * {BUDGET_FRACTION}) FROM q)""",
     "op6_exact_dedup": "SELECT min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY text",
     "op4_embedding_near_dedup": f"""
-        WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-        p AS (
-            SELECT a.vec_id AS vec_a, b.vec_id AS vec_b,
-                   list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e)) / sqrt(list_inner_product(b.e, b.e)) AS cosine
-            FROM v a JOIN v b ON a.vec_id < b.vec_id)
-        SELECT vec_a, vec_b, round(least(cosine, 1.0), 6) AS cosine FROM p WHERE cosine >= {embeddup.COSINE}""",
+        WITH RECURSIVE v AS (SELECT vec_id, row_number() OVER () AS r, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        u AS MATERIALIZED (SELECT r, e, sqrt(list_inner_product(e, e)) AS norm FROM v),
+        p AS MATERIALIZED (
+            SELECT a.r AS x, b.r AS y FROM u a JOIN u b ON a.r <> b.r
+            WHERE list_inner_product(a.e, b.e) / a.norm / b.norm >= {embeddup.COSINE}),
+        w AS (SELECT r, vec_id AS low FROM v UNION SELECT p.y, w.low FROM w JOIN p ON p.x = w.r)
+        SELECT v.vec_id, c.class_id, coalesce(n, 0) AS n_links
+        FROM v JOIN (SELECT r, min(low) AS class_id FROM w GROUP BY r) c ON c.r = v.r
+        LEFT JOIN (SELECT x, count(*) AS n FROM p GROUP BY x) l ON l.x = v.r""",
     "op5_chat_formatting": f"""
         SELECT conv_id, count(*) AS n_messages,
                string_agg('{chat.BEGIN}' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '{chat.END}' || chr(10), '' ORDER BY turn) AS rendered

@@ -226,6 +226,45 @@ def test_embedding_pairs(spark, cell, block):
     assert embeddup.near_pairs(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("cell", "block"), [(2000, 4096), (20, 7)])
+def test_embedding_classes(spark, tmp_path, cell, block):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(50, 16))
+    chain = base[0] / np.linalg.norm(base[0]) + np.arange(12)[:, None] * 0.12 * base[1] / np.linalg.norm(base[1])  # ends are not near
+    v = np.concatenate((base, chain, base[:20] + 0.05 * rng.normal(size=(20, 16)), np.repeat(base[2:3] * 3, 40, 0), base[:5]))
+    made = [(i, x.tolist(), 7) for i, x in enumerate(v)] + [(3, v[3].tolist(), 0), (3, v[3].tolist(), 0)]
+    odd = [(900, None, 0), (901, [], 0), (902, [0.0] * 16, 0), (903, [1.0, 0.0], 0), (904, [2.0, 0.0], 0), (905, [float("nan")] * 16, 0), (906, [None] * 16, 0)]
+    df = spark.createDataFrame(made + odd + [(None, v[7].tolist(), 0)], "vec_id long, embedding array<double>, class_id int").repartition(3)
+    got = sorted((first(r.vec_id), r.class_id, r.n_links) for r in embeddup.near_classes(df, cell=cell, block=block).collect())
+    every = made + [(None, v[7].tolist(), 0)]
+    unit = np.array([m[1] for m in every])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    near = unit @ unit.T >= embeddup.COSINE - 1e-12
+    label = list(range(len(every)))
+    for _ in label:
+        label = [min(label[j] for j in np.flatnonzero(near[i])) for i in range(len(label))]
+    low = {g: min(every[i][0] for i in range(len(every)) if label[i] == g and every[i][0] is not None) for g in set(label)}
+    want = [(first(m[0]), low[label[i]], int(near[i].sum()) - 1) for i, m in enumerate(every)]
+    want += [(first(o[0]), 903 if o[0] == 904 else o[0], int(o[0] in (903, 904))) for o in odd]
+    assert got == sorted(want)
+    assert embeddup.near_classes(df.limit(0)).count() == 0
+
+
+def test_embedding_query_is_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from kozue.llm import queries
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(30, 64))
+    v = np.concatenate((base, base[:10] + 0.02 * rng.normal(size=(10, 64)), base[:4] + 0.1 * rng.normal(size=(4, 64)), base[:3]))
+    df = spark.createDataFrame([(100 - i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    df.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(map(tuple, queries.QUERIES["op4_embedding_near_dedup"](spark, str(tmp_path)).select("vec_id", "class_id", "n_links").collect()))
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(duckdb.sql(f"SELECT vec_id, class_id, n_links FROM ({queries.ORACLES['op4_embedding_near_dedup']})").fetchall())
+    assert got == want and sum(n > 0 for _, _, n in want) >= 20
+
+
 # 5
 
 
@@ -399,7 +438,7 @@ def near(spark):
 
 
 @pytest.mark.parametrize("weight", [None, 3000])
-def test_minhash_query_returns_all_pairs(spark, near, tmp_path, monkeypatch, weight):
+def test_minhash_pairs_and_classes(spark, near, tmp_path, monkeypatch, weight):
     from kozue.llm.queries import QUERIES
 
     if weight:  # families in many blocks
@@ -412,13 +451,32 @@ def test_minhash_query_returns_all_pairs(spark, near, tmp_path, monkeypatch, wei
             ids.setdefault(t, i)
     sets = {i: shingles(t) for t, i in ids.items()}
     want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and len(sets[a] & sets[b]) >= minhash.THRESHOLD * len(sets[a] | sets[b])}
-    got = QUERIES["op10_minhash"](spark, str(tmp_path)).collect()
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    got = minhash.near_pairs(docs).collect()
     assert len(got) == len({(r.doc_a, r.doc_b) for r in got})
     firsts = {(r.doc_a, r.doc_b) for r in got if r.doc_b in sets}
     assert firsts <= want and len(firsts) >= 0.95 * len(want)
     assert all(abs(r.jaccard - len(sets[r.doc_a] & sets[r.doc_b]) / len(sets[r.doc_a] | sets[r.doc_b])) < 1e-12 for r in got if r.doc_b in sets)
     copies = {(ids[t], i) for i, t, _ in near if t is not None and i is not None and ids[t] != i}
     assert {(r.doc_a, r.doc_b) for r in got} - firsts == copies and all(r.jaccard == 1 for r in got if r.doc_b not in sets)
+    # The registered query has a row for each row: the class, the links of its text, its copies.
+    text = {i: t for i, t, _ in near}
+    degree = collections.Counter(i for pair in firsts for i in pair)
+    label = {i: i for i in text if i is not None}
+    while True:
+        then = dict(label)
+        for a, b in firsts | copies:
+            then[a] = then[b] = min(then[a], then[b])
+        if then == label:
+            break
+        label = then
+    size = collections.Counter(t for _, t, _ in near if t is not None)
+    want = []
+    for i, t, _ in near:
+        named = i if i is not None else ids[t]
+        want.append((first(i), label[named], 0, 1) if t is None else (first(i), label[ids[t]], degree[ids[t]], size[t]))
+    rows = [(first(r.doc_id), r.class_id, r.n_links, r.n_copies) for r in QUERIES["op10_minhash"](spark, str(tmp_path)).collect()]
+    assert sorted(rows) == sorted(want)
 
 
 def test_minhash_recall_and_precision(spark, near):
@@ -463,10 +521,28 @@ def test_minhash_recall_and_precision(spark, near):
 
 
 def test_minhash_edges(empty, docs):
-    assert minhash.near_duplicates(empty).count() == minhash.near_dedup(empty).count() == 0
+    assert minhash.near_duplicates(empty).count() == minhash.near_dedup(empty).count() == minhash.near_classes(empty).count() == 0
     assert minhash.near_dedup(docs).columns == docs.columns
 
 
+def test_minhash_hot_family(spark, monkeypatch):
+    """Most rows are near copies and copies of one text, and share every band; beyond the broadcasts' limit too."""
+    rng = random.Random(1)
+    base = words(rng, 120).split()
+    made = []
+    for i in range(300):
+        w = list(base)
+        w[rng.randrange(120)] = f"x{i}"
+        made.append((i, " ".join(w)))
+    made += [(300 + i, " ".join(base)) for i in range(300)] + [(600 + i, words(rng, 60)) for i in range(50)]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    want = sorted([(i, 0, 300, 1) for i in range(300)] + [(300 + i, 0, 300, 300) for i in range(300)] + [(600 + i, 600 + i, 0, 1) for i in range(50)])
+    for limit in (10**6, 0):
+        monkeypatch.setattr("kozue.llm.common.BROADCAST_KEYS", limit)
+        assert sorted(map(tuple, minhash.near_classes(df).collect())) == want
+        assert minhash.near_dedup(df).count() == 51
+
+
 def test_least_agreements_is_the_posterior():
     rng = np.random.default_rng(0)
     s = rng.random(400_000)
