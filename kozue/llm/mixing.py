@@ -9,8 +9,8 @@ over the documents of a bucket. Documents that finish after the fluid limit of t
 the global range sort.
 
 Cases: a null text has 0 tokens; a null source is a source of its own, with the default weight; null ids come first in an
-equal shuffle; ties of finish time go by source, shuffle key, id and text; repeated rows are documents of their own; a
-weight of 0 or less leaves the source out; with no budget or an empty table nothing is served. Extra columns don't matter.
+equal shuffle; ties of finish time go by source, shuffle key, id and text; repeated rows are documents of their own, of which as
+many are kept as were served; tokens that are null or negative count as 0; a weight of 0 or less leaves the source out; with no budget or an empty table nothing is served. Extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, col, fresh
+from .common import checkpointed, col, fresh, small
 
 SEED = "mix-1"
 #: Hexadecimal digits of the shuffle key that make a bucket: 4096 buckets a source.
@@ -42,16 +42,20 @@ def weight_of(source: Column, weights: Mapping[str, float], default: float) -> C
     return F.coalesce(known[source], F.lit(float(default)))
 
 
-def _queue(df: DataFrame, weights: Mapping[str, float], default: float, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def _tie(text: Column, tokens_col: str | None) -> Column:
+    return (F.xxhash64(text, col(tokens_col)) if tokens_col else F.xxhash64(text)).alias("tie")
+
+
+def _queue(df: DataFrame, weights: Mapping[str, float], default: float, seed: str, id_col: str, text_col: str, source_col: str, tokens_col: str | None) -> DataFrame:
     """Narrow rows: what the order needs and no text."""
     text = col(text_col)
     return (
         df.select(
             col(id_col).alias("doc_id"),
             col(source_col).alias("source"),
-            token_estimate(text).alias("tokens"),
+            (F.greatest(F.coalesce(col(tokens_col), F.lit(0)), F.lit(0)).cast("bigint") if tokens_col else token_estimate(text)).alias("tokens"),
             F.md5(F.concat(F.lit(seed + ":"), F.coalesce(col(id_col).cast("string"), F.lit("")))).alias("shuffle_key"),
-            F.coalesce(F.xxhash64(text), F.lit(0)).alias("tie"),
+            _tie(text, tokens_col),
         )
         .withColumn("weight", weight_of(F.col("source"), weights, default))
         .filter("weight > 0")
@@ -59,7 +63,8 @@ def _queue(df: DataFrame, weights: Mapping[str, float], default: float, seed: st
 
 
 def finish_times(queue: DataFrame) -> DataFrame:
-    """queue with finish_time, from sums over buckets of the shuffle key and within them."""
+    """queue with finish_time, from sums over buckets of the shuffle key and within them, and nth, a row's number among those of its
+    place in the queue."""
     parts = queue.withColumn("bucket", F.substring("shuffle_key", 1, KEY_DIGITS))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -72,7 +77,9 @@ def finish_times(queue: DataFrame) -> DataFrame:
     joined = parts.join(o, parts["source"].eqNullSafe(o["o_source"]) & (parts["bucket"] == o["o_bucket"]))
     within = Window.partitionBy("source", "bucket").orderBy("shuffle_key", F.col("doc_id").asc_nulls_first(), "tie").rowsBetween(Window.unboundedPreceding, 0)
     queued = F.col("offset") + F.sum("tokens").over(within)
-    return joined.withColumn("queued", queued).withColumn("finish_time", F.col("queued") / F.col("weight")).drop("bucket", "offset", "o_source", "o_bucket")
+    # The window above sorts by these very columns, so this one needs no further sort.
+    nth = F.row_number().over(Window.partitionBy("source", "bucket", "shuffle_key", "doc_id", "tie").orderBy(F.lit(0)))
+    return joined.withColumn("nth", nth).withColumn("queued", queued).withColumn("finish_time", F.col("queued") / F.col("weight")).drop("bucket", "offset", "o_source", "o_bucket")
 
 
 def budget_of(queue: DataFrame, budget: int | None, fraction: float) -> tuple[int, float]:
@@ -136,9 +143,11 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    tokens_col: str | None = None,
 ) -> DataFrame:
-    """The served documents in global order of finish time: doc_id, source, tokens, finish_time, served (tokens so far)."""
-    queue = checkpointed(_queue(df, weights, default_weight, seed, id_col, text_col, source_col))
+    """The served documents in global order of finish time: doc_id, source, tokens, finish_time, served (tokens so far).
+    tokens_col: the column with the documents' token counts; without one, words between white space are counted."""
+    queue = checkpointed(_queue(df, weights, default_weight, seed, id_col, text_col, source_col, tokens_col))
     served = _served(queue, budget, budget_fraction)
     served = served.repartitionByRange(*_order()).sortWithinPartitions(*_order())
     return served.select("doc_id", "source", "tokens", "finish_time", "served")
@@ -154,20 +163,23 @@ def mix_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    tokens_col: str | None = None,
 ) -> DataFrame:
     """The whole rows of the served documents. What is served of a source begins its shuffled queue, so the place of its last
     document, a row a source, tells them from the others without moving any text."""
-    source_name, cut_name = fresh(df, "source", "cut")
-    queue = checkpointed(_queue(df, weights, default_weight, seed, id_col, text_col, source_col))
+    source_name, cut_name, nth_name = fresh(df, "source", "cut", "nth")
+    queue = checkpointed(_queue(df, weights, default_weight, seed, id_col, text_col, source_col, tokens_col))
     served = _served(queue, budget, budget_fraction)
-    cuts = served.groupBy(F.col("source").alias(source_name)).agg(F.max(F.struct("shuffle_key", "doc_id", "tie")).alias(cut_name))
-    cuts = checkpointed(cuts)
-    if cuts.count() <= BROADCAST_SOURCES:
-        cuts = F.broadcast(cuts)
+    cuts = served.groupBy(F.col("source").alias(source_name)).agg(F.max(F.struct("shuffle_key", "doc_id", "tie", "nth")).alias(cut_name))
+    cuts = small(cuts, BROADCAST_SOURCES)
     place = F.struct(
         F.md5(F.concat(F.lit(seed + ":"), F.coalesce(col(id_col).cast("string"), F.lit("")))).alias("shuffle_key"),
         col(id_col).alias("doc_id"),
-        F.coalesce(F.xxhash64(col(text_col)), F.lit(0)).alias("tie"),
+        _tie(col(text_col), tokens_col),
     )
     joined = df.join(cuts, col(source_col).eqNullSafe(F.col(source_name)))
-    return joined.filter(place <= F.col(cut_name)).select(*[col(c) for c in df.columns])
+    cut = F.struct(*[F.col(cut_name)[c].alias(c) for c in ("shuffle_key", "doc_id", "tie")])
+    columns = [col(c) for c in df.columns]
+    # Rows equal in id and text share the place of the cut: only as many as were served stay.
+    last = joined.filter(place.eqNullSafe(cut)).withColumn(nth_name, F.row_number().over(Window.partitionBy(source_name).orderBy(F.lit(0))))
+    return joined.filter(place < cut).select(*columns).unionByName(last.filter(F.col(nth_name) <= F.col(cut_name)["nth"]).select(*columns))
