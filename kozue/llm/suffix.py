@@ -1,16 +1,21 @@
 """Passages that repeat, by distributed prefix doubling over the suffixes that begin at words.
 
-A word position's rank stands for the first h words of its suffix: equal ranks, equal words. Spark sorts positions by the pair of
-their rank and the rank h words on, which ranks them by 2h words; those that are alone with their pair are unique and drop out.
-Offsets grow until the threshold is reached; what then shares its pair with another position begins a passage of at least that
-many words that occurs twice or more in the corpus, within one text or in several. Overlapping ones are joined.
+A word position's rank stands for the first words of its suffix: equal ranks, equal words. Spark sorts positions by the pair of
+their rank and the rank as many words on, which ranks them by twice as many words; those that are alone with their pair are unique
+and drop out, the others get the name of their pair as their new rank. Offsets grow until the threshold is reached (13, 26, 50
+words by default); what then shares its pair with another position begins a passage of at least that many words that occurs twice
+or more in the corpus, within one text or in several. Overlapping ones are joined.
 
 To begin with, not every suffix is ranked. Of each run of positions that a passage of threshold length spans, the one whose first
 h words have the least fingerprint is sorted (the leftmost of equal ones). Wherever a passage occurs, the same position within it
 is chosen, so a passage of threshold length that repeats always has a chosen position whose first h words repeat; only passages
-around those go on to the doubling. Nothing that repeats is lost, and some 7 % of the positions are sorted first.
+around those go on to the doubling. Nothing that repeats is lost, and some 5 % of the positions are sorted first.
 
-The first ranks are 64-bit fingerprints of h words; a later rank is the least position of its group.
+The first ranks are 64-bit fingerprints of h words; a later rank is the name of a pair, a 64-bit hash of its least position. So two
+different passages pass for equal with a chance of about 2^-128 a pair, as both ranks must coincide.
+
+No group is gathered in one task: counts are aggregated before they move, joins by rank are split where they are skewed, and pairs
+that a sample of positions finds to hold more than a part of a partition are counted and joined apart from the others.
 
 Words are what lies between ASCII white space. Cases: null and shorter texts hold no passage; repeated rows and equal texts repeat
 each other; an id that several texts have is reported for each; null ids are reported as null; extra columns don't matter; an
@@ -26,12 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, col
-from .kernels import Words, slices, text_buffers, whitespace_table, windows
+from .common import checkpointed, col, small, written
+from .kernels import U64, Words, release, slices, text_buffers, whitespace_table, windows
 
 THRESHOLD = 50
 #: Documents (8 bytes each) up to which those that hold a repeated start are sent to all executors; beyond it, they are joined.
 BROADCAST_DOCS = 1_000_000
+#: Positions that share a pair, from which on the pair is counted apart; a quarter of a partition, but never fewer than this.
+HOT = 50_000
+#: One of so many positions is sampled to find such pairs.
+SAMPLE = 64
 
 
 def least_in_runs(values: np.ndarray, width: int) -> np.ndarray:
@@ -73,38 +82,65 @@ def _starts(texts: DataFrame, threshold: int, h: int) -> DataFrame:
     return texts.mapInArrow(stage, "doc bigint, at int, rank bigint")
 
 
-def _cover(begin: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
-    """Places below size that lie in some [begin, end)."""
-    depth = np.zeros(size + 1, np.int64)
-    np.add.at(depth, np.clip(begin, 0, size), 1)
-    np.add.at(depth, np.clip(end, 0, size), -1)
-    return np.flatnonzero(np.cumsum(depth[:-1]) > 0)
-
-
-def _ranked(texts: DataFrame, threshold: int, h: int, paired: bool) -> DataFrame:
-    """doc, at, r1, r2 of the positions around repeated starts; texts: doc, text, starts. If paired, positions at which a passage
-    of threshold length may begin, with both ranks; else all positions within such passages, with their own."""
+def _ranked(texts: DataFrame, threshold: int, h: int, step: int, one_in: int = 1) -> DataFrame:
+    """doc, at, r1, r2 of the positions within passages of threshold length whose chosen position repeats: the ranks of the position
+    and of the one `step` words on, by h words. texts: doc, text, starts."""
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 1 << 20):
             t = _Texts(batch.column(1), h)
+            n = len(t.rank)
             starts = batch.column(2)
-            anchors = starts.flatten().to_numpy().astype(np.int64)
             row = np.repeat(np.arange(batch.num_rows), np.diff(starts.offsets.to_numpy()))
-            first, last = t.words.first[:-1][row], (t.words.first[:-1] + t.count)[row]
-            begin = np.maximum(first + anchors + h - threshold, first)
-            span = threshold if paired else h
-            end = first + anchors + (1 if paired else threshold - h + 1)
-            at = _cover(begin, np.maximum(np.minimum(end, last - span + 1), begin), len(t.rank))
+            repeats = np.zeros(n, bool)
+            repeats[t.words.first[:-1][row] + starts.flatten().to_numpy()] = True
+            least = least_in_runs(t.rank, threshold - h + 1)
+            begins = np.flatnonzero(repeats[least] & (t.place[: len(least)] <= t.count[t.row[: len(least)]] - threshold))
+            # Later rounds look further into the passage.
+            depth = np.zeros(n + 1, np.int64)
+            np.add.at(depth, begins, 1)
+            np.add.at(depth, begins + threshold - h - step + 1, -1)
+            at = np.flatnonzero(np.cumsum(depth[:-1]) > 0)
+            if one_in > 1:
+                at = at[t.rank[at] * U64(0x9E3779B97F4A7C15) + at.astype(np.uint64) * U64(0xBF58476D1CE4E5B9) >> U64(32) & U64(one_in - 1) == 0]
             # A row of the result takes 24 bytes and more: a batch is no larger than what goes into one.
             for k in range(0, len(at), 50_000):
                 p = at[k : k + 50_000]
-                r2 = pa.array(t.rank[p + threshold - h].view(np.int64)) if paired else pa.nulls(len(p), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(t.row[p])), pa.array(t.place[p].astype(np.int32)), pa.array(t.rank[p].view(np.int64)), r2], ["doc", "at", "r1", "r2"])
+                ranks = [pa.array(t.rank[q].view(np.int64)) for q in (p, p + step)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(t.row[p])), pa.array(t.place[p].astype(np.int32)), *ranks], ["doc", "at", "r1", "r2"])
 
     return texts.mapInArrow(stage, "doc bigint, at int, r1 bigint, r2 bigint")
 
 
+def _ahead(ranked: DataFrame, step: int) -> DataFrame:
+    """doc, at, r1, r2 of the positions of ranked (doc, at, r1) that have one `step` words on."""
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            doc = table.column(0).to_numpy()
+            if not len(doc):
+                continue
+            cut = int(np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))[-1])  # the last document may go on
+            if cut:
+                yield from pairs(table.slice(0, cut))
+            held = table.slice(cut)
+        if held is not None:
+            yield from pairs(held)
+        release()
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        doc, at, rank = (table.column(k).to_numpy() for k in range(3))
+        key = np.cumsum(np.append(False, doc[1:] != doc[:-1])).astype(np.int64) << 32 | at
+        to = np.minimum(np.searchsorted(key, key + step), len(key) - 1)
+        found = np.flatnonzero(key[to] == key + step)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[found]), pa.array(at[found]), pa.array(rank[found]), pa.array(rank[to[found]])], ["doc", "at", "r1", "r2"])
+
+    by_doc = ranked.repartition("doc").sortWithinPartitions("doc", "at")
+    return by_doc.mapInArrow(stage, "doc bigint, at int, r1 bigint, r2 bigint")
+
+
 def _spans(threshold: int):
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,47 +157,62 @@ def _spans(threshold: int):
     return stage
 
 
-def repeated_positions(texts: DataFrame, threshold: int, h: int) -> DataFrame:
+def _shared(pairs: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """doc, at, name of the positions that share their pair of ranks with another; pairs: doc, at, r1, r2; hot: r1, r2."""
+    by_pair = Window.partitionBy("r1", "r2")
+    name = F.xxhash64("doc", "at")
+
+    def sort(some: DataFrame) -> DataFrame:
+        return some.withColumn("n", F.count(F.lit(1)).over(by_pair)).withColumn("name", F.min(name).over(by_pair)).filter("n > 1").select("doc", "at", "name")
+
+    if hot is None:
+        return sort(pairs)
+    hot = F.broadcast(hot)  # at most four for each partition
+    crowded = pairs.join(hot, ["r1", "r2"], "left_semi")
+    names = crowded.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.min(name).alias("name")).filter("n > 1")
+    return sort(pairs.join(hot, ["r1", "r2"], "left_anti")).union(crowded.join(names, ["r1", "r2"]).select("doc", "at", "name"))
+
+
+def _hot(sample: DataFrame, one_in: int, least: int) -> DataFrame | None:
+    """The pairs that hold more than a quarter of a partition's positions, by a sample."""
+    parts = int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = checkpointed(sample.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(1, least // one_in // 4)))
+    total = sample.count()
+    hot = counted.filter(F.col("n") > max(least // one_in, total // (4 * parts))).select("r1", "r2")
+    return None if hot.isEmpty() else hot
+
+
+def repeated_positions(texts: DataFrame, threshold: int, h: int, hot: int = HOT, one_in: int = SAMPLE) -> DataFrame:
     """doc, at: where a passage of `threshold` words begins that occurs again; texts: doc, text, one row a document."""
-    alone = Window.partitionBy("rank")
-    starts = (
-        _starts(texts, threshold, h)
-        .withColumn("n", F.count(F.lit(1)).over(alone))
-        .filter("n > 1")
-        .groupBy("doc")
-        .agg(F.collect_set("at").alias("starts"))
-    )
-    starts = checkpointed(starts)
-    docs = starts.select("doc")
-    if docs.count() <= BROADCAST_DOCS:
-        docs = F.broadcast(docs)
+    found = _starts(texts, threshold, h)
+    shared = found.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    starts = checkpointed(found.join(shared, "rank").groupBy("doc").agg(F.collect_set("at").alias("starts"), F.max("n").alias("most")))
+    # A crowded pair has a crowded start nearby; only then is it worth looking for such pairs.
+    crowded = (starts.agg(F.max("most")).first()[0] or 0) > hot // 8
     # Only texts that hold a repeated start are moved.
-    around = texts.join(docs, "doc", "left_semi").join(starts, "doc").select("doc", "text", "starts")
-    paired = 2 * h >= threshold
-    now = _ranked(around, threshold, h, paired)
-    length = h
+    around = texts.join(small(starts.select("doc"), BROADCAST_DOCS), "doc", "left_semi").join(starts, "doc").select("doc", "text", "starts")
+    length, step = h, min(h, threshold - h)
+    now = _ranked(around, threshold, h, step)
+    sample = _ranked(around, threshold, h, step, one_in) if crowded else None
     while True:
-        step = min(length, threshold - length)
-        if not paired:
-            ahead = Window.partitionBy("doc").orderBy("at").rangeBetween(step, step)
-            now = now.withColumn("r2", F.first("r1").over(ahead)).filter("r2 is not null")
-        by_pair = Window.partitionBy("r1", "r2")
-        now = now.withColumn("n", F.count(F.lit(1)).over(by_pair))
         length += step
+        again = _shared(now, _hot(sample, one_in, hot) if crowded else None)
         if length >= threshold:
-            return now.filter("n > 1").select("doc", "at")
-        least = F.min(F.xxhash64("doc", "at")).over(by_pair)
-        now = checkpointed(now.withColumn("r1", least).filter("n > 1").select("doc", "at", "r1"))
+            return again.select("doc", "at")
+        ranked = written(again.select("doc", "at", F.col("name").alias("r1")))
+        step = min(length, threshold - length)
+        now = _ahead(ranked, step)
+        sample = now.filter(F.pmod(F.xxhash64("doc", "at"), F.lit(one_in)) == 0) if crowded else None
 
 
-def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, first: int | None = None) -> DataFrame:
+def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, first: int | None = None, **options) -> DataFrame:
     """Maximal runs of words that are covered by repeated passages: doc_id, first_word (from 0), n_words.
 
-    first: words that the first ranks stand for, half of the threshold unless given."""
+    first: words that the first ranks stand for, a quarter of the threshold unless given."""
     if threshold < 2:
         raise ValueError("a passage has two words at least")
-    h = -(-threshold // 2) if first is None else max(1, min(first, threshold - 1))
+    h = -(-threshold // 4) if first is None else max(1, min(first, threshold - 1))
     texts = df.select(F.xxhash64(col(id_col), col(text_col)).alias("doc"), col(text_col).alias("text"), col(id_col).alias("doc_id")).filter("text is not null")
-    at = repeated_positions(texts.select("doc", "text"), threshold, h)
+    at = repeated_positions(texts.select("doc", "text"), threshold, h, **options)
     spans = at.groupBy("doc").agg(F.collect_set("at").alias("at")).mapInArrow(_spans(threshold), "doc bigint, first_word int, n_words int")
     return spans.join(texts.select("doc", "doc_id"), "doc").select("doc_id", "first_word", "n_words")

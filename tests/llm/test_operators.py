@@ -77,7 +77,21 @@ def test_mix(docs, rows, budget):
     assert [(r.doc_id, r.source or "", r.tokens, r.finish_time, r.served) for r in got] == brute_mix(unique, weights, budget)
     whole = mixing.mix_documents(docs, weights, budget=budget)
     assert whole.columns == docs.columns
-    assert whole.count() == mixing.mix(docs, weights, budget=budget).count()
+    for count in (None, "n_chars"):
+        mixed = mixing.mix(docs, weights, budget=budget, tokens_col=count).collect()
+        kept = mixing.mix_documents(docs, weights, budget=budget, tokens_col=count).collect()
+        size = lambda r: len(re.findall(mixing.WORD, r.text or "")) if count is None else r.n_chars or 0  # noqa: E731, B023
+        assert sorted((first(r.doc_id), r.source or "", size(r)) for r in kept) == sorted((first(r.doc_id), r.source or "", r.tokens) for r in mixed)
+        assert sum(map(size, kept)) <= budget
+
+
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_mix_repeated_rows_at_the_cut(spark, monkeypatch, limit):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", limit)
+    df = spark.createDataFrame([(1, "a b c d e f g h i j", "s", k) for k in range(5)] + [(None, "x", None, 9), (None, "x", None, 8)], "doc_id long, text string, source string, nth int").repartition(3)
+    for budget, rows in ((10, 2 * ["x"]), (12, 2 * ["x"] + ["a"]), (35, 2 * ["x"] + 3 * ["a"]), (1, ["x"])):
+        mixed, kept = (f(df, {"s": 1.0}, default_weight=1.0, budget=budget).collect() for f in (mixing.mix, mixing.mix_documents))
+        assert sorted(r.text[0] for r in kept) == sorted(rows) and len(mixed) == len(rows)
 
 
 def test_mix_edges(empty, docs):
@@ -340,6 +354,26 @@ def test_exact_copies_over_many_batches(spark):
     assert [(r.doc_id, r.n) for r in got] == [(0, 20_000), (1, 20_000), (2, 20_000)]
 
 
+def test_exact_hot_prefix(spark):
+    """Most texts agree in length and their first 3,000 bytes; some are copies of one, which need no splitting."""
+    rng = random.Random(6)
+    start = words(rng, 700)[:3000]
+    texts = [f"{start}{rng.randrange(400):04d}{'z' * 50}" for _ in range(1500)] + [f"{start}0001{'z' * 50}"] * 300 + ["y" * 900] * 500 + [f"{k}" for k in range(50)] + [None] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    groups = collections.defaultdict(list)
+    for i, t in enumerate(texts):
+        groups[t if t is not None else i].append(i)
+    want = sorted((g[0], len(g)) for g in groups.values())
+    for crowd in (1 << 30, 100_000, 5000):
+        got = exactdedup.exact_dedup(df, copies_col="n", crowd_bytes=crowd)
+        assert sorted((r.doc_id, r.n) for r in got.collect()) == want
+    bytes_ = df.filter("text is not null").select(F.octet_length("text").cast("bigint").alias("size"), F.col("text").cast("binary").alias("bytes"), F.xxhash64("text").alias("hash"))
+    levels = exactdedup.crowded_prefixes(bytes_, 100_000)
+    assert len(levels) == 6 and all(level.count() == 1 for level in levels)  # 64 to 2,048 bytes; 4,096 are more than there are
+    with pytest.raises(ValueError):
+        exactdedup.exact_dedup(df, copies_col="Text")
+
+
 # 8
 
 
@@ -388,8 +422,10 @@ def test_language_edges(docs, empty):
 # 9
 
 
-@pytest.mark.parametrize(("threshold", "start"), [(50, None), (50, 13), (7, 2), (2, None)])
-def test_repeated_passages(docs, rows, threshold, start):
+@pytest.mark.parametrize(("threshold", "start", "limits"), [(50, None, {}), (50, None, {"hot": 4, "one_in": 1}), (50, 25, {}), (50, 3, {}), (7, 2, {"hot": 8, "one_in": 2}), (2, None, {})])
+def test_repeated_passages(docs, rows, threshold, start, limits, monkeypatch):
+    if limits:  # crowded pairs are counted apart, and texts are joined where documents are too many to be sent
+        monkeypatch.setattr(suffix, "BROADCAST_DOCS", 0)
     texts = [(r[0], (r[1] or "").split()) for r in rows]
     seen = collections.Counter(tuple(w[i : i + threshold]) for _, w in texts for i in range(len(w) - threshold + 1))
     want = []
@@ -402,10 +438,21 @@ def test_repeated_passages(docs, rows, threshold, start):
             run = list(run)
             if flag:
                 want.append((first(ident), run[0], len(run)))
-    got = suffix.repeated_passages(docs, threshold=threshold, first=start).collect()
+    got = suffix.repeated_passages(docs, threshold=threshold, first=start, **limits).collect()
     assert sorted((first(r.doc_id), r.first_word, r.n_words) for r in got) == sorted(want)
 
 
+def test_hot_passage(spark):
+    """A passage that most documents share, and one that all hold many times."""
+    rng = random.Random(12)
+    hot, line = words(rng, 55), words(rng, 25)
+    made = [(i, f"{words(rng, 20)} a{i} {hot} z{i} {words(rng, 10 + i % 5)}") for i in range(400)] + [(1000 + i, words(rng, 80)) for i in range(100)] + [(5000, " ".join([line] * 300))]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    want = sorted([(i, 21, 55) for i in range(400)] + [(5000, 0, 7500)])
+    for limits in ({}, {"hot": 100, "one_in": 4}):
+        assert sorted(map(tuple, suffix.repeated_passages(df, **limits).collect())) == want
+
+
 def test_repeated_edges(empty):
     assert suffix.repeated_passages(empty).count() == 0
     with pytest.raises(ValueError):
