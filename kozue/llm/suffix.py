@@ -11,8 +11,9 @@ h words have the least fingerprint is sorted (the leftmost of equal ones). Where
 is chosen, so a passage of threshold length that repeats always has a chosen position whose first h words repeat; only passages
 around those go on to the doubling. Nothing that repeats is lost, and some 5 % of the positions are sorted first.
 
-The first ranks are 64-bit fingerprints of h words; a later rank is the name of a pair, a 64-bit hash of its least position. So two
-different passages pass for equal with a chance of about 2^-128 a pair, as both ranks must coincide.
+A position is one number, its document's and its place. The first ranks are 64-bit fingerprints of h words; a later rank is the name
+of a pair, its least position, so later ranks are exact. Two different passages pass for equal with a chance of about 2^-128 a pair,
+as both first ranks of a pair must coincide.
 
 No group is gathered in one task: counts are aggregated before they move, joins by rank are split where they are skewed, and pairs
 that a sample of positions finds to hold more than a part of a partition are counted and joined apart from the others.
@@ -41,6 +42,8 @@ BROADCAST_DOCS = 1_000_000
 HOT = 50_000
 #: One of so many positions is sampled to find such pairs.
 SAMPLE = 64
+#: Bits of a position that hold the place in the document.
+PLACE_BITS = 28
 
 
 def least_in_runs(values: np.ndarray, width: int) -> np.ndarray:
@@ -83,14 +86,14 @@ def _starts(texts: DataFrame, threshold: int, h: int) -> DataFrame:
 
 
 def _ranked(texts: DataFrame, threshold: int, h: int, step: int, one_in: int = 1) -> DataFrame:
-    """doc, at, r1, r2 of the positions within passages of threshold length whose chosen position repeats: the ranks of the position
-    and of the one `step` words on, by h words. texts: doc, text, starts."""
+    """at, r1, r2 of the positions within passages of threshold length whose chosen position repeats: the position, and the ranks of it
+    and of the one `step` words on, by h words. texts: number, text, starts."""
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 1 << 20):
             t = _Texts(batch.column(1), h)
             n = len(t.rank)
-            starts = batch.column(2)
+            number, starts = batch.column(0).to_numpy(), batch.column(2)
             row = np.repeat(np.arange(batch.num_rows), np.diff(starts.offsets.to_numpy()))
             repeats = np.zeros(n, bool)
             repeats[t.words.first[:-1][row] + starts.flatten().to_numpy()] = True
@@ -107,38 +110,34 @@ def _ranked(texts: DataFrame, threshold: int, h: int, step: int, one_in: int = 1
             for k in range(0, len(at), 50_000):
                 p = at[k : k + 50_000]
                 ranks = [pa.array(t.rank[q].view(np.int64)) for q in (p, p + step)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(t.row[p])), pa.array(t.place[p].astype(np.int32)), *ranks], ["doc", "at", "r1", "r2"])
+                yield pa.RecordBatch.from_arrays([pa.array(number[t.row[p]] << PLACE_BITS | t.place[p]), *ranks], ["at", "r1", "r2"])
 
-    return texts.mapInArrow(stage, "doc bigint, at int, r1 bigint, r2 bigint")
+    return texts.mapInArrow(stage, "at bigint, r1 bigint, r2 bigint")
 
 
 def _ahead(ranked: DataFrame, step: int) -> DataFrame:
-    """doc, at, r1, r2 of the positions of ranked (doc, at, r1) that have one `step` words on."""
+    """at, r1, r2 of the positions of ranked (at, r1) that have one `step` words on."""
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        at = rank = np.zeros(0, np.int64)
         for batch in batches:
-            table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
-            doc = table.column(0).to_numpy()
-            if not len(doc):
-                continue
-            cut = int(np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))[-1])  # the last document may go on
+            at, rank = (np.concatenate((x, batch.column(k).to_numpy())) for k, x in enumerate((at, rank)))
+            # Positions whose partner may still come are held; a step is at most as many.
+            cut = int(np.searchsorted(at, at[-1] - step)) if len(at) else 0
             if cut:
-                yield from pairs(table.slice(0, cut))
-            held = table.slice(cut)
-        if held is not None:
-            yield from pairs(held)
+                yield pairs(at, rank, cut)
+                at, rank = at[cut:], rank[cut:]
+        if len(at):
+            yield pairs(at, rank, len(at))
         release()
 
-    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        doc, at, rank = (table.column(k).to_numpy() for k in range(3))
-        key = np.cumsum(np.append(False, doc[1:] != doc[:-1])).astype(np.int64) << 32 | at
-        to = np.minimum(np.searchsorted(key, key + step), len(key) - 1)
-        found = np.flatnonzero(key[to] == key + step)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[found]), pa.array(at[found]), pa.array(rank[found]), pa.array(rank[to[found]])], ["doc", "at", "r1", "r2"])
+    def pairs(at: np.ndarray, rank: np.ndarray, n: int) -> pa.RecordBatch:
+        to = np.minimum(np.searchsorted(at, at[:n] + step), len(at) - 1)
+        found = np.flatnonzero(at[to] == at[:n] + step)
+        return pa.RecordBatch.from_arrays([pa.array(at[found]), pa.array(rank[found]), pa.array(rank[to[found]])], ["at", "r1", "r2"])
 
-    by_doc = ranked.repartition("doc").sortWithinPartitions("doc", "at")
-    return by_doc.mapInArrow(stage, "doc bigint, at int, r1 bigint, r2 bigint")
+    by_document = ranked.repartition(F.shiftright("at", PLACE_BITS)).sortWithinPartitions("at")
+    return by_document.mapInArrow(stage, "at bigint, r1 bigint, r2 bigint")
 
 
 def _spans(threshold: int):
@@ -158,19 +157,18 @@ def _spans(threshold: int):
 
 
 def _shared(pairs: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """doc, at, name of the positions that share their pair of ranks with another; pairs: doc, at, r1, r2; hot: r1, r2."""
+    """at, name of the positions that share their pair of ranks with another; pairs: at, r1, r2; hot: r1, r2."""
     by_pair = Window.partitionBy("r1", "r2")
-    name = F.xxhash64("doc", "at")
 
     def sort(some: DataFrame) -> DataFrame:
-        return some.withColumn("n", F.count(F.lit(1)).over(by_pair)).withColumn("name", F.min(name).over(by_pair)).filter("n > 1").select("doc", "at", "name")
+        return some.withColumn("n", F.count(F.lit(1)).over(by_pair)).withColumn("name", F.min("at").over(by_pair)).filter("n > 1").select("at", "name")
 
     if hot is None:
         return sort(pairs)
     hot = F.broadcast(hot)  # at most four for each partition
     crowded = pairs.join(hot, ["r1", "r2"], "left_semi")
-    names = crowded.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.min(name).alias("name")).filter("n > 1")
-    return sort(pairs.join(hot, ["r1", "r2"], "left_anti")).union(crowded.join(names, ["r1", "r2"]).select("doc", "at", "name"))
+    names = crowded.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("name")).filter("n > 1")
+    return sort(pairs.join(hot, ["r1", "r2"], "left_anti")).union(crowded.join(names, ["r1", "r2"]).select("at", "name"))
 
 
 def _hot(sample: DataFrame, one_in: int, least: int) -> DataFrame | None:
@@ -182,15 +180,27 @@ def _hot(sample: DataFrame, one_in: int, least: int) -> DataFrame | None:
     return None if hot.isEmpty() else hot
 
 
+def _numbered(starts: DataFrame) -> DataFrame:
+    """starts with the documents' dense numbers. What the driver gets is a row a partition."""
+    starts = checkpointed(starts.withColumn("id", F.monotonically_increasing_id()))
+    part, sizes = F.shiftright("id", 33).cast("int"), {}
+    for r in starts.groupBy(part.alias("part")).count().collect():
+        sizes[r["part"]] = r["count"]
+    before = [sum(sizes.get(p, 0) for p in range(k)) for k in range(max(sizes, default=0) + 1)]
+    return starts.withColumn("number", F.get(F.lit(before), part) + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).drop("id")
+
+
 def repeated_positions(texts: DataFrame, threshold: int, h: int, hot: int = HOT, one_in: int = SAMPLE) -> DataFrame:
-    """doc, at: where a passage of `threshold` words begins that occurs again; texts: doc, text, one row a document."""
+    """doc, places: where in a document passages of `threshold` words begin that occur again; texts: doc, text, one row a document."""
     found = _starts(texts, threshold, h)
     shared = found.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    starts = checkpointed(found.join(shared, "rank").groupBy("doc").agg(F.collect_set("at").alias("starts"), F.max("n").alias("most")))
+    starts = _numbered(found.join(shared, "rank").groupBy("doc").agg(F.collect_set("at").alias("starts"), F.max("n").alias("most")))
     # A crowded pair has a crowded start nearby; only then is it worth looking for such pairs.
-    crowded = (starts.agg(F.max("most")).first()[0] or 0) > hot // 8
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most, total = starts.agg(F.max("most"), F.sum(F.size("starts"))).first()
+    crowded = (most or 0) > max(hot // 8, (total or 0) // (4 * parts)) or one_in == 1
     # Only texts that hold a repeated start are moved.
-    around = texts.join(small(starts.select("doc"), BROADCAST_DOCS), "doc", "left_semi").join(starts, "doc").select("doc", "text", "starts")
+    around = texts.join(small(starts.select("doc"), BROADCAST_DOCS), "doc", "left_semi").join(starts, "doc").select("number", "text", "starts")
     length, step = h, min(h, threshold - h)
     now = _ranked(around, threshold, h, step)
     sample = _ranked(around, threshold, h, step, one_in) if crowded else None
@@ -198,11 +208,14 @@ def repeated_positions(texts: DataFrame, threshold: int, h: int, hot: int = HOT,
         length += step
         again = _shared(now, _hot(sample, one_in, hot) if crowded else None)
         if length >= threshold:
-            return again.select("doc", "at")
-        ranked = written(again.select("doc", "at", F.col("name").alias("r1")))
+            break
+        ranked = written(again.select("at", F.col("name").alias("r1")))
         step = min(length, threshold - length)
         now = _ahead(ranked, step)
-        sample = now.filter(F.pmod(F.xxhash64("doc", "at"), F.lit(one_in)) == 0) if crowded else None
+        sample = now.filter(F.pmod(F.xxhash64("at"), F.lit(one_in)) == 0) if crowded else None
+    place = F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+    places = again.groupBy(F.shiftright("at", PLACE_BITS).alias("number")).agg(F.collect_set(place).alias("places"))
+    return places.join(starts.select("number", "doc"), "number").select("doc", "places")
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, first: int | None = None, **options) -> DataFrame:
@@ -214,5 +227,5 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     h = -(-threshold // 4) if first is None else max(1, min(first, threshold - 1))
     texts = df.select(F.xxhash64(col(id_col), col(text_col)).alias("doc"), col(text_col).alias("text"), col(id_col).alias("doc_id")).filter("text is not null")
     at = repeated_positions(texts.select("doc", "text"), threshold, h, **options)
-    spans = at.groupBy("doc").agg(F.collect_set("at").alias("at")).mapInArrow(_spans(threshold), "doc bigint, first_word int, n_words int")
+    spans = at.mapInArrow(_spans(threshold), "doc bigint, first_word int, n_words int")
     return spans.join(texts.select("doc", "doc_id"), "doc").select("doc_id", "first_word", "n_words")
