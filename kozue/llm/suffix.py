@@ -192,13 +192,14 @@ def _numbered(starts: DataFrame) -> DataFrame:
 
 def repeated_positions(texts: DataFrame, threshold: int, h: int, hot: int = HOT, one_in: int = SAMPLE) -> DataFrame:
     """doc, places: where in a document passages of `threshold` words begin that occur again; texts: doc, text, one row a document."""
-    found = _starts(texts, threshold, h)
+    found = written(_starts(texts, threshold, h))
     shared = found.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     starts = _numbered(found.join(shared, "rank").groupBy("doc").agg(F.collect_set("at").alias("starts"), F.max("n").alias("most")))
-    # A crowded pair has a crowded start nearby; only then is it worth looking for such pairs.
+    # A crowded pair has a crowded start nearby; only where one comes near a part of a partition is it worth looking for such pairs.
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     most, total = starts.agg(F.max("most"), F.sum(F.size("starts"))).first()
-    crowded = (most or 0) > max(hot // 8, (total or 0) // (4 * parts)) or one_in == 1
+    positions = (total or 0) * (threshold - h + 2) // 2
+    crowded = (most or 0) > max(hot // 8, positions // (8 * parts)) or one_in == 1
     # Only texts that hold a repeated start are moved.
     around = texts.join(small(starts.select("doc"), BROADCAST_DOCS), "doc", "left_semi").join(starts, "doc").select("number", "text", "starts")
     length, step = h, min(h, threshold - h)
