@@ -9,7 +9,7 @@ import sys
 import time
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import evaluate, formats
@@ -40,7 +40,8 @@ def parser() -> argparse.ArgumentParser:
         a.add_argument("-p", "--parallel", type=int, default=-1 if name == "morphemes" else 1)
         a.add_argument("files", nargs="*")
     e = sub.add_parser("evaluate")
-    e.add_argument("system", help="CoNLL-U of the system")
+    e.add_argument("system", help="CoNLL-U of the system; or with -b, an annotator's name")
+    e.add_argument("-b", "--annotator", action="store_true", help="annotate the texts of the gold sentences")
     e.add_argument("gold", nargs="+", help="gold JSON")
     c = sub.add_parser("convert")
     c.add_argument("source", help="CoNLL-U files")
@@ -90,7 +91,7 @@ def main(argv: Sequence[str] | None = None) -> int:
     elif args.command == "evaluate":
         spark = session(-1)
         reference = gold.read_gold(spark, args.gold)
-        system = conllu.read_conllu(spark, args.system).filter("error is null")
+        system = live_parses(reference, args.system) if args.annotator else conllu.read_conllu(spark, args.system).filter("error is null")
         for row in evaluate.report(evaluate.rates(evaluate_texts(reference, system))).collect():
             print(row.line)
     elif args.command == "convert":
@@ -102,16 +103,26 @@ def main(argv: Sequence[str] | None = None) -> int:
     return 0
 
 
+def live_parses(reference: DataFrame, annotator: str) -> DataFrame:
+    """An annotator's sentences of the gold texts, each text once for each time that it is there."""
+    numbered = reference.select(F.xxhash64("id", "paragraph").alias("doc_id"), F.col("sent_id").cast("int"), "text")
+    return analyse(numbered, Settings(annotator=(annotator,), split_sentences=False), False)
+
+
 def evaluate_texts(reference: DataFrame, system: DataFrame) -> DataFrame:
-    """Counts of a system's sentences against gold ones of the same text; the k-th of equal texts meets the k-th."""
+    """Counts of a system's sentences against gold ones of the same text; the k-th of equal texts meets the k-th. reference: those of gold
+    JSON; system: text, tokens and what orders them (src, sent_id, or doc_id, sent_id)."""
     from pyspark.sql import Window
 
-    g = gold.token_rows(reference)
-    keyed = reference.select(F.struct("id", "paragraph", "sent_id").alias("old"), "text").withColumn("k", F.row_number().over(Window.partitionBy("text").orderBy("old")))
-    g = g.join(keyed, g["sent"] == keyed["old"]).drop("sent").withColumn("sent", F.struct("text", "k")).drop("old", "text", "k")
-    s = system.withColumn("k", F.row_number().over(Window.partitionBy("text").orderBy("src", "sent_id"))).select(F.struct("text", "k").alias("sent"), F.posexplode("tokens").alias("i", "t"))
-    s = s.select("sent", "i", *[F.col(f"t.{n}") for n in ("orth", "ws", "pos", "tag", "dep", "head", "ent_iob", "ent_type")])
-    return evaluate.counts(g, s)
+    order = ["src" if "src" in system.columns else "doc_id", "sent_id"]
+
+    def numbered(df: DataFrame, by: list[str], tokens: Column) -> DataFrame:
+        k = F.row_number().over(Window.partitionBy("text").orderBy(*by))
+        return df.withColumn("k", k).select(F.struct("text", "k").alias("sent"), tokens.alias("tokens"))
+
+    g = numbered(reference, ["id", "paragraph", "sent_id"], gold.plain_tokens())
+    s = numbered(system, order, F.col("tokens"))
+    return evaluate.counts(evaluate.paired(g, s))
 
 
 def convert(sentences: DataFrame, per_paragraph: int, bunsetu_heads: bool = False, luw: bool = False) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,59 +57,107 @@ def phrase(tokens: Column, unit: Column, func: Field = orth, condition: Field |
 
 def bunsetu_table(recognised: DataFrame, func: Field = orth) -> DataFrame:
     """A row a bunsetu: doc_id, sent_id, start, end, root, label, bunsetu, phrase."""
-    rows = recognised.select("doc_id", "sent_id", "tokens", F.explode(spans(F.col("units"))).alias("s"))
     tokens = F.col("tokens")
-    return rows.select(
-        "doc_id",
-        "sent_id",
-        F.col("s.start"),
-        F.col("s.end"),
-        F.col("s.root"),
-        F.col("s.label"),
-        traverse(words(tokens, F.col("s.start"), F.col("s.end")), func).alias("bunsetu"),
-        traverse(words(tokens, F.col("s.phrase_start"), F.col("s.phrase_end")), func).alias("phrase"),
-        F.col("s.phrase_start"),
-        F.col("s.phrase_end"),
-    )
+
+    def row(s: Column) -> Column:
+        return F.struct(
+            s["start"],
+            s["end"],
+            s["root"],
+            s["label"],
+            traverse(words(tokens, s["start"], s["end"]), func).alias("bunsetu"),
+            traverse(words(tokens, s["phrase_start"], s["phrase_end"]), func).alias("phrase"),
+            s["phrase_start"],
+            s["phrase_end"],
+        )
+
+    return recognised.select("doc_id", "sent_id", F.inline(F.transform(spans(F.col("units")), row)))
+
+
+def sub_phrase_array(func: Field = lemma, condition: Field | None = None) -> Column:
+    """The bunsetu heads below a bunsetu's root, of a sentence: parent (place), i, dep, phrase of the head, head_phrase of the parent,
+    head_pos."""
+    tokens, units = F.col("tokens"), F.col("units")
+
+    def wanted(x: Column) -> Column:
+        up = x["t"]["head"]
+        good = x["u"]["is_head"] & (up != x["i"]) & (at(units, up)["bunsetu_root"] == up)
+        return good & condition(x["t"]) if condition else good
+
+    def row(x: Column) -> Column:
+        up = x["t"]["head"]
+        return F.struct(
+            up.alias("parent"),
+            x["i"].alias("i"),
+            x["t"]["dep"].alias("dep"),
+            phrase(tokens, x["u"], func).alias("phrase"),
+            phrase(tokens, at(units, up), func).alias("head_phrase"),
+            at(tokens, up)["pos"].alias("head_pos"),
+        )
+
+    each = F.transform(F.arrays_zip("tokens", "units"), lambda x, i: F.struct(i.alias("i"), x["tokens"].alias("t"), x["units"].alias("u")))
+    return F.transform(F.filter(each, wanted), row)
 
 
 def sub_phrases(recognised: DataFrame, func: Field = lemma, condition: Field | None = None) -> DataFrame:
-    """A row for each bunsetu head below a bunsetu's root: doc_id, sent_id, parent (place), dep, phrase of the head, head_phrase of the parent."""
-    x = F.arrays_zip("tokens", "units")
-    rows = recognised.select("doc_id", "sent_id", "tokens", "units", F.posexplode(x).alias("i", "x"))
-    rows = rows.filter("x.units.is_head and x.tokens.head <> i")
-    parent = at(F.col("units"), F.col("x.tokens.head"))
-    tokens = F.col("tokens")
-    rows = rows.filter(parent["bunsetu_root"] == F.col("x.tokens.head"))
-    if condition:
-        rows = rows.filter(condition(F.col("x.tokens")))
-    return rows.select(
-        "doc_id",
-        "sent_id",
-        F.col("x.tokens.head").alias("parent"),
-        F.col("i"),
-        F.col("x.tokens.dep").alias("dep"),
-        phrase(tokens, F.col("x.units"), func).alias("phrase"),
-        phrase(tokens, parent, func).alias("head_phrase"),
-        at(tokens, F.col("x.tokens.head"))["pos"].alias("head_pos"),
-    )
+    """A row for each bunsetu head below a bunsetu's root: doc_id, sent_id, parent (place), i, dep, phrase of the head, head_phrase of the
+    parent, head_pos. It is found within the sentence's row, whose arrays aren't copied."""
+    return recognised.select("doc_id", "sent_id", F.inline(sub_phrase_array(func, condition)))
 
 
 def frames(recognised: DataFrame, roles: tuple[str, ...] = ("nsubj", "obj"), head_pos: str = "VERB", distinct_sentences: bool = True) -> DataFrame:
     """How often a head goes with one phrase in each role: columns named by the roles, head, frequency. Sentences of the same text
-    count once."""
+    count once. Only the frames of a sentence move, not the sentence."""
+    parts = F.filter(sub_phrase_array(), lambda p: (p["head_pos"] == head_pos) & p["dep"].isin(*roles))
+    rows = recognised.select(F.unhex(F.md5("text")).alias("key"), parts.alias("parts")).filter(F.size("parts") >= len(roles))
+    names = [f"r{k}" for k in range(len(roles))]
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten()
+            parent, dep, phrases_, head = (flat.field(flat.type.get_field_index(n)) for n in ("parent", "dep", "phrase", "head_phrase"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            key = row.astype(np.int64) << 32 | parent.to_numpy(zero_copy_only=False).astype(np.int64)
+            whole, places = None, []
+            for role in roles:  # the first of each role, as parts come by place
+                mine = np.flatnonzero(pc.equal(dep, role).to_numpy(zero_copy_only=False))
+                keys, first = np.unique(key[mine], return_index=True)
+                places.append((keys, mine[first]))
+                whole = keys if whole is None else np.intersect1d(whole, keys, assume_unique=True)
+            chosen = [places_[np.searchsorted(keys, whole)] for keys, places_ in places]
+            values = [phrases_.take(pa.array(c)) for c in chosen] + [head.take(pa.array(chosen[0]))]
+            some, first = np.unique(whole >> 32, return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(whole)).astype(np.int32)), pa.StructArray.from_arrays(values, [*names, "head"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), lists], ["key", "found"])
+
+    found = rows.mapInArrow(stage, f"key binary, found array<struct<{', '.join(f'{n}:string' for n in (*names, 'head'))}>>")
     if distinct_sentences:
-        recognised = recognised.dropDuplicates(["text"])
-    parts = sub_phrases(recognised).filter((F.col("head_pos") == head_pos) & F.col("dep").isin(*roles))
-    sums = [F.min(F.when(F.col("dep") == r, F.struct("i", "phrase")))["phrase"].alias(r) for r in roles]
-    per = parts.groupBy("doc_id", "sent_id", "parent").agg(F.first("head_phrase").alias("head"), *sums)
-    whole = per.dropna(subset=list(roles))
-    return whole.groupBy(*roles, "head").agg(F.count(F.lit(1)).alias("frequency"))
+        found = found.dropDuplicates(["key"])
+    named = [F.col(n).alias(r) for n, r in zip(names, roles, strict=True)]
+    return found.select(F.inline("found")).groupBy(*named, "head").agg(F.count(F.lit(1)).alias("frequency"))
 
 
 def clauses(recognised: DataFrame, func: Field = orth) -> DataFrame:
     """A row a clause: doc_id, sent_id, clause (place of its head), places, text."""
-    x = F.arrays_zip("tokens", "units")
-    rows = recognised.select("doc_id", "sent_id", F.posexplode(x).alias("i", "x")).filter("x.units.clause >= 0")
-    grouped = rows.groupBy("doc_id", "sent_id", F.col("x.units.clause").alias("clause")).agg(F.array_sort(F.collect_list(F.struct("i", F.col("x.tokens").alias("t")))).alias("m"))
-    return grouped.select("doc_id", "sent_id", "clause", F.col("m.i").alias("places"), joined(F.transform("m", lambda m: func(m["t"])), " ").alias("text"))
+    rows = recognised.select("doc_id", "sent_id", F.transform("tokens", func).alias("words"), F.col("units.clause").alias("of"))
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(3)
+            begin = lists.offsets.to_numpy().astype(np.int64)
+            size = np.diff(begin)
+            row = np.repeat(np.arange(batch.num_rows), size)
+            clause = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            place = np.arange(len(clause)) - np.repeat(begin[:-1] - begin[0], size)
+            at_ = np.flatnonzero(clause >= 0)
+            at_ = at_[np.lexsort((at_, clause[at_], row[at_]))]
+            new = np.flatnonzero(np.append(True, (row[at_][1:] != row[at_][:-1]) | (clause[at_][1:] != clause[at_][:-1]))) if len(at_) else at_
+            ends = pa.array(np.append(new, len(at_)).astype(np.int32))
+            texts = pc.binary_join(pa.ListArray.from_arrays(ends, batch.column(2).flatten().take(pa.array(at_))), " ")
+            first = at_[new]
+            ids = [batch.column(k).take(pa.array(row[first])) for k in (0, 1)]
+            places = pa.ListArray.from_arrays(ends, pa.array(place[at_].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(clause[first].astype(np.int32)), places, texts], ["doc_id", "sent_id", "clause", "places", "text"])
+
+    return rows.mapInArrow(stage, "doc_id bigint, sent_id int, clause int, places array<int>, text string")

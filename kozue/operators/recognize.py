@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ..schema import ARROW_UNIT, UNIT
-from .trees import depths, edges, resolve, total_below
+from .trees import depths, edges, resolve, scatter, total_below
 
 SUFFIX = "_bunsetu"
 PHRASE_RELATIONS = ("compound", "nummod", "nmod")
@@ -72,55 +72,74 @@ def recover_heads(heads: list[bool], parent: list[int], punct: list[bool]) -> No
             heads[up] = True
 
 
-def one_head_for_entity(heads: np.ndarray, parent: np.ndarray, a: int, b: int) -> None:
-    """Of an entity [a, b) whose links to the outside agree, only the first token that has such a link may stay a head."""
-    up = parent[a:b]
-    out = (up < a) | (up >= b) | (up == np.arange(a, b))
-    targets = up[out]
-    if len(targets) and (targets == targets[0]).all():
-        first = a + int(out.argmax())
-        keep = heads[first]
-        heads[a:b] = False
-        heads[first] = keep
-
-
-def entity_spans(iob: np.ndarray) -> list[tuple[int, int]]:
+def one_head_for_entity(heads: np.ndarray, parent: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
+    """Of each entity [begin, end) whose links to the outside agree, only the first token that has such a link may stay a head."""
+    if not len(begins):
+        return
+    size = ends - begins
+    at = scatter(begins, size)
+    up, of = parent[at], np.repeat(np.arange(len(begins)), size)
+    out = (up < begins[of]) | (up >= ends[of]) | (up == at)
+    n = len(parent)
+    cut = np.cumsum(size) - size
+    low, high = np.minimum.reduceat(np.where(out, up, n), cut), np.maximum.reduceat(np.where(out, up, -1), cut)
+    first = np.minimum.reduceat(np.where(out, at, n), cut)
+    agree = (low == high) & (first < n)
+    kept = first[agree & heads[np.minimum(first, n - 1)]]
+    heads[at[agree[of]]] = False
+    heads[kept] = True
+
+
+def entity_spans(iob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where entities begin and end: a B and the I that follow it."""
     begins = np.flatnonzero(iob == "B")
-    inside = np.append(iob == "I", False)
-    ends = np.flatnonzero(~inside)
-    return [(int(a), int(ends[np.searchsorted(ends, a + 1)])) for a in begins]
-
-
-def prune_clauses(candidates: list[int], roots: set[int], parent: np.ndarray, held: np.ndarray, least: int) -> set[int]:
-    """Candidates, in order, that hold `least` bunsetu beside those of the candidates within them; a root that doesn't takes theirs.
-    held: bunsetu heads of each subtree."""
-    now = {c for c in candidates if held[c] >= least} - roots | roots
-
-    def over(d: int) -> int:
-        at = d
-        while parent[at] != at:
-            at = parent[at]
-            if at in now:
-                return at
-        return -1
-
-    def below(d: int, c: int) -> bool:
-        at = d
-        while parent[at] != at:
-            at = parent[at]
-            if at == c:
-                return True
-        return False
-
-    for c in sorted(now):
-        if c in now:
-            own = held[c] - sum(held[d] for d in now if d != c and over(d) == c)
-            if own < least:
-                if c in roots:
-                    now -= {d for d in now if d != c and below(d, c)}
-                else:
-                    now.discard(c)
-    return now
+    ends = np.flatnonzero(np.append(iob != "I", True))
+    return begins, ends[np.searchsorted(ends, begins + 1)]
+
+
+def prune_clauses(candidates: np.ndarray, root: np.ndarray, above: np.ndarray, held: np.ndarray, least: int) -> np.ndarray:
+    """Candidates, by place, that hold `least` bunsetu beside those of the candidates within them; a root that doesn't takes theirs.
+    above: the nearest candidate over each (-1: none); held: bunsetu heads of its subtree.
+
+    Each is decided in the order of places; sums over what lies within are carried up as candidates drop out, so the work is in
+    proportion to their number."""
+    number = {c: k for k, c in enumerate(candidates.tolist())}
+    up = [number.get(a, -1) for a in above.tolist()]
+    held_, is_root = held.tolist(), root.tolist()
+    within: list[list[int]] = [[] for _ in up]
+    inner = [0] * len(up)
+    for k, u in enumerate(up):
+        if u >= 0:
+            within[u].append(k)
+            inner[u] += held_[k]
+    there = [True] * len(up)
+
+    def over(k: int) -> int:
+        way = []
+        k = up[k]
+        while k >= 0 and not there[k]:
+            way.append(k)
+            k = up[k]
+        for w in way:
+            up[w] = k
+        return k
+
+    for k in range(len(up)):
+        if not there[k] or held_[k] - inner[k] >= least:
+            continue
+        if is_root[k]:
+            below = list(within[k])
+            while below:
+                d = below.pop()
+                there[d] = False
+                below += within[d]
+                within[d] = []
+            inner[k], within[k] = 0, []
+        else:
+            there[k] = False
+            if (u := over(k)) >= 0:
+                inner[u] += inner[k] - held_[k]
+    return candidates[np.array(there, bool)] if len(candidates) else candidates
 
 
 def recognize_batch(tokens: pa.ListArray, options: Options) -> pa.ListArray:
@@ -141,8 +160,7 @@ def recognize_batch(tokens: pa.ListArray, options: Options) -> pa.ListArray:
         recover_heads(as_list, head.tolist(), punct.tolist())
         heads = np.array(as_list, bool)
     iob = f.strings("ent_iob").to_numpy(zero_copy_only=False)
-    for a, b in entity_spans(np.where(here == first, np.where(iob == "I", "B", iob), iob) if n else iob):
-        one_head_for_entity(heads, head, a, b)
+    one_head_for_entity(heads, head, *entity_spans(np.where(here == first, np.where(iob == "I", "B", iob), iob) if n else iob))
 
     depth = depths(head)
     left, right, below = edges(head, depth)
@@ -195,12 +213,14 @@ def recognize_batch(tokens: pa.ListArray, options: Options) -> pa.ListArray:
     if marked.any():
         held = total_below(head, depth, heads)
         above = heads[resolve(np.where(heads, here, head))] if n else heads  # a head at or above
-        chosen = np.unique(np.where(heads, here, head)[marked & above])
-        for s in np.unique(np.searchsorted(begin, chosen, side="right") - 1):
-            mine = chosen[(chosen >= begin[s]) & (chosen < begin[s + 1])]
-            roots = set((begin[s] + np.flatnonzero(is_root[begin[s] : begin[s + 1]])).tolist())
-            kept = prune_clauses([c for c in mine.tolist() if c not in roots], roots, head, held, options.least)
-            clause_head[list(kept)] = True
+        chosen = np.zeros(n, bool)
+        chosen[np.where(heads, here, head)[marked & above]] = True
+        chosen = chosen & (held >= options.least) | is_root
+        nearest = resolve(np.where(chosen, here, head))
+        over = np.where((head != here) & chosen[nearest[head]], nearest[head], -1)
+        at = np.flatnonzero(chosen)
+        clause_head[:] = False
+        clause_head[prune_clauses(at, is_root[at], over[at], held[at], options.least)] = True
     owner = resolve(np.where(clause_head, here, head)) if n else here
     clause = np.where(clause_head[owner], owner - first, -1) if n else here
     top = resolve(head) if n else here

@@ -5,14 +5,19 @@ What runs in a kernel gets a sentence as Python values and returns it changed or
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import math
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType, _parse_datatype_string
 
 from ..functions.fields import swap_width
+from .evaluate import Side
 from .recognize import SUFFIX, flatten
 from .trees import crossing, depths
 
@@ -106,6 +111,100 @@ def merge_to(spans: list[tuple[int, int]], tokens: list[dict]) -> list[dict]:
     return out
 
 
+def rewritten(sentences: DataFrame, change: Callable[..., list[dict]], *columns: str, error: str | None = None) -> DataFrame:
+    """sentences with tokens that `change` makes of them and of the values of the columns. Where it raises a ValueError, the sentence is
+    left out; or if `error` is given, its tokens are null and that column says why."""
+    names = sentences.columns
+    place, places = names.index("tokens"), [names.index(c) for c in columns]
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, changed, said = [], [], []
+            for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in (place, *places)), strict=True)):
+                try:
+                    changed.append(change(*row))
+                    said.append(None)
+                except ValueError as e:
+                    if error is None:
+                        continue
+                    changed.append(None)
+                    said.append(str(e))
+                keep.append(k)
+            out = batch.take(pa.array(keep, pa.int64())).columns
+            out[place] = pa.array(changed, batch.schema.field(place).type)
+            yield pa.RecordBatch.from_arrays([*out, pa.array(said, pa.string())] if error else out, [*names, error] if error else names)
+
+    return sentences.mapInArrow(stage, StructType([*sentences.schema.fields, StructField(error, StringType())]) if error else sentences.schema)
+
+
+def with_bunsetu_heads(sentences: DataFrame, bi: str = "bi", error: str | None = None) -> DataFrame:
+    """sentences with the suffix on the relation of each bunsetu's root; bi: the column with the tokens' bunsetu labels."""
+
+    def change(tokens: list[dict], labels: list[str | None]) -> list[dict]:
+        dep = mark_bunsetu_heads([t["head"] for t in tokens], [t["dep"] for t in tokens], labels)
+        return [t | {"dep": d} for t, d in zip(tokens, dep, strict=True)]
+
+    return rewritten(sentences, change, bi, error=error)
+
+
+def with_suffix(sentences: DataFrame, spans: str = "spans") -> DataFrame:
+    """sentences with the suffix on the first token of each span that has its head outside; spans: start and end, places of tokens."""
+
+    def change(tokens: list[dict], found: list[dict]) -> list[dict]:
+        dep = append_suffix([t["head"] for t in tokens], [t["dep"] for t in tokens], [(x["start"], x["end"]) for x in found])
+        return [t | {"dep": d} for t, d in zip(tokens, dep, strict=True)]
+
+    return rewritten(sentences, change, spans)
+
+
+def retokenised(sentences: DataFrame, spans: str = "spans", error: str | None = None) -> DataFrame:
+    """sentences with tokens merged to those of another tokenisation; spans: begin and end, characters."""
+    return rewritten(sentences, lambda tokens, found: merge_to([(x["begin"], x["end"]) for x in found], tokens), spans, error=error)
+
+
+def decoded(sentences: DataFrame, labels: str = "labels", must_have: bool = False) -> DataFrame:
+    """sentences with `entities` (begin, end: places of tokens; label) of their labels, and `error` where these are bad."""
+    place = sentences.columns.index(labels)
+    kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("label", pa.string())]))
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, said = [], []
+            for row in batch.column(place).to_pylist():
+                every = range(len(row or []))
+                try:
+                    found.append([dict(zip(("begin", "end", "label"), x, strict=True)) for x in decode_labels(row or [], list(every), [i + 1 for i in every], must_have)])
+                    said.append(None)
+                except ValueError as e:
+                    found.append(None)
+                    said.append(str(e))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind), pa.array(said, pa.string())], [*batch.schema.names, "entities", "error"])
+
+    kinds = _parse_datatype_string("entities array<struct<begin:int,end:int,label:string>>, error string")
+    return sentences.mapInArrow(stage, StructType([*sentences.schema.fields, *kinds.fields]))
+
+
+def aligned_tags(files: DataFrame) -> DataFrame:
+    """files with `labels`, those of their sentences' tokens by tags of the text, and `error` where a token isn't in it. files: text, tags
+    (label, begin, end), sentences (arrays of words)."""
+    places = [files.columns.index(c) for c in ("text", "tags", "sentences")]
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, said = [], []
+            for row in zip(*(batch.column(c).to_pylist() for c in places), strict=True):
+                try:
+                    found.append(align_tags(*row))
+                    said.append(None)
+                except ValueError as e:
+                    found.append(None)
+                    said.append(str(e))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.list_(pa.string()))), pa.array(said, pa.string())], [*batch.schema.names, "labels", "error"])
+
+    kinds = _parse_datatype_string("labels array<array<string>>, error string")
+    return files.mapInArrow(stage, StructType([*files.schema.fields, *kinds.fields]))
+
+
 def projective(sentences: DataFrame, flag: str = "ok") -> DataFrame:
     """sentences with a flag that is false where the tree has crossing arcs or a circle."""
     names = sentences.columns
@@ -118,8 +217,6 @@ def projective(sentences: DataFrame, flag: str = "ok") -> DataFrame:
             round_ = np.add.reduceat(np.append(depths(f.head) < 0, False).astype(int), f.begin[:-1]) * (np.diff(f.begin) > 0) > 0 if len(f.head) else bad
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(~(bad | round_))], [*names, flag])
 
-    from pyspark.sql.types import BooleanType, StructField, StructType
-
     return sentences.mapInArrow(stage, StructType([*sentences.schema.fields, StructField(flag, BooleanType())]))
 
 
@@ -129,9 +226,6 @@ def gold_ready(sentences: DataFrame, bunsetu_heads: bool = False, luw: bool = Fa
     bunsetu heads (sentences in which a token has no bunsetu label are left out). sentences: those of CoNLL-U."""
     from ..sources.conllu import misc_fields
 
-    names = sentences.columns
-    place, bi_place, misc_place = (names.index(n) for n in ("tokens", "bi", "misc"))
-
     def ready(tokens: list[dict], bi: list[str | None], misc: list[str]) -> list[dict]:
         fields = [misc_fields(m) for m in misc]
         if luw:
@@ -149,78 +243,114 @@ def gold_ready(sentences: DataFrame, bunsetu_heads: bool = False, luw: bool = Fa
                 out[i] |= {"ent_iob": "U" if b - a == 1 else "B" if i == a else "L" if i == b - 1 else "I", "ent_type": name}
         return out
 
+    return rewritten(projective(sentences).filter("ok").drop("ok"), ready, "bi", "misc")
+
+
+def biluo(sentences: DataFrame) -> DataFrame:
+    """sentences with `labels`, those of their tokens by `entities` (begin, end, label; characters). A token belongs to the span that it
+    overlaps; if several, to the first."""
+    place, spans_place = sentences.columns.index("tokens"), sentences.columns.index("entities")
+
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, changed = [], []
-            for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in (place, bi_place, misc_place)), strict=True)):
-                try:
-                    changed.append(ready(*row))
-                    keep.append(k)
-                except ValueError:
-                    continue
-            columns = batch.take(pa.array(keep, pa.int64())).columns
-            columns[place] = pa.array(changed, batch.schema.field(place).type)
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return projective(sentences).filter("ok").drop("ok").mapInArrow(stage, sentences.schema)
+            t = Side(batch.column(place))
+            lists = batch.column(spans_place)
+            flat = lists.flatten()
+            begin, end = (flat.field(flat.type.get_field_index(n)).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("begin", "end"))
+            name = np.array(flat.field(flat.type.get_field_index("label")).to_pylist(), object)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())).astype(np.int64)
+            order = np.lexsort((end, begin, row))
+            base = t.row << 32
+            low = np.searchsorted(base | t.last, (row << 32 | begin)[order], side="right")
+            high = np.searchsorted(base | t.first, (row << 32 | end)[order], side="left")
+            labels = np.full(len(t.row), "O", object)
+            taken = 0
+            for k, a, b in zip(order.tolist(), low.tolist(), high.tolist(), strict=True):
+                a = max(a, taken)
+                if b > a:
+                    taken = b
+                    labels[a:b] = f"I-{name[k]}"
+                    labels[b - 1] = f"L-{name[k]}"
+                    labels[a] = f"B-{name[k]}" if b - a > 1 else f"U-{name[k]}"
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(t.begin.astype(np.int32)), pa.array(labels, pa.string()))], [*batch.schema.names, "labels"])
+
+    return sentences.mapInArrow(stage, StructType([*sentences.schema.fields, StructField("labels", ArrayType(StringType()))]))
+
+
+def invalid_labels(sentences: DataFrame) -> DataFrame:
+    """Places where a BILUO sequence breaks its rules: sent, i, label; none in a valid one. sentences: sent, labels."""
+    labels = F.col("labels")
+
+    def kind(x: Column) -> Column:
+        return F.substring(x, 1, 1)
+
+    def bad(x: Column, i: Column) -> Column:
+        before, after = F.get(labels, i - 1), F.get(labels, i + 1)
+        opened = F.coalesce(kind(before).isin("B", "I"), F.lit(False))
+        other = F.substring(before, 2, F.length(before)) != F.substring(x, 2, F.length(x))
+        return (kind(x).isin("I", "L") & (~opened | other)) | (kind(x).isin("B", "U", "O") & opened) | (after.isNull() & kind(x).isin("B", "I"))
+
+    each = F.transform("labels", lambda x, i: F.struct(i.alias("i"), x.alias("label"), bad(x, i).alias("bad")))
+    return sentences.select("sent", F.inline(F.filter(each, lambda e: e["bad"]))).select("sent", "i", "label")
+
+
+def paragraph_numbers(n: int, doc: object, closes: list[bool], groups: list | None, seed: int = 1) -> list[int]:
+    """The paragraph of each sentence of a document: a paragraph ends when it has as many as it should and its last one may close it, or
+    before a sentence of another group; what is left at the end that can't close a paragraph joins the one before it."""
+
+    def size(k: int) -> int:
+        if n > 0:
+            return n
+        u = int(hashlib.md5(f"{doc}:{k}:{seed}".encode()).hexdigest()[:8], 16) / float(1 << 32)
+        return math.floor(u * u * -n + 1)
+
+    out: list[int] = []
+    k = held = 0
+    due = size(0) if n else 1 << 62
+    for i, close in enumerate(closes):
+        if held and groups is not None and groups[i] != groups[i - 1]:
+            k, held, due = k + 1, 0, size(k + 1) if n else due
+        out.append(k)
+        held += 1
+        if held >= due and close:
+            k, held, due = k + 1, 0, size(k + 1)
+    if held and k and not closes[-1] and (groups is None or groups[-1] == groups[-1 - held]):
+        out[-held:] = [k - 1] * held
+    return out
 
 
-def biluo(tokens: DataFrame, spans: DataFrame) -> DataFrame:
-    """Labels of tokens (sent, i, begin, end) by spans (sent, begin, end, label): sent, i, label. A token belongs to the span that it
-    overlaps; if several, to the first."""
-    s = spans.select("sent", F.col("begin").alias("b"), F.col("end").alias("e"), F.col("label").alias("name"))
-    inside = tokens.join(s, "sent").filter("begin < e and end > b").groupBy("sent", "i").agg(F.min(F.struct("b", "e", "name")).alias("s"))
-    span = Window.partitionBy("sent", "s")
-    place, size = F.row_number().over(span.orderBy("i")), F.count(F.lit(1)).over(span)
-    kind = F.when(size == 1, "U").when(place == 1, "B").when(place == size, "L").otherwise("I")
-    found = inside.select("sent", "i", F.concat(kind, F.lit("-"), F.col("s.name")).alias("found"))
-    return tokens.join(found, ["sent", "i"], "left").select("sent", "i", F.coalesce("found", F.lit("O")).alias("label"))
-
-
-def invalid_labels(labels: DataFrame) -> DataFrame:
-    """Places where a BILUO sequence breaks its rules; none in a valid one. labels: sent, i, label."""
-    order = Window.partitionBy("sent").orderBy("i")
-    kind, name = F.substring("label", 1, 1), F.regexp_replace("label", "^[^-]*-?", "")
-    t = labels.withColumn("kind", kind).withColumn("name", name)
-    t = t.withColumn("before", F.coalesce(F.lag("kind").over(order), F.lit("O"))).withColumn("before_name", F.lag("name").over(order)).withColumn("last", F.lead("kind").over(order).isNull())
-    open_ = F.col("before").isin("B", "I")
-    bad = (F.col("kind").isin("I", "L") & (~open_ | (F.col("before_name") != F.col("name")))) | (F.col("kind").isin("B", "U", "O") & open_) | (F.col("last") & F.col("kind").isin("B", "I"))
-    return t.filter(bad).select("sent", "i", "label")
-
-
-def paragraphs(sentences: DataFrame, n: int, order: str = "sent_id", doc: str = "doc_id", seed: int = 1) -> DataFrame:
+def paragraphs(sentences: DataFrame, n: int, order: str = "sent_id", doc: str = "doc_id", seed: int = 1, closes: Column | None = None, group: Column | None = None) -> DataFrame:
     """sentences with `paragraph`. n > 0: n sentences each, a shorter rest joining the last whole one; 0: the whole document; n < 0:
-    as many as floor(-n u^2 + 1), u drawn from a hash of document and place."""
-    by = Window.partitionBy(doc).orderBy(order)
-    if n == 0:
-        return sentences.withColumn("paragraph", F.lit(0).cast("bigint"))
-    number = F.row_number().over(by) - 1
-    if n > 0:
-        total = F.count(F.lit(1)).over(Window.partitionBy(doc))
+    as many as floor(-n u^2 + 1), u being drawn by md5 from document, number of the paragraph and seed. closes: whether a sentence may
+    be a paragraph's last; group: a paragraph's sentences agree in it. With either, a rest that may close a paragraph is its own."""
+    if n >= 0 and closes is None and group is None:
+        by = Window.partitionBy(doc).orderBy(order)
+        if n == 0:
+            return sentences.withColumn("paragraph", F.lit(0).cast("bigint"))
+        number, total = F.row_number().over(by) - 1, F.count(F.lit(1)).over(Window.partitionBy(doc))
         return sentences.withColumn("paragraph", F.least(F.floor(number / n), F.greatest(F.floor(total / n) - 1, F.lit(0))).cast("bigint"))
-    # Lengths are drawn for paragraphs in turn; the fold of a document's places is small and stays in its row.
-    docs = sentences.groupBy(doc).agg(F.sort_array(F.collect_list(order)).alias("places"))
-
-    def draw(k: Column) -> Column:
-        u = F.pmod(F.xxhash64(F.col(doc), k, F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003)
-        return F.floor(u * u * (-n) + 1).cast("bigint")
+    # Lengths depend on what came before, so a document's places are folded in one row; they are narrow.
+    one = F.struct(F.col(order).alias("o"), (F.lit(True) if closes is None else closes).alias("c"), (F.lit(None).cast("string") if group is None else group.cast("string")).alias("g"))
+    docs = sentences.groupBy(doc).agg(F.sort_array(F.collect_list(one)).alias("x")).select(doc, F.col(doc).cast("string").alias("name"), "x.o", "x.c", "x.g")
 
-    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("bigint").alias("k"), draw(F.lit(0).cast("bigint")).alias("left"))
+    grouped = group is not None
 
-    def step(acc: Column, _: Column) -> Column:
-        over = acc["left"] == 0
-        k = F.when(over, acc["k"] + 1).otherwise(acc["k"])
-        left = F.when(over, draw(acc["k"] + 1)).otherwise(acc["left"])
-        return F.struct(F.concat(acc["out"], F.array(k)).alias("out"), k.alias("k"), (left - 1).alias("left"))
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [paragraph_numbers(n, d, c, g if grouped else None, seed) for d, c, g in zip(*(batch.column(k).to_pylist() for k in (1, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.int64()))], [doc, "o", "k"])
 
-    numbered = docs.select(doc, F.inline(F.arrays_zip(F.col("places").alias(order), F.aggregate("places", start, step)["out"].alias("paragraph"))))
+    kind = _parse_datatype_string("k array<bigint>")
+    folded = docs.mapInArrow(stage, StructType([docs.schema[doc], docs.schema["o"], *kind.fields]))
+    numbered = folded.select(doc, F.inline(F.arrays_zip(F.col("o").alias(order), F.col("k").alias("paragraph"))))
     return sentences.join(numbered, [doc, order])
 
 
 def augment_width(sentences: DataFrame, key: list[str], seed: int = 1) -> DataFrame:
     """Sentences and, for two thirds of them, a second one with swapped widths: `copy` is 1, and in half of these the lemmas are
-    swapped too. The choice is a hash of the key."""
-    draw = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(6))
+    swapped too. The choice is an md5 of the key and seed."""
+    text = F.concat_ws(":", *[F.col(k).cast("string") for k in key], F.lit(str(seed)))
+    draw = F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), F.lit(6))
     tokens = F.transform(
         "tokens",
         lambda t: t.withField("orth", swap_width(t["orth"])).withField("lemma", F.when(draw < 2, swap_width(t["lemma"])).otherwise(t["lemma"])),
@@ -264,7 +394,10 @@ def align_tags(text: str, tags: list[dict], sentences: list[list[str]]) -> list[
         n = len(words)
         labels = ["O"] * n
         for a, b, name in spans:
-            mine = [i for i in range(n) if begin[k + i] < b and end[k + i] > a and labels[i] == "O"]
+            if not n or b <= begin[k] or a >= end[k + n - 1]:
+                continue
+            first, last = bisect_right(end, a, k, k + n), bisect_left(begin, b, k, k + n)
+            mine = [i - k for i in range(first, last) if labels[i - k] == "O"]
             for j, i in enumerate(mine):
                 labels[i] = ("U" if len(mine) == 1 else "B" if not j else "L" if j == len(mine) - 1 else "I") + "-" + name
         out.append(labels)

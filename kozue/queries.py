@@ -135,8 +135,8 @@ def q_token_annotations(spark, sf):
     SELECT doc_id, sent_id, i, CAST(coalesce(sum(length(orth) + length(ws)) OVER {_BEFORE}, 0) AS INTEGER) AS "begin",
            CAST(coalesce(sum(length(orth) + length(ws)) OVER {_BEFORE}, 0) + length(orth) AS INTEGER) AS "end" FROM tok""")
 def q_char_offsets(spark, sf):
-    rows = tokens.token_table(sentences(spark, sf)).withColumn("sent", F.struct("doc_id", "sent_id"))
-    return evaluate.with_offsets(rows).select("doc_id", "sent_id", "i", "begin", "end")
+    rows = evaluate.with_spans(sentences(spark, sf)).select("doc_id", "sent_id", F.posexplode("spans").alias("i", "s"))
+    return rows.select("doc_id", "sent_id", "i", "s.begin", "s.end")
 
 
 def _as_lines(spark, sf):
@@ -221,9 +221,11 @@ def q_repeated_sentences(spark, sf):
 
 @query(f"WITH {TREE} SELECT t.doc_id, t.sent_id, t.i, h.orth AS head_orth, h.pos AS head_pos FROM tree t JOIN tree h ON t.doc_id = h.doc_id AND t.sent_id = h.sent_id AND t.head = h.i")
 def q_tree_head(spark, sf):
-    rows = sentences(spark, sf).select("doc_id", "sent_id", "tokens", F.posexplode("tokens").alias("i", "t"))
-    head = tokens.head_of(F.col("tokens"), F.col("t"))
-    return rows.select("doc_id", "sent_id", "i", head["orth"].alias("head_orth"), head["pos"].alias("head_pos"))
+    def row(t, i):
+        head = tokens.head_of(F.col("tokens"), t)
+        return F.struct(i.alias("i"), head["orth"].alias("head_orth"), head["pos"].alias("head_pos"))
+
+    return sentences(spark, sf).select("doc_id", "sent_id", F.inline(F.transform("tokens", row)))
 
 
 _DEPTH = f"""WITH RECURSIVE {TREE},
@@ -255,6 +257,27 @@ def q_subtrees(spark, sf):
     return token_rows(spark, sf).select("doc_id", "sent_id", "i", "left", "right", "descendants")
 
 
+@query(f"""WITH RECURSIVE {TREE}, way AS (
+        SELECT doc_id, sent_id, i AS place, head, 0 AS k FROM tree WHERE i = 0
+        UNION ALL SELECT t.doc_id, t.sent_id, t.i, t.head, w.k + 1 FROM way w JOIN tree t ON t.doc_id = w.doc_id AND t.sent_id = w.sent_id AND t.i = w.head AND w.head <> w.place),
+    last AS (SELECT doc_id, sent_id, max(i) AS last FROM tree GROUP BY 1, 2)
+    SELECT w.doc_id, w.sent_id, coalesce(string_agg(CAST(place AS VARCHAR), ' ' ORDER BY k) FILTER (k > 0), '') AS path, bool_or(place = last) AS below_last
+    FROM way w JOIN last l ON w.doc_id = l.doc_id AND w.sent_id = l.sent_id GROUP BY 1, 2""")
+def q_first_path(spark, sf):
+    t, last = F.col("tokens"), F.size("tokens") - 1
+    return recognised(spark, sf).select("doc_id", "sent_id", tokens.joined(tokens.ancestors(t, F.lit(0)), " ").alias("path"), tokens.in_subtree(F.col("units"), t, F.lit(0), last).alias("below_last"))
+
+
+@query(f"""WITH {TREE}
+    SELECT doc_id, sent_id, coalesce(string_agg(CAST(i AS VARCHAR), ' ' ORDER BY i) FILTER (i < root), '') AS lefts, coalesce(string_agg(CAST(i AS VARCHAR), ' ' ORDER BY i) FILTER (i > root), '') AS rights,
+           count(*) FILTER (i <> root) AS n_children
+    FROM (SELECT t.*, r.i AS root FROM tree t JOIN (SELECT doc_id, sent_id, i FROM tree WHERE i = head) r ON t.doc_id = r.doc_id AND t.sent_id = r.sent_id WHERE t.head = r.i) GROUP BY 1, 2""".replace("SELECT t.*, r.i AS root", "SELECT t.doc_id, t.sent_id, t.i, r.i AS root"))
+def q_root_children(spark, sf):
+    t, root = F.col("tokens"), F.get(F.col("units.root"), F.lit(0))
+    side = lambda name: tokens.joined(tokens.children(t, root, name), " ")
+    return recognised(spark, sf).select("doc_id", "sent_id", side("left").alias("lefts"), side("right").alias("rights"), F.size(tokens.children(t, root)).cast("bigint").alias("n_children"))
+
+
 # Bunsetu, phrases, clauses.
 
 
@@ -313,14 +336,41 @@ def q_case_frames(spark, sf):
     return phrases.frames(recognised(spark, sf), ("nmod", "advcl"))
 
 
-@query()
+#: Candidates for clauses by place; a stack of those that are kept holds what lies within the next. Content words come after what is below them.
+_CLAUSES = f"""WITH RECURSIVE {UNITS},
+w AS MATERIALIZED (SELECT doc_id, sent_id, i, head, root, is_head, orth FROM unit),
+up AS (SELECT doc_id, sent_id, i AS place, i AS a FROM w
+    UNION ALL SELECT u.doc_id, u.sent_id, t.head, u.a FROM up u JOIN w t ON t.doc_id = u.doc_id AND t.sent_id = u.sent_id AND t.i = u.place AND t.head <> t.i),
+sub AS MATERIALIZED (SELECT u.doc_id, u.sent_id, place AS i, min(a) AS l, max(a) AS r, CAST(sum(CASE WHEN is_head THEN 1 ELSE 0 END) AS BIGINT) AS held
+    FROM up u JOIN w t ON t.doc_id = u.doc_id AND t.sent_id = u.sent_id AND t.i = u.a GROUP BY 1, 2, 3),
+marked AS (SELECT doc_id, sent_id, CASE WHEN is_head THEN i ELSE head END AS i FROM w WHERE orth IN (',', ';') AND i <> root),
+cand AS MATERIALIZED (SELECT s.*, row_number() OVER (PARTITION BY s.doc_id, s.sent_id ORDER BY s.i) AS k, t.i = t.root AS top
+    FROM sub s JOIN w t ON s.doc_id = t.doc_id AND s.sent_id = t.sent_id AND s.i = t.i
+    WHERE t.i = t.root OR (held >= 2 AND EXISTS (SELECT 1 FROM marked m WHERE m.doc_id = s.doc_id AND m.sent_id = s.sent_id AND m.i = s.i))),
+step AS (SELECT doc_id, sent_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(p INTEGER, h BIGINT)[]) AS stack, CAST(-1 AS INTEGER) AS i, false AS kept, false AS alone FROM (SELECT DISTINCT doc_id, sent_id FROM cand)
+    UNION ALL
+    SELECT s.doc_id, s.sent_id, c.k,
+           CASE WHEN c.held - coalesce(list_sum(list_transform(list_filter(s.stack, lambda x: x.p >= c.l), lambda x: x.h)), 0) >= 2
+                THEN list_append(list_filter(s.stack, lambda x: x.p < c.l), {{'p': c.i, 'h': c.held}}) ELSE s.stack END,
+           c.i, c.top OR c.held - coalesce(list_sum(list_transform(list_filter(s.stack, lambda x: x.p >= c.l), lambda x: x.h)), 0) >= 2,
+           c.top AND c.held - coalesce(list_sum(list_transform(list_filter(s.stack, lambda x: x.p >= c.l), lambda x: x.h)), 0) < 2
+    FROM step s JOIN cand c ON c.doc_id = s.doc_id AND c.sent_id = s.sent_id AND c.k = s.k + 1),
+steps AS MATERIALIZED (SELECT * FROM step),
+kept AS MATERIALIZED (SELECT s.doc_id, s.sent_id, s.i, l, r FROM steps s JOIN cand c ON s.doc_id = c.doc_id AND s.sent_id = c.sent_id AND s.i = c.i
+    JOIN (SELECT doc_id, sent_id, bool_or(alone) AS alone FROM steps GROUP BY 1, 2) a ON a.doc_id = s.doc_id AND a.sent_id = s.sent_id WHERE s.kept AND (top OR NOT a.alone)),
+clause AS (SELECT t.doc_id, t.sent_id, t.i, any_value(t.orth) AS orth, CAST(min_by(k.i, r - l) AS INTEGER) AS clause
+    FROM w t JOIN kept k ON t.doc_id = k.doc_id AND t.sent_id = k.sent_id AND t.i BETWEEN k.l AND k.r GROUP BY 1, 2, 3)
+"""
+
+
+@query(_CLAUSES + "SELECT doc_id, sent_id, i, clause FROM clause")
 def q_clause_heads(spark, sf):
     return tokens.token_table(recognised(spark, sf, True)).select("doc_id", "sent_id", "i", "clause")
 
 
-@query()
+@query(_CLAUSES + "SELECT doc_id, sent_id, clause, string_agg(CAST(i AS VARCHAR), ' ' ORDER BY i) AS places, string_agg(orth, ' ' ORDER BY i) AS text FROM clause GROUP BY 1, 2, 3")
 def q_clauses(spark, sf):
-    return phrases.clauses(recognised(spark, sf, True))
+    return phrases.clauses(recognised(spark, sf, True)).withColumn("places", tokens.joined(F.col("places"), " "))
 
 
 @query(f"WITH {UNITS} SELECT dep, count(*) AS n FROM unit WHERE is_head GROUP BY dep")
@@ -328,7 +378,8 @@ def q_dep_report(spark, sf):
     return treebank.dep_report(token_rows(spark, sf))
 
 
-@query()
+@query(f"""WITH {TREE}, c AS (SELECT doc_id, sent_id, i, min(CASE WHEN dep <> 'compound' THEN i END) OVER ({_S} ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS first FROM tree),
+    n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, sent_id, first) AS n FROM c) SELECT doc_id, sent_id, i, first FROM n WHERE n > 1""")
 def q_conjuncts(spark, sf):
     # Seed trees have no coordination: compounds are read as such.
     t = F.transform("tokens", lambda t: t.withField("dep", F.replace(t["dep"], F.lit("compound"), F.lit("conj"))))
@@ -383,24 +434,41 @@ def q_json_sentences(spark, sf):
 # Splitting.
 
 
-def _split(spark, sf, mode):
-    return tokens.token_table(split.split_compounds(seed.with_sub_tokens(sentences(spark, sf)), mode)).select("doc_id", "sent_id", "i", "orth", "lemma", "ws", "idx")
+def _split_sentences(spark, sf, mode):
+    return split.split_compounds(seed.with_sub_tokens(sentences(spark, sf)), mode)
 
 
-def _split_sql(pieces: str) -> str:
-    return f"""WITH {TOKENS},
-    p AS (SELECT doc_id, sent_id, i, ws, idx, CASE WHEN length(orth) >= 8 THEN {pieces} ELSE [orth] END AS parts FROM tok),
-    u AS (SELECT doc_id, sent_id, i, ws, idx, len(parts) AS m, unnest(parts) AS orth, unnest(range(1, len(parts) + 1)) AS k FROM p)
-    SELECT doc_id, sent_id, CAST(row_number() OVER ({_S} ORDER BY i, k) - 1 AS INTEGER) AS i, orth, lower(orth) AS lemma, CASE WHEN k = m THEN ws ELSE '' END AS ws,
-           CAST(idx + sum(length(orth)) OVER (PARTITION BY doc_id, sent_id, i ORDER BY k ROWS UNBOUNDED PRECEDING) - length(orth) AS INTEGER) AS idx FROM u"""
+def _split(spark, sf, mode):
+    fields_ = ("doc_id", "sent_id", "i", "orth", "lemma", "norm", "ws", "idx", "pos", "tag", "dep", "head", "ent_iob", "ent_type")
+    return tokens.token_table(_split_sentences(spark, sf, mode)).select(*fields_)
 
 
-@query(_split_sql("list_transform(range(0, (length(orth) - 1) // 3 + 1), lambda k: substring(orth, k * 3 + 1, 3))"))
+def _split_sql(pieces: str) -> str:
+    """Pieces by what they attach to: outer links go to a compound's first piece if it is a tight relation, else to its last."""
+    return f"""{TREE},
+    parts AS (SELECT *, length(orth) >= 8 AS cut, i <> head AND dep IN ('compound', 'nummod', 'punct') AS bound, CASE WHEN length(orth) >= 8 THEN {pieces} ELSE [orth] END AS ps FROM named),
+    sized AS (SELECT *, len(ps) AS m, CAST(sum(len(ps)) OVER ({_S} ORDER BY i ROWS UNBOUNDED PRECEDING) - 1 AS INTEGER) AS last_piece FROM parts),
+    anchored AS (SELECT *, CASE WHEN bound THEN last_piece - m + 1 ELSE last_piece END AS anchor FROM sized),
+    linked AS (SELECT a.*, h.anchor AS target FROM anchored a JOIN anchored h ON a.doc_id = h.doc_id AND a.sent_id = h.sent_id AND a.head = h.i),
+    piece AS (SELECT *, unnest(ps) AS part, unnest(range(1, m + 1)) AS k FROM linked),
+    pieces AS (
+        SELECT doc_id, sent_id, CAST(last_piece - m + k AS INTEGER) AS i, part AS orth, lower(part) AS lemma, lower(part) AS norm, CASE WHEN k = m THEN ws ELSE '' END AS ws,
+               CAST(idx + sum(length(part)) OVER (PARTITION BY doc_id, sent_id, i ORDER BY k ROWS UNBOUNDED PRECEDING) - length(part) AS INTEGER) AS idx, pos, tag,
+               CASE WHEN k < m THEN 'compound' WHEN dep IN ('nmod', 'advcl') THEN dep || '_bunsetu' ELSE dep END AS dep,
+               CAST(CASE WHEN i = head OR (cut AND NOT bound AND k < m) THEN last_piece ELSE target END AS INTEGER) AS head, CASE WHEN k > 1 AND ent_iob = 'B' THEN 'I' ELSE ent_iob END AS ent_iob, ent_type
+        FROM piece)"""
+
+
+_SHORT = "list_transform(range(0, (length(orth) - 1) // 3 + 1), lambda k: substring(orth, k * 3 + 1, 3))"
+_MIDDLE = "[substring(orth, 1, (length(orth) + 1) // 2), substring(orth, (length(orth) + 1) // 2 + 1)]"
+
+
+@query(f"WITH {_split_sql(_SHORT)} SELECT * FROM pieces")
 def q_split_a(spark, sf):
     return _split(spark, sf, "A")
 
 
-@query(_split_sql("[substring(orth, 1, (length(orth) + 1) // 2), substring(orth, (length(orth) + 1) // 2 + 1)]"))
+@query(f"WITH {_split_sql(_MIDDLE)} SELECT * FROM pieces")
 def q_split_b(spark, sf):
     return _split(spark, sf, "B")
 
@@ -412,89 +480,115 @@ def q_sub_tokens(spark, sf):
     return rows.select("doc_id", "sent_id", F.array_join(each, " ").alias("pieces"))
 
 
-# Evaluation: the system is the seed parse with some of its answers changed.
+# Evaluation: the system is the seed parse with long words split in two and some of its answers changed.
+
 
+def _plain(tokens_):
+    """Tokens without the suffix of bunsetu heads."""
+    return F.transform(tokens_, lambda t: t.withField("dep", F.regexp_replace(t["dep"], "_bunsetu$", "")))
 
-def _gold_and_system(spark, sf):
-    rows = token_rows(spark, sf).withColumn("sent", F.struct("doc_id", "sent_id")).select("sent", "i", "orth", "ws", "pos", "tag", "dep", "head", "ent_iob", "ent_type")
-    i = F.col("i")
-    system = rows.select(
-        "sent", "i", "orth", "ws",
-        F.when(i % 7 == 3, "X").otherwise(F.col("pos")).alias("pos"),
-        "tag",
-        F.when((i % 11 == 5) & (F.col("dep") != "ROOT"), "dep").otherwise(F.col("dep")).alias("dep"),
-        F.when((i % 13 == 4) & (F.col("dep") != "ROOT"), 0).otherwise(F.col("head")).cast("int").alias("head"),
-        F.when(i % 17 == 6, "O").otherwise(F.col("ent_iob")).alias("ent_iob"),
-        F.when(i % 5 == 1, "God").otherwise(F.col("ent_type")).alias("ent_type"),
-    )
-    return rows, system
 
+def _changed(t, i):
+    loose = t["dep"] != "ROOT"
+    t = t.withField("pos", F.when(i % 7 == 3, "X").otherwise(t["pos"])).withField("ent_iob", F.when(i % 17 == 6, "O").otherwise(t["ent_iob"])).withField("ent_type", F.when(i % 5 == 1, "God").otherwise(t["ent_type"]))
+    return t.withField("head", F.when((i % 13 == 4) & loose, 0).otherwise(t["head"])).withField("dep", F.when((i % 11 == 5) & loose, "dep").otherwise(t["dep"]))
 
-_SYSTEM = f"""WITH {TREE},
-s AS (SELECT doc_id, sent_id, i, CASE WHEN i % 7 = 3 THEN 'X' ELSE pos END AS spos, CASE WHEN i % 11 = 5 AND dep <> 'ROOT' THEN 'dep' ELSE dep END AS sdep,
-             CASE WHEN i % 13 = 4 AND dep <> 'ROOT' THEN 0 ELSE head END AS shead FROM named),
-e AS (SELECT g.doc_id, g.sent_id, g.i, pos, spos, pos = spos AS p, g.head = s.shead AS u, dep, sdep, g.head = s.shead AND lower(dep) = lower(sdep) AS l, dep = 'ROOT' AS r
-      FROM named g JOIN s ON g.doc_id = s.doc_id AND g.sent_id = s.sent_id AND g.i = s.i)"""
 
+def _pairs(spark, sf):
+    rows = seed.with_sub_tokens(sentences(spark, sf)).withColumn("gold", evaluate.slim(_plain(F.col("tokens"))))
+    system = F.transform(evaluate.slim(_plain(F.col("tokens"))), _changed)
+    return split.split_compounds(rows, "B").select(F.struct("doc_id", "sent_id").alias("sent"), "gold", system.alias("system"))
 
-@query(_SYSTEM + """, c AS (SELECT doc_id, sent_id, count(*) AS n, count(*) FILTER (p) AS p, count(*) FILTER (u) AS u, count(*) FILTER (l) AS l, count(*) FILTER (p AND u) AS pu, count(*) FILTER (p AND l) AS pl, count(*) FILTER (r) AS r FROM e GROUP BY 1, 2),
-    m AS (SELECT unnest([{'measure': 'tokens', 'correct': sum(n), 'n': sum(n)}, {'measure': 'tag', 'correct': sum(n), 'n': sum(n)}, {'measure': 'pos', 'correct': sum(p), 'n': sum(n)}, {'measure': 'uas', 'correct': sum(u), 'n': sum(n)},
-        {'measure': 'las', 'correct': sum(l), 'n': sum(n)}, {'measure': 'pos_uas', 'correct': sum(pu), 'n': sum(n)}, {'measure': 'pos_las', 'correct': sum(pl), 'n': sum(n)}, {'measure': 'root', 'correct': sum(r), 'n': sum(r)},
-        {'measure': 'sentence', 'correct': count(*), 'n': count(*)}, {'measure': 'sentence_uas', 'correct': count(*) FILTER (u = n), 'n': count(*)}, {'measure': 'sentence_las', 'correct': count(*) FILTER (l = n), 'n': count(*)}]) AS x FROM c)
-    SELECT x.measure AS measure, CAST(x.correct AS BIGINT) AS correct, CAST(x.n AS BIGINT) AS gold, CAST(x.n AS BIGINT) AS system FROM m""")
+
+_SYSTEM = f"""WITH {_split_sql(_MIDDLE)},
+system AS (SELECT doc_id, sent_id, i, orth, ws, tag, CASE WHEN i % 7 = 3 THEN 'X' ELSE pos END AS pos, CASE WHEN i % 11 = 5 AND dep <> 'ROOT' THEN 'dep' ELSE replace(dep, '_bunsetu', '') END AS dep,
+                  CASE WHEN i % 13 = 4 AND dep <> 'ROOT' THEN 0 ELSE head END AS head, CASE WHEN i % 17 = 6 THEN 'O' ELSE ent_iob END AS ent_iob, CASE WHEN i % 5 = 1 THEN 'God' ELSE ent_type END AS ent_type FROM pieces),
+gs AS (SELECT *, coalesce(sum(length(orth) + length(ws)) OVER {_BEFORE}, 0) AS b, coalesce(sum(length(orth) + length(ws)) OVER {_BEFORE}, 0) + length(orth) AS e, dep = 'ROOT' AS r FROM named),
+ss AS (SELECT *, coalesce(sum(length(orth) + length(ws)) OVER {_BEFORE}, 0) AS b, coalesce(sum(length(orth) + length(ws)) OVER {_BEFORE}, 0) + length(orth) AS e, dep = 'ROOT' AS r FROM system),
+gh AS (SELECT t.*, h.b AS hb, h.e AS he FROM gs t JOIN gs h ON t.doc_id = h.doc_id AND t.sent_id = h.sent_id AND t.head = h.i),
+sh AS (SELECT t.*, h.b AS hb, h.e AS he FROM ss t JOIN ss h ON t.doc_id = h.doc_id AND t.sent_id = h.sent_id AND t.head = h.i),
+met AS (SELECT g.doc_id, g.sent_id, g.pos, g.dep, g.r, s.pos AS spos, s.dep AS sdep, s.e IS NOT NULL AS ends, coalesce(g.b = s.b, false) AS m, coalesce(g.b = s.b AND g.tag = s.tag, false) AS t,
+               coalesce(g.b = s.b AND g.pos = s.pos, false) AS p, coalesce(g.b = s.b AND g.r AND s.r, false) AS rr,
+               coalesce(g.b = s.b AND ((g.r AND s.r) OR (NOT g.r AND NOT s.r AND ((g.hb >= s.hb AND g.he <= s.he) OR (g.hb <= s.hb AND g.he >= s.he)))), false) AS u
+        FROM gh g LEFT JOIN sh s ON g.doc_id = s.doc_id AND g.sent_id = s.sent_id AND g.e = s.e),
+e AS (SELECT *, u AND lower(dep) = lower(sdep) AS l FROM met)"""
+
+
+def _islands(table: str, name: str) -> str:
+    return f"""{name}_b AS (SELECT *, ent_iob = 'B' OR (ent_iob = 'I' AND coalesce(lag(ent_iob) OVER ({_S} ORDER BY i), 'O') = 'O') AS begins FROM {table}),
+    {name}_n AS (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER ({_S} ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM {name}_b),
+    {name} AS (SELECT doc_id, sent_id, min(b) AS b, max(e) AS e, min_by(ent_type, i) AS label FROM {name}_n WHERE ent_iob <> 'O' GROUP BY doc_id, sent_id, k)"""
+
+
+_ENTITIES = f"{_SYSTEM}, {_islands('gs', 'ge')}, {_islands('ss', 'se')}"
+_COUNTS = _ENTITIES + """,
+    both_e AS (SELECT g.label AS g, s.label AS s FROM ge g FULL JOIN se s ON g.doc_id = s.doc_id AND g.sent_id = s.sent_id AND g.b = s.b AND g.e = s.e),
+    ec AS (SELECT count(g) AS ge, count(s) AS se, count(*) FILTER (g IS NOT NULL AND s IS NOT NULL) AS ent_span, count(*) FILTER (g = s) AS ent_label FROM both_e),
+    sc AS (SELECT count(*) AS sn, count(*) FILTER (r) AS sr FROM system_r),
+    c AS (SELECT doc_id, sent_id, count(*) AS n, count(*) FILTER (m) AS m, count(*) FILTER (t) AS t, count(*) FILTER (p) AS p, count(*) FILTER (u) AS u, count(*) FILTER (l) AS l, count(*) FILTER (p AND u) AS pu, count(*) FILTER (p AND l) AS pl, count(*) FILTER (r) AS r, count(*) FILTER (rr) AS rr FROM e GROUP BY 1, 2),
+    f AS (SELECT unnest([{'measure': 'tokens', 'correct': sum(m), 'gold': sum(n), 'system': any_value(sn)}, {'measure': 'tag', 'correct': sum(t), 'gold': sum(n), 'system': any_value(sn)}, {'measure': 'pos', 'correct': sum(p), 'gold': sum(n), 'system': any_value(sn)},
+        {'measure': 'uas', 'correct': sum(u), 'gold': sum(n), 'system': any_value(sn)}, {'measure': 'las', 'correct': sum(l), 'gold': sum(n), 'system': any_value(sn)}, {'measure': 'pos_uas', 'correct': sum(pu), 'gold': sum(n), 'system': any_value(sn)},
+        {'measure': 'pos_las', 'correct': sum(pl), 'gold': sum(n), 'system': any_value(sn)}, {'measure': 'root', 'correct': sum(rr), 'gold': sum(r), 'system': any_value(sr)},
+        {'measure': 'sentence', 'correct': count(*) FILTER (m = n), 'gold': count(*), 'system': count(*)}, {'measure': 'sentence_uas', 'correct': count(*) FILTER (u = n), 'gold': count(*), 'system': count(*)}, {'measure': 'sentence_las', 'correct': count(*) FILTER (l = n), 'gold': count(*), 'system': count(*)},
+        {'measure': 'ent_span', 'correct': any_value(ent_span), 'gold': any_value(ge), 'system': any_value(se)}, {'measure': 'ent_label', 'correct': any_value(ent_label), 'gold': any_value(ge), 'system': any_value(se)}]) AS x FROM c, sc, ec),
+    counted AS (SELECT x.measure AS measure, CAST(x.correct AS BIGINT) AS correct, CAST(x.gold AS BIGINT) AS gold, CAST(x.system AS BIGINT) AS system FROM f)
+    """.replace("system_r", "ss")
+_RATES = """CASE WHEN system > 0 THEN CAST(correct AS DOUBLE) / system ELSE 0.0 END AS precision, CASE WHEN gold > 0 THEN CAST(correct AS DOUBLE) / gold ELSE 0.0 END AS recall"""
+_F1 = "round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, 9) AS f1"
+
+
+def _rounded(rated, *first):
+    return rated.select(*first, "correct", "gold", "system", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(_COUNTS + "SELECT * FROM counted")
 def q_eval_counts(spark, sf):
-    return evaluate.counts(*_gold_and_system(spark, sf)).filter("measure not like 'ent%'")
+    return evaluate.counts(_pairs(spark, sf))
 
 
-@query()
+@query(_COUNTS + f", r AS (SELECT *, {_RATES} FROM counted) SELECT measure, correct, gold, system, round(precision, 9) AS precision, round(recall, 9) AS recall, {_F1} FROM r")
 def q_eval_rates(spark, sf):
-    return evaluate.rates(evaluate.counts(*_gold_and_system(spark, sf)))
+    return _rounded(evaluate.rates(evaluate.counts(_pairs(spark, sf))), "measure")
+
 
+@query(_COUNTS + "SELECT CAST(sum(correct) AS BIGINT) AS score FROM counted")
+def q_composite_score(spark, sf):
+    return evaluate.composite_score(evaluate.counts(_pairs(spark, sf)))
 
-@query(_SYSTEM + "SELECT pos AS gold, spos AS system, count(*) AS n FROM e GROUP BY 1, 2")
+
+@query(_SYSTEM + "SELECT pos AS gold, CASE WHEN m THEN spos ELSE '_' END AS system, count(*) AS n FROM e WHERE m OR NOT ends GROUP BY 1, 2")
 def q_confusion_pos(spark, sf):
-    return evaluate.confusion(*_gold_and_system(spark, sf), "pos")
+    return evaluate.confusion(_pairs(spark, sf), "pos")
 
 
-@query(_SYSTEM + "SELECT lower(dep) AS gold, CASE WHEN u THEN sdep ELSE '_' END AS system, count(*) AS n FROM e GROUP BY 1, 2")
+@query(_SYSTEM + "SELECT lower(dep) AS gold, CASE WHEN u THEN sdep ELSE '_' END AS system, count(*) AS n FROM e WHERE m OR NOT ends GROUP BY 1, 2")
 def q_confusion_dep(spark, sf):
-    return evaluate.confusion(*_gold_and_system(spark, sf), "dep")
+    return evaluate.confusion(_pairs(spark, sf), "dep")
 
 
-@query(_SYSTEM + """, m AS (SELECT lower(dep) AS gold, lower(CASE WHEN u THEN sdep ELSE '_' END) AS system FROM e),
+@query(_SYSTEM + f""", m AS (SELECT lower(dep) AS gold, lower(CASE WHEN u THEN sdep ELSE '_' END) AS system FROM e WHERE m OR NOT ends),
     g AS (SELECT gold AS label, count(*) AS gold, count(*) FILTER (m.gold = m.system) AS correct FROM m GROUP BY 1), y AS (SELECT system AS label, count(*) AS system FROM m GROUP BY 1),
     a AS (SELECT label, correct, gold, coalesce(y.system, 0) AS system FROM g LEFT JOIN y USING (label)),
-    r AS (SELECT *, CASE WHEN system > 0 THEN CAST(correct AS DOUBLE) / system ELSE 0.0 END AS precision, CASE WHEN gold > 0 THEN CAST(correct AS DOUBLE) / gold ELSE 0.0 END AS recall FROM a)
-    SELECT label, correct, gold, system, round(precision, 9) AS precision, round(recall, 9) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, 9) AS f1 FROM r""")
+    r AS (SELECT *, {_RATES} FROM a)
+    SELECT label, correct, gold, system, round(precision, 9) AS precision, round(recall, 9) AS recall, {_F1} FROM r""")
 def q_label_rates(spark, sf):
-    rated = evaluate.label_rates(evaluate.confusion(*_gold_and_system(spark, sf), "dep"))
-    return rated.select("label", "correct", "gold", "system", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+    return _rounded(evaluate.label_rates(evaluate.confusion(_pairs(spark, sf), "dep")), "label")
 
 
-@query(_SYSTEM + "SELECT count(*) AS n, count(*) FILTER (p) AS correct, round(CAST(count(*) FILTER (p) AS DOUBLE) / count(*), 9) AS accuracy FROM e WHERE pos = 'NOUN'")
+@query(_SYSTEM + "SELECT count(*) AS n, count(*) FILTER (p) AS correct, round(CAST(count(*) FILTER (p) AS DOUBLE) / count(*), 9) AS accuracy FROM e WHERE pos = 'NOUN' AND m")
 def q_conditional_accuracy(spark, sf):
-    found = evaluate.conditional_accuracy(*_gold_and_system(spark, sf), F.col("g.pos") == "NOUN")
+    found = evaluate.conditional_accuracy(_pairs(spark, sf), F.col("g.pos") == "NOUN")
     return found.select("n", "correct", F.round("accuracy", 9).alias("accuracy"))
 
 
-def _islands(iob: str, kind: str, name: str) -> str:
-    return f"""{name}_o AS (SELECT doc_id, sent_id, i, {iob} AS iob, {kind} AS kind, coalesce(sum(length(orth) + length(ws)) OVER {_BEFORE}, 0) AS b, length(orth) AS len FROM named),
-    {name}_b AS (SELECT *, iob = 'B' OR (iob = 'I' AND coalesce(lag(iob) OVER ({_S} ORDER BY i), 'O') = 'O') AS begins FROM {name}_o),
-    {name}_n AS (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER ({_S} ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM {name}_b),
-    {name} AS (SELECT doc_id, sent_id, min(b) AS b, max(b + len) AS e, min_by(kind, i) AS label FROM {name}_n WHERE iob <> 'O' GROUP BY doc_id, sent_id, k)"""
-
-
-_ENTITIES = f"WITH {TREE}, {_islands('ent_iob', 'ent_type', 'ge')}, {_islands("CASE WHEN i % 17 = 6 THEN 'O' ELSE ent_iob END", "CASE WHEN i % 5 = 1 THEN 'God' ELSE ent_type END", 'se')}"
-
-
 @query(_ENTITIES + "SELECT g.label AS gold, coalesce(s.label, '_') AS system, count(*) AS n FROM ge g LEFT JOIN se s ON g.doc_id = s.doc_id AND g.sent_id = s.sent_id AND g.b = s.b AND g.e = s.e GROUP BY 1, 2")
 def q_entity_confusion(spark, sf):
-    return evaluate.entity_confusion(*_gold_and_system(spark, sf))
+    return evaluate.entity_confusion(_pairs(spark, sf))
 
 
-@query(_ENTITIES + "SELECT count(g.label) AS ge, count(s.label) AS se, count(*) FILTER (g.label IS NOT NULL AND s.label IS NOT NULL) AS ent_span, count(*) FILTER (g.label = s.label) AS ent_label FROM ge g FULL JOIN se s ON g.doc_id = s.doc_id AND g.sent_id = s.sent_id AND g.b = s.b AND g.e = s.e")
+@query(_COUNTS + "SELECT ge, se, ent_span, ent_label FROM ec")
 def q_entity_match(spark, sf):
-    return evaluate.entity_counts(*_gold_and_system(spark, sf))
+    return evaluate.entity_counts(_pairs(spark, sf))
 
 
 @query("SELECT lang, list_sort(list(n_chars))[count(*) // 2 + 1] AS median FROM documents GROUP BY lang")
@@ -505,20 +599,30 @@ def q_upper_median(spark, sf):
 # Treebank.
 
 
-def _spans(spark, sf):
-    rows, _ = _gold_and_system(spark, sf)
-    return evaluate.with_offsets(rows), evaluate.entities(rows)
+def _labelled(spark, sf):
+    rows = sentences(spark, sf).select(F.struct("doc_id", "sent_id").alias("sent"), evaluate.slim(F.col("tokens")).alias("tokens"))
+    return treebank.biluo(evaluate.with_entities(rows)).select("sent", "labels")
+
 
+_BILUO = f"""WITH {TREE}, x AS (SELECT doc_id, sent_id, i, pos = 'PROPN' AS e, coalesce(last_pos = 'PROPN', false) AS before, coalesce(next_pos = 'PROPN', false) AS after, ent_type FROM named),
+    labelled AS (SELECT doc_id, sent_id, i, CASE WHEN NOT e THEN 'O' ELSE CASE WHEN before AND after THEN 'I' WHEN before THEN 'L' WHEN after THEN 'B' ELSE 'U' END || '-' || ent_type END AS label FROM x)"""
 
-@query(f"""WITH {TREE}, x AS (SELECT doc_id, sent_id, i, pos = 'PROPN' AS e, coalesce(last_pos = 'PROPN', false) AS before, coalesce(next_pos = 'PROPN', false) AS after, ent_type FROM named)
-    SELECT doc_id, sent_id, i, CASE WHEN NOT e THEN 'O' ELSE CASE WHEN before AND after THEN 'I' WHEN before THEN 'L' WHEN after THEN 'B' ELSE 'U' END || '-' || ent_type END AS label FROM x""")
+
+@query(_BILUO + "SELECT * FROM labelled")
 def q_biluo(spark, sf):
-    return treebank.biluo(*_spans(spark, sf)).select("sent.doc_id", "sent.sent_id", "i", "label")
+    return _labelled(spark, sf).select("sent.doc_id", "sent.sent_id", F.posexplode("labels").alias("i", "label"))
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS INTEGER) AS sent_id, CAST(NULL AS INTEGER) AS i, CAST(NULL AS VARCHAR) AS label WHERE false")
+@query(_BILUO + f""", c AS (SELECT doc_id, sent_id, i, CASE WHEN i % 7 = 2 THEN 'O' WHEN i % 5 = 1 AND label <> 'O' THEN label[1] || '-God' ELSE label END AS label FROM labelled),
+    n AS (SELECT *, label[1] AS kind, coalesce(lag(label[1]) OVER ({_S} ORDER BY i), 'O') AS before, lag(label[2:]) OVER ({_S} ORDER BY i) AS before_name, lead(i) OVER ({_S} ORDER BY i) IS NULL AS final FROM c)
+    SELECT doc_id, sent_id, i, label FROM n
+    WHERE (kind IN ('I', 'L') AND (before NOT IN ('B', 'I') OR before_name <> label[2:])) OR (kind IN ('B', 'U', 'O') AND before IN ('B', 'I')) OR (final AND kind IN ('B', 'I'))""")
 def q_invalid_labels(spark, sf):
-    return treebank.invalid_labels(treebank.biluo(*_spans(spark, sf))).select("sent.doc_id", "sent.sent_id", "i", "label")
+    def spoilt(x, i):
+        return F.when(i % 7 == 2, "O").when((i % 5 == 1) & (x != "O"), F.concat(F.substring(x, 1, 1), F.lit("-God"))).otherwise(x)
+
+    rows = _labelled(spark, sf).withColumn("labels", F.transform("labels", spoilt))
+    return treebank.invalid_labels(rows).select("sent.doc_id", "sent.sent_id", "i", "label")
 
 
 @query(f"""WITH {LINES}, r AS (SELECT doc_id, sent_id, row_number() OVER (PARTITION BY doc_id ORDER BY sent_id) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM lines)
@@ -527,24 +631,127 @@ def q_paragraphs(spark, sf):
     return treebank.paragraphs(seed.sentences_of(documents(spark, sf)).select("doc_id", "sent_id"), 3)
 
 
-@query()
+@query(f"""WITH {LINES}, r AS (SELECT doc_id, sent_id, row_number() OVER (PARTITION BY doc_id ORDER BY sent_id) - 1 AS place FROM lines),
+    d AS (SELECT doc_id, unnest(range(0, count(*))) AS k FROM lines GROUP BY doc_id),
+    u AS (SELECT doc_id, k, CAST('0x' || substring(md5(doc_id || ':' || k || ':1'), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS u FROM d),
+    p AS (SELECT doc_id, k, sum(CAST(floor(u * u * 15 + 1) AS BIGINT)) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto FROM u)
+    SELECT r.doc_id, r.sent_id, min(k) AS paragraph FROM r JOIN p ON r.doc_id = p.doc_id AND upto > place GROUP BY 1, 2""")
 def q_paragraphs_random(spark, sf):
     return treebank.paragraphs(seed.sentences_of(documents(spark, sf)).select("doc_id", "sent_id"), -15)
 
 
-@query(f"WITH {LINES} SELECT doc_id, sent_id, true AS ok FROM lines")
+@query(f"""WITH RECURSIVE {TREE},
+    t AS MATERIALIZED (SELECT doc_id, sent_id, i, CASE WHEN i % 13 = 4 AND dep <> 'ROOT' THEN 0 ELSE head END AS head FROM named),
+    up AS (SELECT doc_id, sent_id, i AS place, i AS a FROM t
+        UNION SELECT u.doc_id, u.sent_id, t.head, u.a FROM up u JOIN t ON t.doc_id = u.doc_id AND t.sent_id = u.sent_id AND t.i = u.place),
+    gaps AS (SELECT doc_id, sent_id, place, max(a) - min(a) + 1 <> count(*) AS gap FROM up GROUP BY 1, 2, 3),
+    ends AS (SELECT u.doc_id, u.sent_id, u.a, bool_or(t.head = t.i) AS rooted FROM up u JOIN t ON t.doc_id = u.doc_id AND t.sent_id = u.sent_id AND t.i = u.place GROUP BY 1, 2, 3),
+    g AS (SELECT doc_id, sent_id, bool_or(gap) AS gap FROM gaps GROUP BY 1, 2), c AS (SELECT doc_id, sent_id, bool_and(rooted) AS rooted FROM ends GROUP BY 1, 2)
+    SELECT g.doc_id, g.sent_id, NOT gap AND rooted AS ok FROM g JOIN c ON g.doc_id = c.doc_id AND g.sent_id = c.sent_id""")
 def q_projective(spark, sf):
-    return treebank.projective(sentences(spark, sf)).select("doc_id", "sent_id", "ok")
+    bent = F.transform("tokens", lambda t, i: t.withField("head", F.when((i % 13 == 4) & (t["dep"] != "ROOT"), 0).otherwise(t["head"])))
+    return treebank.projective(sentences(spark, sf).withColumn("tokens", bent)).select("doc_id", "sent_id", "ok")
 
 
-@query()
-def q_width_augmentation(spark, sf):
-    return treebank.augment_width(sentences(spark, sf), ["doc_id", "sent_id"]).select("doc_id", "sent_id", "copy", "text")
+def _swap(column: str) -> str:
+    return f"translate({column}, '{_HALF}{_FULL}', '{_FULL}{_HALF}')"
 
 
-@query()
+@query(f"""WITH {TOKENS}, m AS (SELECT doc_id, sent_id, string_agg(lemma, ' ' ORDER BY i) AS lemmas FROM tok GROUP BY 1, 2),
+    d AS (SELECT l.*, lemmas, CAST('0x' || substring(md5(l.doc_id || ':' || l.sent_id || ':1'), 1, 8) AS BIGINT) % 6 AS draw FROM lines l JOIN m ON l.doc_id = m.doc_id AND l.sent_id = m.sent_id)
+    SELECT doc_id, sent_id, 0 AS copy, text, lemmas FROM d
+    UNION ALL SELECT doc_id, sent_id, 1, {_swap('text')}, CASE WHEN draw < 2 THEN {_swap('lemmas')} ELSE lemmas END FROM d WHERE draw < 4""")
+def q_width_augmentation(spark, sf):
+    rows = treebank.augment_width(sentences(spark, sf), ["doc_id", "sent_id"])
+    return rows.select("doc_id", "sent_id", "copy", "text", F.array_join("tokens.lemma", " ").alias("lemmas"))
+
+
+# Conversion: each step on seed sentences, whose labels are known.
+
+
+def _deps(rows):
+    return rows.select("doc_id", "sent_id", F.array_join("tokens.dep", " ").alias("deps"))
+
+
+@query(f"""WITH RECURSIVE {UNITS},
+    u AS MATERIALIZED (SELECT doc_id, sent_id, bunsetu, i, head, dep, start FROM unit),
+    walk AS (SELECT doc_id, sent_id, bunsetu, i, i AS root, head AS root_head, start FROM u WHERE i = start
+        UNION ALL SELECT u.doc_id, u.sent_id, u.bunsetu, u.i, CASE WHEN u.head < w.start OR (u.i <= w.root_head AND w.root_head < u.head) OR u.dep = 'ROOT' THEN u.i ELSE w.root END,
+               CASE WHEN u.head < w.start OR (u.i <= w.root_head AND w.root_head < u.head) OR u.dep = 'ROOT' THEN u.head ELSE w.root_head END, w.start
+        FROM walk w JOIN u ON u.doc_id = w.doc_id AND u.sent_id = w.sent_id AND u.bunsetu = w.bunsetu AND u.i = w.i + 1),
+    r AS (SELECT doc_id, sent_id, bunsetu, max_by(root, i) AS root FROM walk GROUP BY 1, 2, 3)
+    SELECT u.doc_id, u.sent_id, string_agg(CASE WHEN i = r.root AND dep <> 'ROOT' THEN dep || '_bunsetu' ELSE dep END, ' ' ORDER BY i) AS deps
+    FROM u JOIN r ON u.doc_id = r.doc_id AND u.sent_id = r.sent_id AND u.bunsetu = r.bunsetu GROUP BY 1, 2""")
+def q_gold_bunsetu_heads(spark, sf):
+    rows = recognised(spark, sf).select("doc_id", "sent_id", "tokens", F.col("units.bi").alias("bi"))
+    return _deps(treebank.with_bunsetu_heads(rows))
+
+
+@query(f"""WITH {UNITS}, o AS (SELECT u.doc_id, u.sent_id, u.bunsetu, min(u.i) AS i FROM unit u JOIN unit h ON u.doc_id = h.doc_id AND u.sent_id = h.sent_id AND u.head = h.i
+        WHERE h.bunsetu <> u.bunsetu OR u.head = u.i GROUP BY 1, 2, 3)
+    SELECT u.doc_id, u.sent_id, string_agg(CASE WHEN u.i = o.i AND dep <> 'ROOT' THEN dep || '_bunsetu' ELSE dep END, ' ' ORDER BY u.i) AS deps
+    FROM unit u LEFT JOIN o ON u.doc_id = o.doc_id AND u.sent_id = o.sent_id AND u.bunsetu = o.bunsetu GROUP BY 1, 2""")
+def q_head_suffixes(spark, sf):
+    return _deps(treebank.with_suffix(recognised(spark, sf).select("doc_id", "sent_id", "tokens", phrases.spans(F.col("units")).alias("spans"))))
+
+
+@query(f"WITH {TREE} SELECT doc_id, sent_id, i, orth, lemma, ws, head, dep FROM named")
+def q_retokenised(spark, sf):
+    """Short units, merged to the tokens that they were cut from."""
+    rows = seed.with_sub_tokens(sentences(spark, sf)).withColumn("spans", F.transform("tokens", lambda t: F.struct(t["idx"].alias("begin"), (t["idx"] + F.length(t["orth"])).alias("end"))))
+    merged = treebank.retokenised(split.split_compounds(rows, "A"))
+    return tokens.token_table(merged.withColumn("tokens", _plain(F.col("tokens")))).select("doc_id", "sent_id", "i", "orth", "lemma", "ws", "head", "dep")
+
+
+@query(_BILUO + f""", c AS (SELECT doc_id, sent_id, i, CASE WHEN i % 31 = 2 THEN 'O' ELSE label END AS label FROM labelled),
+    n AS (SELECT *, label[1] AS kind, coalesce(lag(label) OVER ({_S} ORDER BY i), 'O') AS before FROM c),
+    m AS (SELECT *, kind IN ('I', 'L') AND (before = 'O' OR before[2:] <> label[2:]) AS bad, kind IN ('B', 'U') AS begins FROM n),
+    k AS (SELECT *, bool_or(bad) OVER ({_S}) AS error, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER ({_S} ORDER BY i ROWS UNBOUNDED PRECEDING) AS number FROM m),
+    s AS (SELECT doc_id, sent_id, number, min(i) AS b, max(i) + 1 AS e, any_value(label[3:]) AS name FROM k WHERE label <> 'O' AND NOT error GROUP BY 1, 2, 3),
+    g AS (SELECT doc_id, sent_id, string_agg(b || '-' || e || ' ' || name, ';' ORDER BY b) AS spans FROM s GROUP BY 1, 2)
+    SELECT a.doc_id, a.sent_id, a.error, coalesce(spans, '') AS spans FROM (SELECT doc_id, sent_id, bool_or(error) AS error FROM k GROUP BY 1, 2) a LEFT JOIN g ON a.doc_id = g.doc_id AND a.sent_id = g.sent_id""")
+def q_label_spans(spark, sf):
+    rows = _labelled(spark, sf).withColumn("labels", F.transform("labels", lambda x, i: F.when(i % 31 == 2, "O").otherwise(x)))
+    text = F.array_join(F.transform("entities", lambda e: F.concat(e["begin"].cast("string"), F.lit("-"), e["end"].cast("string"), F.lit(" "), e["label"])), ";")
+    return treebank.decoded(rows).select("sent.doc_id", "sent.sent_id", F.col("error").isNotNull().alias("error"), F.coalesce(text, F.lit("")).alias("spans"))
+
+
+@query(_BILUO + "SELECT doc_id, sent_id, string_agg(label, ' ' ORDER BY i) AS labels FROM labelled GROUP BY 1, 2")
+def q_aligned_tags(spark, sf):
+    slim_ = evaluate.slim(F.col("tokens"))
+    rows = evaluate.with_entities(sentences(spark, sf).select("doc_id", "sent_id", "text", slim_.alias("tokens"), F.col("tokens.idx").alias("idx")))
+    # Entities count characters of tokens and a space between; tags count those of the text.
+    spans = evaluate.with_spans(rows)
+    first = lambda e: F.get(F.filter(F.arrays_zip("spans", "idx"), lambda x: x["spans"]["begin"] == e["begin"]), F.lit(0))["idx"]
+    tags = F.transform("entities", lambda e: F.struct(e["label"].alias("label"), first(e).alias("begin"), (first(e) + e["end"] - e["begin"]).cast("int").alias("end")))
+    files = spans.select("doc_id", "sent_id", "text", tags.alias("tags"), F.array("tokens.orth").alias("sentences"))
+    return treebank.aligned_tags(files).select("doc_id", "sent_id", F.array_join(F.get("labels", F.lit(0)), " ").alias("labels"))
+
+
+@query(f"""WITH {TOKENS}, m AS (SELECT doc_id, sent_id, i, CASE i % 4 WHEN 0 THEN '_' WHEN 1 THEN 'Reading=' || lemma WHEN 2 THEN 'Reading=' || lemma || '|NE=B-Old' ELSE 'NE=O' END AS misc FROM tok)
+    SELECT doc_id, sent_id, i, CASE i % 4 WHEN 1 THEN misc || '|NE=U-New' WHEN 2 THEN replace(misc, 'NE=B-Old', 'NE=U-New') ELSE 'NE=U-New' END AS misc FROM m""")
+def q_rewritten_ne(spark, sf):
+    i, reading = F.col("i"), F.concat(F.lit("Reading="), F.col("lemma"))
+    misc = F.when(i % 4 == 0, "_").when(i % 4 == 1, reading).when(i % 4 == 2, F.concat(reading, F.lit("|NE=B-Old"))).otherwise("NE=O")
+    return tokens.token_table(sentences(spark, sf)).select("doc_id", "sent_id", "i", treebank.rewrite_ne(misc, F.lit("U-New")).alias("misc"))
+
+
+@query(f"""WITH RECURSIVE {LINES}, r AS MATERIALIZED (SELECT doc_id, sent_id, row_number() OVER (PARTITION BY doc_id ORDER BY sent_id) AS k, count(*) OVER (PARTITION BY doc_id) AS n, text LIKE '%.' AS closes, sent_id // 40 AS g FROM lines),
+    fold AS (SELECT doc_id, k, n, sent_id, 0 AS p, CASE WHEN 1 >= 3 AND closes THEN 0 ELSE 1 END AS held, g, closes FROM r WHERE k = 1
+        UNION ALL SELECT r.doc_id, r.k, r.n, r.sent_id, f.p + CASE WHEN f.held = 0 OR r.g <> f.g THEN 1 ELSE 0 END,
+               CASE WHEN (CASE WHEN r.g <> f.g THEN 0 ELSE f.held END) + 1 >= 3 AND r.closes THEN 0 ELSE (CASE WHEN r.g <> f.g THEN 0 ELSE f.held END) + 1 END, r.g, r.closes
+        FROM fold f JOIN r ON r.doc_id = f.doc_id AND r.k = f.k + 1),
+    tail AS (SELECT doc_id, p, g, held FROM fold WHERE k = n AND held > 0 AND NOT closes AND p > 0),
+    joined AS (SELECT t.doc_id, t.p FROM tail t JOIN fold f ON f.doc_id = t.doc_id AND f.k = f.n - t.held AND f.g = t.g)
+    SELECT f.doc_id, f.sent_id, CAST(CASE WHEN j.p IS NOT NULL AND f.p = j.p THEN f.p - 1 ELSE f.p END AS BIGINT) AS paragraph FROM fold f LEFT JOIN joined j ON f.doc_id = j.doc_id""")
+def q_paragraphs_closed(spark, sf):
+    rows = seed.sentences_of(documents(spark, sf)).select("doc_id", "sent_id", F.col("text").endswith(".").alias("c"), F.floor(F.col("sent_id") / 40).alias("g"))
+    return treebank.paragraphs(rows, 3, closes=F.col("c"), group=F.col("g")).select("doc_id", "sent_id", "paragraph")
+
+
+@query(f"WITH {TOKENS} SELECT CAST(doc_id AS VARCHAR) AS id, count(DISTINCT sent_id) AS sentences, count(*) AS tokens FROM tok GROUP BY doc_id")
 def q_gold_round_trip(spark, sf):
-    """Sentences that differ after they are written as gold JSON and read again: none."""
+    """Sentences and tokens that are written as gold JSON and read again."""
     from .sources import gold
 
     rows = treebank.paragraphs(sentences(spark, sf).select("doc_id", "sent_id", "text", formats.gold_tokens().alias("tokens")), 3)
@@ -554,7 +761,7 @@ def q_gold_round_trip(spark, sf):
     return count
 
 
-@query()
+@query(f"""WITH {TREE} SELECT doc_id || '-' || sent_id AS src, CAST(count(*) AS INTEGER) AS n, CAST(NULL AS VARCHAR) AS error, string_agg(CAST(head AS VARCHAR), ' ' ORDER BY i) AS heads FROM tree GROUP BY doc_id, sent_id""")
 def q_conllu_round_trip(spark, sf):
     """Sentences that were written as CoNLL-U and parsed again: their tokens, heads and labels."""
     from .sources import conllu

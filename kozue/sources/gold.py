@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GOLD_TOKEN = "struct<id:int,orth:string,lemma:string,norm:string,pos:string,tag:string,dep:string,head:int,whitespace:string,ner:string>"
@@ -20,12 +20,19 @@ def explode_gold(docs: DataFrame) -> DataFrame:
     return paragraphs.select("id", "paragraph", F.col("p.raw").alias("text"), F.posexplode("p.sentences").alias("sent_id", "s")).select("id", "paragraph", "sent_id", "text", F.col("s.tokens").alias("tokens"))
 
 
-def token_rows(sentences: DataFrame) -> DataFrame:
-    """Token table for evaluation: sent, i and fields; heads absolute in the sentence."""
-    rows = sentences.select(F.struct("id", "paragraph", "sent_id").alias("sent"), F.posexplode("tokens").alias("i", "t"))
-    iob = F.coalesce(F.col("t.ner"), F.lit("O"))
-    ws = F.when(F.col("t.whitespace").isin("true", " "), " ").when(F.col("t.whitespace").isin("false", ""), "").otherwise(F.coalesce("t.whitespace", F.lit("")))
-    return rows.select("sent", "i", F.col("t.orth").alias("orth"), ws.alias("ws"), F.col("t.pos").alias("pos"), F.col("t.tag").alias("tag"), F.col("t.dep").alias("dep"), (F.col("i") + F.col("t.head")).alias("head"), F.substring_index(iob, "-", 1).alias("ent_iob"), F.when(iob.contains("-"), F.regexp_replace(iob, "^[^-]*-", "")).otherwise("").alias("ent_type"))
+def plain_tokens(tokens: str = "tokens") -> Column:
+    """Gold tokens as evaluation takes them: heads absolute in the sentence, labels in two."""
+
+    def plain(t: Column, i: Column) -> Column:
+        iob = F.coalesce(t["ner"], F.lit("O"))
+        ws = F.when(t["whitespace"].isin("true", " "), " ").when(t["whitespace"].isin("false", ""), "").otherwise(F.coalesce(t["whitespace"], F.lit("")))
+        kind = F.when(iob.contains("-"), F.regexp_replace(iob, "^[^-]*-", "")).otherwise("")
+        return F.struct(
+            t["orth"].alias("orth"), ws.alias("ws"), t["pos"].alias("pos"), t["tag"].alias("tag"), t["dep"].alias("dep"),
+            (i + t["head"]).alias("head"), F.substring_index(iob, "-", 1).alias("ent_iob"), kind.alias("ent_type"),
+        )
+
+    return F.transform(tokens, plain)
 
 
 def to_gold(sentences: DataFrame, by: list[str]) -> DataFrame:

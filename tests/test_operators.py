@@ -260,21 +260,48 @@ def test_counts_over_different_tokens(spark):
         for m, n in pos.items():
             matrix[m] = matrix.get(m, 0) + n
     g, s = table(spark, gold), table(spark, system)
-    counted = {r.measure: r for r in evaluate.rates(evaluate.counts(g, s)).collect()}
+    pairs = evaluate.paired(evaluate.nested(g), evaluate.nested(s))
+    counted = {r.measure: r for r in evaluate.rates(evaluate.counts(pairs)).collect()}
     assert {m: counted[m].correct for m in total} == total
     assert counted["tokens"].gold == g.count() and counted["tokens"].system == s.count() and counted["ent_span"].f1 == 0
-    assert {(r.gold, r.system): r.n for r in evaluate.confusion(g, s, "pos").collect()} == matrix
-    assert evaluate.composite_score(evaluate.counts(g, s)).first().score >= sum(total.values())
-    assert evaluate.report(evaluate.rates(evaluate.counts(g, s))).count() == len(evaluate.MEASURES)
+    assert {(r.gold, r.system): r.n for r in evaluate.confusion(pairs, "pos").collect()} == matrix
+    assert evaluate.composite_score(evaluate.counts(pairs)).first().score >= sum(total.values())
+    assert evaluate.report(evaluate.rates(evaluate.counts(pairs))).count() == len(evaluate.MEASURES)
 
 
 def test_entities(spark):
     labels = ["B-X", "I-X", "O", "U-Y", "B-Z", "L-Z", "I-X", "O"]
     ts = [("ab", "", "N", "t", "a", 0, lab.split("-")[0], lab.partition("-")[2]) for lab in labels]
-    got = sorted((r.begin, r.end, r.label) for r in evaluate.entities(table(spark, {"s": ts})).collect())
+    got = sorted((r.begin, r.end, r.label) for r in evaluate.entities(evaluate.nested(table(spark, {"s": ts}))).collect())
     assert got == [(0, 4, "X"), (6, 8, "Y"), (8, 12, "Z"), (12, 14, "X")]
 
 
+def test_sentences_of_one_side(spark):
+    t = lambda *words: [(w, "", "N", "t", "root", 0, "B", "X") for w in words]
+    g, s = (evaluate.nested(table(spark, x)) for x in ({"a": t("ab"), "b": t("c")}, {"a": t("ab"), "z": t("d", "e")}))
+    got = {r.measure: (r.correct, r.gold, r.system) for r in evaluate.counts(evaluate.paired(g, s)).collect()}
+    assert got["tokens"] == (1, 2, 3) and got["sentence"] == (1, 2, 2) and got["ent_label"] == (1, 2, 3)
+    none = evaluate.counts(evaluate.paired(g.limit(0), s.limit(0))).collect()
+    assert len(none) == len(evaluate.MEASURES) and all(r.correct == r.gold == r.system == 0 for r in none)
+
+
+def test_upper_median(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.choice([rng.random() * 100, 5.0, -3.0])) for k in ("a", "b", None) for _ in range(rng.randint(1, 200))] + [("one", 7.0), ("same", 2.0), ("same", 2.0), ("same", None)]
+    want = {}
+    for k, v in rows:
+        if v is not None:
+            want.setdefault(k, []).append(v)
+    got = evaluate.upper_median(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()
+    assert {r.k: r.median for r in got} == {k: sorted(v)[len(v) // 2] for k, v in want.items()} and len(got) == len(want)
+
+
+def test_biluo_of_crossing_spans(spark):
+    ts = [(w, " ", "N", "t", "a", 0, "O", "") for w in ("ab", "c", "de", "f")]  # 0-2, 3-4, 5-7, 8-9
+    df = evaluate.nested(table(spark, {"s": ts})).withColumn("entities", F.from_json(F.lit('[{"begin":6,"end":9,"label":"Z"},{"begin":1,"end":4,"label":"X"},{"begin":3,"end":6,"label":"Y"}]'), "array<struct<begin:int,end:int,label:string>>"))
+    assert treebank.biluo(df).first().labels == ["B-X", "L-X", "U-Y", "U-Z"]
+
+
 # Treebank.
 
 
@@ -331,8 +358,9 @@ def test_projectivity_flag(spark):
 
 def test_invalid_sequences(spark):
     seqs = {"a": ["B-X", "I-X", "L-X", "O", "U-Y"], "b": ["B-X", "O"], "c": ["I-X"], "d": ["B-X", "L-Y"], "e": ["O", "B-X"]}
-    df = spark.createDataFrame([(s, i, x) for s, xs in seqs.items() for i, x in enumerate(xs)], "sent string, i int, label string")
-    assert {r.sent for r in treebank.invalid_labels(df).collect()} == {"b", "c", "d", "e"}
+    df = spark.createDataFrame(list(seqs.items()), "sent string, labels array<string>")
+    got = {(r.sent, r.i, r.label) for r in treebank.invalid_labels(df).collect()}
+    assert got == {("b", 1, "O"), ("c", 0, "I-X"), ("d", 1, "L-Y"), ("e", 1, "B-X")} | {("c", 0, "I-X")}
 
 
 def test_tags_align_with_tokens():

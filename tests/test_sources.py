@@ -84,13 +84,15 @@ def test_gold(spark, tmp_path):
     tokens = [{"id": 1, "orth": "ab", "tag": "n", "pos": "NOUN", "lemma": "ab", "head": 1, "dep": "nmod", "ner": "U-GPE", "whitespace": " "}, {"id": 2, "orth": "c", "tag": "v", "pos": "VERB", "lemma": "c", "head": 0, "dep": "root", "ner": "O"}]
     (tmp_path / "g.json").write_text(json.dumps([{"id": "d", "paragraphs": [{"raw": "ab c", "sentences": [{"tokens": tokens}]}]}]), encoding="utf-8")
     sents = gold.read_gold(spark, str(tmp_path / "g.json"))
-    rows = gold.token_rows(sents).orderBy("i").collect()
+    rows = sents.select(gold.plain_tokens().alias("tokens")).first().tokens
     assert [(r.orth, r.ws, r.head, r.ent_iob, r.ent_type) for r in rows] == [("ab", " ", 1, "U", "GPE"), ("c", "", 1, "O", "")]
     back = json.loads(gold.to_gold(sents.withColumnRenamed("id", "doc_id"), ["doc_id"]).first().json)
     assert back["paragraphs"][0]["sentences"][0]["tokens"][0]["orth"] == "ab"
     (tmp_path / "s.conllu").write_text("# sent_id = 1\n# text = ab c\n1\tab\tab\tNOUN\tn\t_\t2\tnmod\t_\tNE=B-GPE\n2\tc\tc\tNOUN\tv\t_\t0\troot\t_\tSpaceAfter=No\n", encoding="utf-8")
     counted = {r.measure: (r.correct, r.gold, r.system) for r in cli.evaluate_texts(sents, conllu.read_conllu(spark, str(tmp_path / "s.conllu"))).collect()}
     assert counted["las"] == (2, 2, 2) and counted["pos"] == (1, 2, 2) and counted["ent_label"] == (1, 1, 1)
+    live = {r.measure: (r.correct, r.gold, r.system) for r in cli.evaluate_texts(sents, cli.live_parses(sents, "seed")).collect()}
+    assert live["tokens"] == (2, 2, 2) and live["sentence"] == (1, 1, 1)
 
 
 def test_tagged(spark):
