@@ -6,7 +6,7 @@ get tables of their own. A document's score is the sum of its tables' entries, l
 
 Features are measures of the text, and hits in a lexicon of byte 5-grams and words that are much more frequent in toxic than in
 other labelled documents. The model is fitted on the driver, from the binned features of a sample of at most `sample_rows`
-labelled rows (those of the lowest hash of their id); all documents are scored.
+labelled rows (those of the lowest hash of their id; of rows that share an id, the one of the least text); all documents are scored.
 
 Cases: a text that is null or has no word is rejected with quality 0 and toxicity 0; labels that are null are left out, and
 of repeated labels of an id the lowest counts (the highest for toxicity); labels of one class only give a constant score; with no
@@ -258,8 +258,10 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     )
     texts = df.select(col(id_col).alias("id"), col(text_col).alias("text")).filter("text is not null")
     # The sample is bounded by its parameter, so it can go to all executors.
-    sample = texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id"), "inner").select("text", (F.col("quality") > 0).alias("quality"), (F.col("toxic") > 0).alias("toxic"))
-    return _fit_sample(sample, lexicon_size)
+    matched = texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id"), "inner")
+    # A row an id, so that repeated ids don't exceed the bound.
+    sample = matched.groupBy("label_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic"))
+    return _fit_sample(sample.select("text", (F.col("quality") > 0).alias("quality"), (F.col("toxic") > 0).alias("toxic")), lexicon_size)
 
 
 def _fit_sample(sample: DataFrame, lexicon_size: int) -> Classifier:

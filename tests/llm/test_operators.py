@@ -211,6 +211,70 @@ def test_quality_edges(spark, docs, empty):
     assert all(r.quality > 0.99 or r.quality == 0 for r in quality.classify(docs, one).collect())
 
 
+def plain_features(text, hits):
+    """The measures of a text by plain Python; hits: whether a unit (a 5-gram of letters, or a word) is in the lexicon."""
+    data = text.encode()
+    low = bytes(b + 32 if 65 <= b < 91 else b for b in data)
+    letter = [chr(b).isalpha() if b < 128 else True for b in data]
+    symbol = [b < 128 and not letter[k] and chr(b) not in "0123456789 \t\n\r\f\v.,;:'\"()-?" for k, b in enumerate(data)]
+    w = re.findall(rb"[^ \t\n\r\f\v]+", data)
+    upper, digits = sum(65 <= b < 91 for b in data), sum(48 <= b < 58 for b in data)
+    counts = collections.Counter(w)
+    n, total = max(1, len(data)), max(1, len(w))
+    found = [u for u in [low[k : k + 5] for k in range(len(data) - 4) if all(letter[k : k + 5])] + re.findall(rb"[a-z\x80-\xff]+", low) if u in hits]
+    log1p = lambda x: float(np.log1p(x))
+    return [
+        log1p(len(data)), upper / max(1, sum(letter)), sum(symbol) / n, digits / n, len(data) / total, len(counts) / total,
+        sum(a == b for a, b in zip(w, w[1:], strict=False)) / total, max(counts.values(), default=0) / total,
+        sum(a and b for a, b in zip(symbol, symbol[1:], strict=False)) / n, data.count(10) / total, log1p(len(found)), len(found) / total, log1p(len(set(found))),
+    ]
+
+
+def test_features_and_scores_are_the_plain_ones(spark):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    letters = "abcdeABé#@!.,'1 \n\t "
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 300))) for _ in range(80)] + ["", None, " \n", "a", "aaaaa", "éé", "x" * 4000, "hate hateful " * 50]
+    whole = [t or "" for t in texts]
+    # 5-grams and words of a few texts make the lexicon; their buckets are those that the kernel gives them.
+    units = {}
+    for t in whole[:20] + whole[-3:]:
+        low = t.encode().lower()
+        for u in re.findall(rb"[a-z\x80-\xff]{5}", low) + re.findall(rb"[a-z\x80-\xff]+", low):
+            data = np.frombuffer(u, np.uint8)
+            found, _ = quality.lexicon_units(data, np.array([0, len(u)]))
+            units[u] = set(found.tolist()) if len(u) in (1, 2, 3, 4) else None
+    word_bucket = {u: next(iter(b)) for u, b in units.items() if b}
+    flags = np.zeros(1 << quality.BUCKET_BITS, bool)
+    flags[list(word_bucket.values())] = True
+    every, _ = quality.lexicon_units(np.frombuffer("".join(f"{t} " for t in whole).encode(), np.uint8), np.cumsum([0] + [len(t.encode()) + 1 for t in whole]))
+    got = quality.features(pa.array(texts, pa.string()), flags)
+    want = np.array([plain_features(t, set(word_bucket)) for t in whole])
+    clash = len({int(b) for b in every}) and any(flags[b] for b in {int(x) for x in every} - set(word_bucket.values()))
+    assert not clash and np.allclose(got, want)
+    # A score is the logistic function of the sum of the table entries of its bins.
+    y = (want[:, 4] > np.median(want[:, 4])).astype(float)
+    model = quality.fit(want, y)
+    for x, score in zip(want, model.score(want), strict=True):
+        bins = [sum(e <= v for e in edges) for v, edges in zip(x, model.edges, strict=True)]
+        z = model.base + sum(t[b] for t, b in zip(model.tables, bins, strict=True))
+        z += sum(t[bins[i] * quality.GRID // quality.BINS, bins[j] * quality.GRID // quality.BINS] for (i, j), t in zip(model.pairs, model.pair_tables, strict=True))
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-12
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r for r in quality.classify(df, quality.Classifier(np.array(sorted(word_bucket.values())), model, None)).collect()}
+    for i, (t, score) in enumerate(zip(whole, model.score(want), strict=True)):
+        assert abs(out[i].quality - (score if t.split() else 0.0)) < 1e-9 and out[i].keep == bool(t.split() and score >= 0.5)
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "_fit_sample", lambda sample, size: seen.append(sample.collect()))
+    docs = spark.createDataFrame([(i % 40, f"text {i}") for i in range(900)], "doc_id long, text string")
+    quality.train(docs, spark.createDataFrame([(i, i % 2, 0) for i in range(40)] * 3, "doc_id long, quality int, toxic int"), sample_rows=25)
+    assert len(seen[0]) == 25 and {len({r.text for r in seen[0]})} == {25}
+
+
 def test_tables_add_up():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 3))
@@ -319,6 +383,45 @@ def test_chat_events(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_random_logs(spark):
+    """Random logs against a fold that makes the list of messages anew at each event."""
+    rng = random.Random(14)
+    kinds = ["message", "message", "delta", "delta", "edit", "regenerate", "other", None]
+    made = []
+    for conv in range(60):
+        for seq in range(rng.randint(0, 25)):
+            for _ in range(2 if rng.random() < 0.1 else 1):
+                made.append((conv, seq if rng.random() < 0.97 else None, rng.choice(kinds), rng.choice(["user", "assistant", None]), rng.choice(["", "a", "b <|x", None]), rng.choice([None, None, rng.randint(0, 25)])))
+    made += made[::9]
+
+    def brute(events):
+        key = lambda e: tuple((v is not None, v if v is not None else 0) for v in (e[0],)) + (e[1], e[2], e[3]) + ((e[4] is not None, e[4] or 0),)
+        shown, last = [], None
+        for e in sorted(events, key=key):
+            if e == last:
+                continue
+            last = e
+            seq, kind, role, text, target = e
+            where = {"edit": [k for k, m in enumerate(shown) if target is None or m[0] == target][-1:], "regenerate": [k for k, m in enumerate(shown) if (m[1] == role if target is None else m[0] == target)][-1:]}.get(kind)
+            if kind == "message":
+                shown = [*shown, (seq, role, text)]
+            elif kind == "delta":
+                shown = [*shown[:-1], (*shown[-1][:2], shown[-1][2] + text)] if shown and shown[-1][1] == role else [*shown, (seq, role, text)]
+            elif kind == "edit":
+                shown = [(*m[:2], text) if k in where else m for k, m in enumerate(shown)]
+            elif kind == "regenerate":
+                shown = [*(shown[: where[0]] if where else shown), (seq, role, text)]
+        clean = lambda x: x.replace("<|", "< |")
+        return len(shown), "".join(f"<|im_start|>{clean(r)}\n{clean(t)}<|im_end|>\n" for _, r, t in shown)
+
+    logs = collections.defaultdict(list)
+    for c, seq, kind, role, text, target in made:
+        logs[c].append((seq, kind or "message", role or "unknown", text or "", target))
+    df = spark.createDataFrame(made, "conv_id long, turn long, kind string, role string, text string, target long").repartition(5)
+    got = {r.conv_id: (r.n_messages, r.rendered) for r in chat.format_chats(df, kind_col="kind", target_col="target").collect()}
+    assert got == {c: brute(e) for c, e in logs.items()} and len(got) > 50
+
+
 def test_chat_long(spark):
     df = spark.range(20_000).selectExpr("id % 2 as conv_id", "id as turn", "'user' as role", "repeat('é', 600) as text")
     assert [(r.n_messages, len(r.rendered)) for r in chat.format_chats(df).collect()] == [(10_000, 10_000 * (600 + len("<|im_start|>user\n<|im_end|>\n")))] * 2
@@ -387,15 +490,15 @@ def test_language_id(spark):
     lang = {m[0]: m[2] for m in made}
     assert model[0] == ["aa", "bb", "cc"] and len(got) == 90
     assert sum(r.language == lang[r.doc_id] for r in got) >= 88
-    # Counting trigrams with a dictionary gives the same cosines.
-    text = made[1][1]
-    padded = f" {re.sub('[^a-zа-яé]+', ' ', text.lower()).strip()} "
-    counts = collections.Counter(g for g in zip(padded, padded[1:], padded[2:], strict=False) if g[1] != " ")
-    codes = np.array([ord(a) << 42 | ord(b) << 21 | ord(c) for a, b, c in counts], np.int64)
-    vector = np.array(list(counts.values())) @ langid.trigram_vectors(codes, langid.DIMENSIONS).astype(float)
-    cosine = vector @ model[1].T / np.linalg.norm(vector)
-    found = langid.identify(df.filter("doc_id = 1"), *model).first()
-    assert abs(found.score - cosine.max()) < 1e-4 and abs(found.lead - np.diff(np.sort(cosine))[-1]) < 1e-4
+    # Counting trigrams with a dictionary gives the same cosines, for every document.
+    found = {r.doc_id: r for r in langid.identify(df, *model).collect()}
+    for i, text, _ in made:
+        padded = f" {re.sub('[^a-zа-яé]+', ' ', text.lower()).strip()} "
+        counts = collections.Counter(g for g in zip(padded, padded[1:], padded[2:], strict=False) if g[1] != " ")
+        codes = np.array([ord(a) << 42 | ord(b) << 21 | ord(c) for a, b, c in counts], np.int64)
+        vector = np.array(list(counts.values())) @ langid.trigram_vectors(codes, langid.DIMENSIONS).astype(float)
+        cosine = vector @ model[1].T / np.linalg.norm(vector)
+        assert abs(found[i].score - cosine.max()) < 1e-4 and abs(found[i].lead - np.diff(np.sort(cosine))[-1]) < 1e-4 and found[i].language == model[0][int(cosine.argmax())]
 
 
 def test_rare_language_has_a_prototype(spark):
