@@ -96,6 +96,7 @@ def features(texts: pa.Array, lexicon: np.ndarray) -> np.ndarray:
     hits = np.bincount(unit_row[found], minlength=rows).astype(float)
     kinds = np.bincount(np.unique(unit_row[found] << BUCKET_BITS | units[found]) >> BUCKET_BITS, minlength=rows).astype(float)
     pairs = np.concatenate(([False], symbol[1:] & symbol[:-1])) if len(data) else symbol
+    pairs[offsets[:-1][size > 0]] = False  # the one before is of another text
     return np.column_stack(
         [
             np.log1p(size),
