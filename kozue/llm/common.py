@@ -72,6 +72,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint(eager=True)
 
 
+def deleted(spark: SparkSession, path: str, at_end: bool = False) -> None:
+    """Delete a folder of the shared file system, at once or when the driver ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if at_end:
+        files.deleteOnExit(place)
+    else:
+        files.delete(place, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read back, for what is too large for checkpoints, which aren't compressed. The table
     is deleted when the driver ends."""
@@ -79,8 +89,7 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     with _shuffles_deleted(spark):
         df.write.option("compression", "zstd").parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    deleted(spark, path, at_end=True)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -16,7 +16,7 @@ many are kept as were served; tokens that are null or negative count as 0; a wei
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +30,10 @@ TIME_BUCKETS = 4096
 WORD = r"[^ \t\n\r\f]+"
 
 
+#: Replaces a named column of texts by their token counts.
+Counter = Callable[[DataFrame, str], DataFrame]
+
+
 def token_estimate(text: Column) -> Column:
     """Words between white space."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
@@ -46,20 +50,20 @@ def _tie(text: Column, tokens_col: str | None) -> Column:
     return (F.xxhash64(text, col(tokens_col)) if tokens_col else F.xxhash64(text)).alias("tie")
 
 
-def _queue(df: DataFrame, weights: Mapping[str, float], default: float, seed: str, id_col: str, text_col: str, source_col: str, tokens_col: str | None) -> DataFrame:
+def _queue(df: DataFrame, weights: Mapping[str, float], default: float, seed: str, id_col: str, text_col: str, source_col: str, tokens_col: str | None, counter: Counter | None) -> DataFrame:
     """Narrow rows: what the order needs and no text."""
     text = col(text_col)
-    return (
-        df.select(
-            col(id_col).alias("doc_id"),
-            col(source_col).alias("source"),
-            (F.greatest(F.coalesce(col(tokens_col), F.lit(0)), F.lit(0)).cast("bigint") if tokens_col else token_estimate(text)).alias("tokens"),
-            F.md5(F.concat(F.lit(seed + ":"), F.coalesce(col(id_col).cast("string"), F.lit("")))).alias("shuffle_key"),
-            _tie(text, tokens_col),
-        )
-        .withColumn("weight", weight_of(F.col("source"), weights, default))
-        .filter("weight > 0")
-    )
+    tokens = text if counter else col(tokens_col) if tokens_col else token_estimate(text)
+    rows = df.select(
+        col(id_col).alias("doc_id"),
+        col(source_col).alias("source"),
+        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(col(id_col).cast("string"), F.lit("")))).alias("shuffle_key"),
+        _tie(text, tokens_col),
+        weight_of(col(source_col), weights, default).alias("weight"),
+        tokens.alias("tokens"),
+    ).filter("weight > 0")
+    rows = counter(rows, "tokens") if counter else rows
+    return rows.withColumn("tokens", F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0)).cast("bigint"))
 
 
 def finish_times(queue: DataFrame) -> DataFrame:
@@ -144,10 +148,12 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
     tokens_col: str | None = None,
+    counter: Counter | None = None,
 ) -> DataFrame:
     """The served documents in global order of finish time: doc_id, source, tokens, finish_time, served (tokens so far).
-    tokens_col: the column with the documents' token counts; without one, words between white space are counted."""
-    queue = checkpointed(_queue(df, weights, default_weight, seed, id_col, text_col, source_col, tokens_col))
+    The unit is a token of tokens_col, the column with the documents' counts; of counter, which replaces a column of texts by their counts;
+    or a word between white space."""
+    queue = checkpointed(_queue(df, weights, default_weight, seed, id_col, text_col, source_col, tokens_col, counter))
     served = _served(queue, budget, budget_fraction)
     served = served.repartitionByRange(*_order()).sortWithinPartitions(*_order())
     return served.select("doc_id", "source", "tokens", "finish_time", "served")
@@ -164,11 +170,12 @@ def mix_documents(
     text_col: str = "text",
     source_col: str = "source",
     tokens_col: str | None = None,
+    counter: Counter | None = None,
 ) -> DataFrame:
     """The whole rows of the served documents. What is served of a source begins its shuffled queue, so the place of its last
     document, a row a source, tells them from the others without moving any text."""
     source_name, cut_name, nth_name = fresh(df, "source", "cut", "nth")
-    queue = checkpointed(_queue(df, weights, default_weight, seed, id_col, text_col, source_col, tokens_col))
+    queue = checkpointed(_queue(df, weights, default_weight, seed, id_col, text_col, source_col, tokens_col, counter))
     served = _served(queue, budget, budget_fraction)
     cuts = served.groupBy(F.col("source").alias(source_name)).agg(F.max(F.struct("shuffle_key", "doc_id", "tie", "nth")).alias(cut_name))
     cuts = small(cuts, BROADCAST_SOURCES)

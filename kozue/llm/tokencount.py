@@ -1,6 +1,6 @@
 """Token counts by two compiled finite-state transducers.
 
-The first splits a text into pieces. Its thirteen states and ten character classes are compiled from the pattern of the byte-level
+The first splits a text into pieces. Its eleven states and eleven character classes are compiled from the pattern of the byte-level
 vocabularies; each transition is annotated with the pieces whose first character becomes certain there, this one or the one
 before. A text is cut into chunks of fixed length. Every chunk is run from all states at once, which gives its state map (exit
 state and emitted pieces for each entry state); the maps compose by a parallel prefix scan, and the scan gives each chunk its
@@ -23,9 +23,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .bpe import DEFAULT_RANKS, Memo, load_ranks
-from .common import col
+from .common import col, numbered
 from .kernels import slices
 
 # Character classes. The letters that contractions need have their own.
@@ -263,15 +264,24 @@ def count_batch(texts: list[str | None], memo: Memo) -> np.ndarray:
     return np.diff(counts[np.searchsorted(starts, offsets)])
 
 
-def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = DEFAULT_RANKS) -> DataFrame:
-    """Number of tokens of each text in the vocabulary: columns doc_id, n_tokens."""
+def counted(df: DataFrame, text_col: str = "text", ranks: str = DEFAULT_RANKS) -> DataFrame:
+    """df with each text replaced by the number of its tokens."""
+    place = df.columns.index(text_col)
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _counter(ranks)
-        for batch in slices(batches, 1, 1 << 20):
-            texts = batch.column(1).to_pylist()
+        for batch in slices(batches, place, 1 << 20):
+            texts = batch.column(place).to_pylist()
             void = np.array([t is None for t in texts], bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count_batch(texts, memo), pa.int64(), mask=void)], ["doc_id", "n_tokens"])
+            columns = list(batch.columns)
+            columns[place] = pa.array(count_batch(texts, memo), pa.int64(), mask=void)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    work = numbered(df)
+    schema = StructType([StructField(f.name, LongType() if k == place else f.dataType) for k, f in enumerate(work.schema.fields)])
+    return work.mapInArrow(stage, schema).toDF(*df.columns)
 
-    kind = df.select(col(id_col)).schema[0].dataType.simpleString()
-    return df.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).mapInArrow(stage, f"doc_id {kind}, n_tokens bigint")
+
+def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = DEFAULT_RANKS) -> DataFrame:
+    """Number of tokens of each text in the vocabulary: columns doc_id, n_tokens."""
+    return counted(df.select(col(id_col).alias("doc_id"), col(text_col).alias("n_tokens")), "n_tokens", ranks)
