@@ -50,10 +50,18 @@ def first(id_):
 # 1
 
 
-def brute_mix(rows, weights, budget):
+def word_count(text):
+    return len(re.findall(mixing.WORD, text or ""))
+
+
+def token_count(text):
+    return len(bpe.encoder(bpe.DEFAULT_RANKS).encode(text or "")) // 4
+
+
+def brute_mix(rows, weights, budget, size=word_count):
     queue = collections.defaultdict(list)
     for r in rows:
-        n = len(re.findall(mixing.WORD, r[1] or ""))
+        n = size(r[1])
         queue[r[3]].append((hashlib.md5(f"{mixing.SEED}:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] if r[0] is not None else -1, n))
     timed = []
     for source, items in queue.items():
@@ -75,8 +83,12 @@ def test_mix(docs, rows, budget):
     weights = {"s0": 3.0, "s1": 0.5}
     got = mixing.mix(docs.filter("doc_id is not null"), weights, budget=budget).collect()
     assert [(r.doc_id, r.source or "", r.tokens, r.finish_time, r.served) for r in got] == brute_mix(unique, weights, budget)
+    got = mixing.mix(docs.filter("doc_id is not null"), weights, budget=budget, counter=tokencount.counted).collect()
+    assert [(r.doc_id, r.source or "", r.tokens, r.finish_time, r.served) for r in got] == brute_mix(unique, weights, budget, token_count)
     whole = mixing.mix_documents(docs, weights, budget=budget)
     assert whole.columns == docs.columns
+    counted = mixing.mix_documents(docs.filter("doc_id is not null"), weights, budget=budget, counter=tokencount.counted)
+    assert counted.columns == docs.columns and sorted(r.doc_id for r in counted.collect()) == sorted(r.doc_id for r in got)
     for count in (None, "n_chars"):
         mixed = mixing.mix(docs, weights, budget=budget, tokens_col=count).collect()
         kept = mixing.mix_documents(docs, weights, budget=budget, tokens_col=count).collect()
