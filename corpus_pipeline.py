@@ -6,13 +6,12 @@ again as the next one's documents.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kozue.llm import bpe, exactdedup, minhash, mixing, quality
+from kozue.llm import bpe, exactdedup, minhash, mixing, quality, tokencount
+from kozue.llm.common import deleted, shared_folder
 
 WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
 BUDGET_FRACTION = 0.8
@@ -32,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(docs, WEIGHTS, budget_fraction=BUDGET_FRACTION)
+    return mixing.mix_documents(docs, WEIGHTS, budget_fraction=BUDGET_FRACTION, counter=tokencount.counted)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,21 +46,19 @@ STAGES = [
     ("bpe encoding and decoding", encode),
 ]
 
-#: SQL can express neither the classifier nor the encoder; tests/llm compares the stages with brute force.
+#: SQL can express neither the classifier nor the encoder; tests/llm compares run() with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir. Intermediate tables go to the folder in spark.checkpoint.dir; one under the local
-    temporary folder serves only where none is set and Spark runs locally."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = os.path.join(tempfile.gettempdir(), "kozue-checkpoints")
+    """All stages over the documents of sf_dir. A stage's table is written to the shared folder, and deleted when the next one's has
+    been; the last one, which the result is read from, when the driver ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    at = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
+        if k:
+            deleted(spark, f"{at}/{k - 1}")
+    deleted(spark, at, at_end=True)
     return STAGES[-1][1](spark, docs, sf_dir)
