@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import fields
 from .operators import evaluate, formats
 from .plans.registry import Settings, analyse, find
 from .sources import conllu, gold, lines, sinks
@@ -23,6 +24,10 @@ def session(parallel: int) -> SparkSession:
     return SparkSession.builder.master(os.environ.get("SPARK_MASTER", f"local[{level}]")).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
 
 
+def sizes(text: str) -> list[int]:
+    return [int(x) for x in text.split(",")]
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="kozue", description="Linguistic analytics over text.")
     sub = p.add_subparsers(dest="command", required=True)
@@ -32,7 +37,8 @@ def parser() -> argparse.ArgumentParser:
         a.add_argument("-m", "--fallback", default=None, help="names to try in turn, by commas")
         a.add_argument("-s", "--split-mode", default="C", choices=("A", "B", "C"))
         a.add_argument("-c", "--hash-comment", default="print", choices=lines.COMMENT_MODES)
-        a.add_argument("-o", "--output-path")
+        a.add_argument("-o", "--output-path", help="a file; or a folder, whose name ends with /, for parts that tasks write")
+        a.add_argument("-g", "--require-gpu", action="store_true", help="taken and ignored: annotators run where Spark runs them")
         a.add_argument("-f", "--output-format", default="mecab" if name == "morphemes" else "conllu")
         a.add_argument("-n", "--normalized", action="store_true", default=name == "morphemes")
         a.add_argument("-d", "--no-sentences", action="store_true")
@@ -44,9 +50,13 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("-b", "--annotator", action="store_true", help="annotate the texts of the gold sentences")
     e.add_argument("gold", nargs="+", help="gold JSON")
     c = sub.add_parser("convert")
-    c.add_argument("source", help="CoNLL-U files")
-    c.add_argument("-n", "--per-paragraph", type=int, default=10)
+    c.add_argument("source", nargs="*", default=["-"], help="CoNLL-U files or folders; - is standard input")
+    c.add_argument("-n", "--per-paragraph", type=sizes, default=[10], help="sentences of a paragraph: a number, 0 for no limit, below 0 for drawn lengths; several by commas go to folders of their own")
+    c.add_argument("-r", "--retokenize", choices=("A", "B", "C"), help="merge tokens to the lattice's in this split mode")
     c.add_argument("-e", "--extend-dep-labels", action="store_true", help="mark relations of bunsetu heads")
+    c.add_argument("-p", "--paragraph-id-regex", help="the first group of a sentence id is its paragraph's")
+    c.add_argument("-a", "--augmentation", action="store_true", help="add sentences with swapped widths")
+    c.add_argument("-d", "--ensure-end-period", action="store_true", help="paragraphs end with a full stop")
     c.add_argument("-l", "--luw-ent", action="store_true", help="long units in place of entities")
     c.add_argument("-o", "--output-path", required=True)
     b = sub.add_parser("bench")
@@ -83,7 +93,9 @@ def main(argv: Sequence[str] | None = None) -> int:
         source = lines.read_lines(spark, args.files) if args.files else lines.read_stdin(spark)
         out = run_lines(spark, source, args)
         as_json = formats.format_name(args.output_format) == "json"
-        if args.output_path:
+        if args.output_path and args.output_path.endswith("/"):
+            sinks.write_parts(out, args.output_path)
+        elif args.output_path:
             with open(args.output_path, "w", encoding="utf-8") as f:
                 sinks.write_one(out, f, as_json)
         else:
@@ -95,8 +107,14 @@ def main(argv: Sequence[str] | None = None) -> int:
         for row in evaluate.report(evaluate.rates(evaluate_texts(reference, system))).collect():
             print(row.line)
     elif args.command == "convert":
+        if args.luw_ent and args.retokenize:
+            parser().error("-l excludes -r")
         spark = session(-1)
-        convert(conllu.read_conllu(spark, args.source).filter("error is null"), args.per_paragraph, args.extend_dep_labels, args.luw_ent).select("json").write.text(args.output_path)
+        sentences = conllu.read_conllu(spark, args.source).filter("error is null")
+        for n in args.per_paragraph:
+            path = args.output_path if len(args.per_paragraph) == 1 else f"{args.output_path.rstrip('/')}/n={n}"
+            done = convert(sentences, n, args.extend_dep_labels, args.luw_ent, args.retokenize, args.paragraph_id_regex, args.ensure_end_period, args.augmentation)
+            done.select("json").write.text(path)
     else:
         spark = session(-1)
         print(json.dumps(bench(spark, lines.read_stdin(spark), args.annotators, args.repeats)))
@@ -111,10 +129,10 @@ def live_parses(reference: DataFrame, annotator: str) -> DataFrame:
 
 def evaluate_texts(reference: DataFrame, system: DataFrame) -> DataFrame:
     """Counts of a system's sentences against gold ones of the same text; the k-th of equal texts meets the k-th. reference: those of gold
-    JSON; system: text, tokens and what orders them (src, sent_id, or doc_id, sent_id)."""
+    JSON; system: text, tokens and what orders them (src, place, sent_id; or doc_id, sent_id)."""
     from pyspark.sql import Window
 
-    order = ["src" if "src" in system.columns else "doc_id", "sent_id"]
+    order = ["src", "place", "sent_id"] if "place" in system.columns else ["doc_id", "sent_id"]
 
     def numbered(df: DataFrame, by: list[str], tokens: Column) -> DataFrame:
         k = F.row_number().over(Window.partitionBy("text").orderBy(*by))
@@ -125,13 +143,25 @@ def evaluate_texts(reference: DataFrame, system: DataFrame) -> DataFrame:
     return evaluate.counts(evaluate.paired(g, s))
 
 
-def convert(sentences: DataFrame, per_paragraph: int, bunsetu_heads: bool = False, luw: bool = False) -> DataFrame:
+def convert(sentences: DataFrame, per_paragraph: int, bunsetu_heads: bool = False, luw: bool = False, retokenize: str | None = None, paragraph_pattern: str | None = None, end_period: bool = False, augment: bool = False) -> DataFrame:
     """Gold JSON documents of parsed CoNLL-U sentences, one a file and `newdoc`. Sentences that aren't projective, have a circle or bad
-    labels are skipped."""
+    labels, or can't be retokenised are skipped."""
     from .operators import treebank
-
-    named = treebank.gold_ready(sentences, bunsetu_heads, luw).select(F.coalesce("newdoc", "src").alias("doc_id"), "sent_id", "text", formats.gold_tokens().alias("tokens"))
-    return gold.to_gold(treebank.paragraphs(named, per_paragraph), ["doc_id"])
+    from .plans import lattice
+
+    ready = treebank.gold_ready(sentences, bunsetu_heads, luw)
+    if retokenize:
+        merged = treebank.retokenised(lattice.with_words(ready, retokenize))
+        ready = treebank.projective(merged).filter("ok").drop("ok", "spans")
+    ready = ready.withColumn("doc_id", F.coalesce("newdoc", "src")).withColumn("order", F.struct("place", "sent_id"))
+    closes = F.element_at("tokens", -1)["orth"].isin("。", ".") if end_period else None
+    group = fields.sentence_paragraph(F.coalesce("sent_id", F.lit("")), paragraph_pattern) if paragraph_pattern else None
+    placed = treebank.paragraphs(ready, per_paragraph, "order", closes=closes, group=group)
+    if augment:
+        # What is swapped makes a paragraph of its own after the one that it comes from.
+        placed = treebank.augment_width(placed, ["doc_id", "sent_id"]).withColumn("paragraph", F.col("paragraph") * 2 + F.col("copy"))
+    named = placed.select("doc_id", "paragraph", F.col("order").alias("sent_id"), "text", formats.gold_tokens().alias("tokens"))
+    return gold.to_gold(named, ["doc_id"])
 
 
 def bench(spark: SparkSession, source: DataFrame, annotators: Sequence[str], repeats: int = 5) -> dict:

@@ -347,15 +347,17 @@ def paragraphs(sentences: DataFrame, n: int, order: str = "sent_id", doc: str =
 
 
 def augment_width(sentences: DataFrame, key: list[str], seed: int = 1) -> DataFrame:
-    """Sentences and, for two thirds of them, a second one with swapped widths: `copy` is 1, and in half of these the lemmas are
-    swapped too. The choice is an md5 of the key and seed."""
-    text = F.concat_ws(":", *[F.col(k).cast("string") for k in key], F.lit(str(seed)))
-    draw = F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), F.lit(6))
+    """Sentences and, of those that it changes, a second one with swapped widths, whose `copy` is 1. In two thirds of these the surface is
+    swapped, and in half of them the lemmas too; in the others only the lemmas. The choice is an md5 of the key and seed."""
+    name = F.concat_ws(":", *[F.col(k).cast("string") for k in key], F.lit(str(seed)))
+    draw = F.pmod(F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("bigint"), F.lit(6))
+    surface, lemmas = draw < 4, (draw < 2) | (draw >= 4)
     tokens = F.transform(
         "tokens",
-        lambda t: t.withField("orth", swap_width(t["orth"])).withField("lemma", F.when(draw < 2, swap_width(t["lemma"])).otherwise(t["lemma"])),
+        lambda t: t.withField("orth", F.when(surface, swap_width(t["orth"])).otherwise(t["orth"])).withField("lemma", F.when(lemmas, swap_width(t["lemma"])).otherwise(t["lemma"])),
     )
-    second = sentences.filter(draw < 4).withColumn("tokens", tokens).withColumn("text", swap_width(F.col("text"))).withColumn("copy", F.lit(1))
+    text = swap_width(F.col("text"))
+    second = sentences.filter(text != F.col("text")).withColumn("tokens", tokens).withColumn("text", F.when(surface, text).otherwise(F.col("text"))).withColumn("copy", F.lit(1))
     return sentences.withColumn("copy", F.lit(0)).unionByName(second)
 
 

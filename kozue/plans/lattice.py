@@ -8,13 +8,14 @@ annotator.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from ..operators.split import default_pos
+from ..operators.split import default_pos, split_sentence
 from ..schema import ARROW_TOKEN, SENTENCE, SUBS
 
 UNKNOWN_COST, UNKNOWN_CHAR = 900, 120
@@ -182,10 +183,42 @@ def annotator(entries: Iterable[Entry] = SMALL, user: Iterable[Entry] = ()):
     return annotate
 
 
+def with_words(sentences: DataFrame, mode: str, entries: Iterable[Entry] = SMALL) -> DataFrame:
+    """sentences with `spans` (begin, end), the lattice's words in their texts, cut by split mode."""
+    words, place = (*entries,), sentences.columns.index("text")
+    kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(words)
+        for batch in batches:
+            found = []
+            for text in batch.column(place).to_pylist():
+                tokens, subs = lattice.sentence(text or "")
+                cut = split_sentence(tokens, subs, mode) if mode != "C" else tokens
+                found.append([{"begin": t["idx"], "end": t["idx"] + len(t["orth"])} for t in cut])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "spans"])
+
+    kinds = _parse_datatype_string("spans array<struct<begin:int,end:int>>")
+    return sentences.mapInArrow(stage, StructType([*sentences.schema.fields, *kinds.fields]))
+
+
 def _subs_type() -> pa.DataType:
     sub = pa.struct([(n, pa.string()) for n in ("surface", "tag", "inf", "lemma", "reading", "norm")])
     return pa.struct([("a", pa.list_(sub)), ("b", pa.list_(sub))])
 
 
+#: Entries up to which a dictionary goes along with each task.
+MOST_ENTRIES = 2_000_000
+
+
+def read_entries(table: DataFrame, most: int = MOST_ENTRIES) -> list[Entry]:
+    """Entries of a dictionary table: surface, tag and any of the other fields; rows without a surface or tag are left out."""
+    known = [f.name for f in fields(Entry) if f.name in table.columns]
+    rows = table.filter("surface <> '' and tag is not null").select(known).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a dictionary has at most {most} entries")
+    return [Entry(**{k: v for k, v in r.asDict().items() if v is not None}) for r in rows]
+
+
 def annotate(lines: DataFrame) -> DataFrame:
     return annotator()(lines)

@@ -660,7 +660,7 @@ def _swap(column: str) -> str:
 @query(f"""WITH {TOKENS}, m AS (SELECT doc_id, sent_id, string_agg(lemma, ' ' ORDER BY i) AS lemmas FROM tok GROUP BY 1, 2),
     d AS (SELECT l.*, lemmas, CAST('0x' || substring(md5(l.doc_id || ':' || l.sent_id || ':1'), 1, 8) AS BIGINT) % 6 AS draw FROM lines l JOIN m ON l.doc_id = m.doc_id AND l.sent_id = m.sent_id)
     SELECT doc_id, sent_id, 0 AS copy, text, lemmas FROM d
-    UNION ALL SELECT doc_id, sent_id, 1, {_swap('text')}, CASE WHEN draw < 2 THEN {_swap('lemmas')} ELSE lemmas END FROM d WHERE draw < 4""")
+    UNION ALL SELECT doc_id, sent_id, 1, CASE WHEN draw < 4 THEN {_swap('text')} ELSE text END, CASE WHEN draw < 2 OR draw >= 4 THEN {_swap('lemmas')} ELSE lemmas END FROM d WHERE text <> {_swap('text')}""")
 def q_width_augmentation(spark, sf):
     rows = treebank.augment_width(sentences(spark, sf), ["doc_id", "sent_id"])
     return rows.select("doc_id", "sent_id", "copy", "text", F.array_join("tokens.lemma", " ").alias("lemmas"))

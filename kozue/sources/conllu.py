@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..schema import ARROW_TOKEN, TOKEN
 
-SCHEMA = f"src string, sent_id string, newdoc string, text string, tokens array<{TOKEN}>, bi array<string>, ne array<string>, misc array<string>, error string"
-_ARROW = pa.schema([("src", pa.string()), ("sent_id", pa.string()), ("newdoc", pa.string()), ("text", pa.string()), ("tokens", pa.list_(ARROW_TOKEN)), *[(n, pa.list_(pa.string())) for n in ("bi", "ne", "misc")], ("error", pa.string())])
+SCHEMA = f"src string, sent_id string, newdoc string, text string, tokens array<{TOKEN}>, bi array<string>, ne array<string>, misc array<string>, error string, place struct<block:bigint,row:bigint>"
+_ARROW = pa.schema([("src", pa.string()), ("sent_id", pa.string()), ("newdoc", pa.string()), ("text", pa.string()), ("tokens", pa.list_(ARROW_TOKEN)), *[(n, pa.list_(pa.string())) for n in ("bi", "ne", "misc")], ("error", pa.string()), ("place", pa.struct([("block", pa.int64()), ("row", pa.int64())]))])
 _TOKEN_ID = re.compile(r"[0-9]+")
 
 
@@ -74,19 +75,32 @@ def parse_block(block: str) -> dict | None:
 
 
 def parse(blocks: DataFrame) -> DataFrame:
-    """Sentences of blocks (src, value)."""
+    """Sentences of blocks (src, value and, if known, place: what orders those of a file)."""
+    placed = blocks if "place" in blocks.columns else blocks.withColumn("place", F.lit(None).cast("struct<block:bigint,row:bigint>"))
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [s | {"src": src} for src, b in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (s := parse_block(b or ""))]
+            rows = [s | {"src": src, "place": place} for src, b, place in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (s := parse_block(b or ""))]
             yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
-    return blocks.select("src", "value").mapInArrow(stage, SCHEMA)
+    return placed.select("src", "value", "place").mapInArrow(stage, SCHEMA)
 
 
 def read_conllu(spark: SparkSession, path: str | list[str], recursive: bool = True) -> DataFrame:
-    raw = spark.read.option("lineSep", "\n\n").option("recursiveFileLookup", str(recursive).lower()).text(path)
-    return parse(raw.select(F.col("_metadata.file_path").alias("src"), "value"))
+    """Sentences of files, of folders and what is in them, of a list of such, or of standard input for "-"."""
+    paths = [path] if isinstance(path, str) else list(path)
+    parts = []
+    if files := [p for p in paths if p != "-"]:
+        raw = spark.read.option("lineSep", "\n\n").option("recursiveFileLookup", str(recursive).lower()).text(files)
+        row = F.monotonically_increasing_id().alias("row")
+        parts.append(raw.select(F.col("_metadata.file_path").alias("src"), "value", F.struct(F.col("_metadata.file_block_start").alias("block"), row).alias("place")))
+    if "-" in paths:
+        rows = [("-", block, (0, k)) for k, block in enumerate(sys.stdin.read().split("\n\n"))]
+        parts.append(spark.createDataFrame(rows, "src string, value string, place struct<block:bigint,row:bigint>"))
+    blocks = parts[0]
+    for p in parts[1:]:
+        blocks = blocks.unionByName(p)
+    return parse(blocks)
 
 
 def write_conllu_text(tokens: list[dict], misc: list[str], text: str, sent_id: str | None = None) -> str:

@@ -10,14 +10,17 @@ GOLD = f"id string, paragraphs array<struct<raw:string,sentences:array<struct<to
 
 
 def read_gold(spark: SparkSession, path: str | list[str], multiline: bool = True) -> DataFrame:
-    """A row a sentence: id, paragraph, sent_id, text, tokens (as in the file). Files hold one document, or a list of them."""
+    """A row a sentence: id, paragraph, raw, sent_id, text, tokens (as in the file). Files hold one document, or a list of them."""
     docs = spark.read.schema(GOLD).option("multiLine", str(multiline).lower()).json(path)
     return explode_gold(docs)
 
 
 def explode_gold(docs: DataFrame) -> DataFrame:
+    """id, paragraph, raw (the paragraph's text), sent_id, text (of the sentence's tokens), tokens."""
     paragraphs = docs.select("id", F.posexplode("paragraphs").alias("paragraph", "p"))
-    return paragraphs.select("id", "paragraph", F.col("p.raw").alias("text"), F.posexplode("p.sentences").alias("sent_id", "s")).select("id", "paragraph", "sent_id", "text", F.col("s.tokens").alias("tokens"))
+    sentences = paragraphs.select("id", "paragraph", F.col("p.raw").alias("raw"), F.posexplode("p.sentences").alias("sent_id", "s"))
+    text = F.rtrim(F.array_join(F.transform(plain_tokens("s.tokens"), lambda t: F.concat(t["orth"], t["ws"])), ""))
+    return sentences.select("id", "paragraph", "raw", "sent_id", text.alias("text"), F.col("s.tokens").alias("tokens"))
 
 
 def plain_tokens(tokens: str = "tokens") -> Column:

@@ -196,3 +196,94 @@ def test_convert_skips_and_marks(spark, tmp_path):
     assert tokens() == plain | {"m": ("root", "O")}
     assert tokens(True) == plain | {"a": ("nmod_bunsetu", "B-P")}
     assert tokens(False, True) == {"a": ("nmod", "B-x"), "b": ("case", "L-x"), "c": ("root", "U-x"), "k": ("root", "U-x")}
+
+
+def test_convert_options(spark, tmp_path, monkeypatch):
+    def block(name, *tokens):
+        rows = [f"{i + 1}\t{orth}\t{orth}\tN\tn\t_\t{head}\t{dep}\t_\tSpaceAfter=No|BunsetuBILabel={'I' if i else 'B'}" for i, (orth, head, dep) in enumerate(tokens)]
+        return "\n".join([f"# sent_id = {name}", f"# text = {''.join(t[0] for t in tokens)}", *rows]) + "\n\n"
+
+    text = "".join(block(f"p{k // 6}-{k}", (f"食{k}", 2, "compound"), ("品", 0, "root")) if k % 3 else block(f"p{k // 6}-{k}", ("。", 0, "root")) for k in range(12))
+    text += block("q-1", ("機能", 3, "compound"), ("性", 3, "compound"), ("食品", 0, "root"))
+    monkeypatch.setattr("sys.stdin", io.StringIO(text))
+    sents = conllu.read_conllu(spark, "-").filter("error is null").cache()
+    assert sents.count() == 13
+
+    def paragraphs(n, **options):
+        (row,) = cli.convert(sents, n, **options).collect()
+        return [["".join(t["orth"] for t in s["tokens"]) for s in p["sentences"]] for p in json.loads(row.json)["paragraphs"]]
+
+    whole = [w for p in paragraphs(0) for w in p]
+    assert len(whole) == 13 and whole[10] == "食10品" and whole[-1] == "機能性食品"  # in the order of the file
+    assert [len(p) for p in paragraphs(5)] == [5, 8]
+    assert [len(p) for p in paragraphs(2, end_period=True)] == [4, 3, 6]
+    assert [len(p) for p in paragraphs(100, paragraph_pattern=r"^(.*)-[^-]*$")] == [6, 6, 1]
+    tokens = lambda mode: [[t["orth"] for t in s["tokens"]] for p in json.loads(cli.convert(sents, 0, retokenize=mode).first().json)["paragraphs"] for s in p["sentences"]][-1]
+    assert tokens("A") == ["機能", "性", "食品"] and tokens("B") == ["機能性", "食品"] and tokens("C") == ["機能性食品"]
+    more = paragraphs(0, augment=True)
+    assert more[0] == whole and 0 < len(more[1]) < 13
+    (tmp_path / "t.conllu").write_text(text, encoding="utf-8")
+    monkeypatch.setattr(cli, "session", lambda _: spark)
+    assert cli.main(["convert", str(tmp_path / "t.conllu"), "-n", "1,10,-15", "-o", str(tmp_path / "out")]) == 0
+    assert [len(json.loads(spark.read.text(str(tmp_path / "out" / f"n={n}")).first().value)["paragraphs"]) for n in (1, 10)] == [13, 1]
+    with pytest.raises(SystemExit):
+        cli.main(["convert", "-l", "-r", "A", "-o", "x"])
+
+
+def test_analysis_into_a_folder(spark, files, tmp_path, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda _: spark)
+    assert cli.main(["analyze", "-g", "-o", f"{tmp_path}/parts/", files[0]]) == 0
+    assert cli.main(["analyze", "-o", f"{tmp_path}/one.conllu", files[0]]) == 0
+    parts = sorted(p for p in (tmp_path / "parts").iterdir() if p.name.startswith("part"))
+    assert "".join(p.read_text(encoding="utf-8") for p in parts) == (tmp_path / "one.conllu").read_text(encoding="utf-8") != ""
+
+
+def test_evaluation_of_an_annotator(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setattr(cli, "session", lambda _: spark)
+    rows = spark.createDataFrame([("d", 0, 0, "The cats sleep"), ("d", 0, 1, "Dogs run , fast"), ("d", 1, 0, "The cats sleep")], "id string, paragraph long, sent_id int, text string")
+    named = seed.annotate(rows.select(F.xxhash64("id", "paragraph", "sent_id").alias("doc_id"), "sent_id", "text"))
+    from kozue.operators.formats import gold_tokens
+
+    docs = gold.to_gold(named.select(F.lit("d").alias("id"), F.lit(0).alias("paragraph"), F.col("doc_id").alias("sent_id"), "text", gold_tokens().alias("tokens")), ["id"])
+    (tmp_path / "g.json").write_text(docs.first().json, encoding="utf-8")
+    assert cli.main(["evaluate", "-b", "seed", str(tmp_path / "g.json")]) == 0
+    out = capsys.readouterr().out
+    assert out.count("\n") == 13 and "f1 1.0000" in out and "f1 0" not in out.replace("f1 0.0000", "")
+
+
+def test_dictionary_tables(spark):
+    from kozue.plans import lattice
+
+    table = spark.createDataFrame([("東京スカイ", "名詞-固有名詞-一般", 200, None), ("", "x", 1, None), ("y", None, 1, None)], "surface string, tag string, cost int, other string")
+    entries = lattice.read_entries(table)
+    assert [e.surface for e in entries] == ["東京スカイ"]
+    got = lattice.annotator(user=entries)(spark.createDataFrame([(1, 0, "東京スカイ")], "doc_id long, sent_id int, text string")).first()
+    assert [t.orth for t in got.tokens] == ["東京スカイ"]
+    with pytest.raises(ValueError):
+        lattice.read_entries(table, 0)
+
+
+def test_socket_stream(spark, tmp_path):
+    import socket
+    import threading
+
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        with server.accept()[0] as c:
+            c.sendall(b"The cats sleep\n#said\n\nDogs run\n")
+            done.wait(60)
+
+    done = threading.Event()
+    threading.Thread(target=serve, daemon=True).start()
+    query = stream.write_stream(stream.analyse_stream(stream.read_socket(spark, "127.0.0.1", server.getsockname()[1])), str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    try:
+        for _ in range(60):
+            query.processAllAvailable()
+            if spark.read.schema("doc_id long, sent_id int, out string").parquet(str(tmp_path / "out")).count() == 2:
+                break
+        assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    finally:
+        query.stop()
+        done.set()
+        server.close()
