@@ -76,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+_WORD = r"[^ \t\n\r\f\x0b]+"
 _WEIGHT = "CASE source " + " ".join(f"WHEN '{s}' THEN CAST({w} AS DOUBLE)" for s, w in WEIGHTS.items()) + " ELSE CAST(1.0 AS DOUBLE) END"
 
 ORACLES: dict[str, str] = {
@@ -107,4 +108,24 @@ ORACLES: dict[str, str] = {
         SELECT conv_id, count(*) AS n_messages,
                string_agg('{chat.BEGIN}' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '{chat.END}' || chr(10), '' ORDER BY turn) AS rendered
         FROM conversations GROUP BY conv_id""",
+    "op9_suffix_dedup": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(text, '{_WORD}') AS w FROM documents),
+        x AS (SELECT r, doc_id, len(w) AS n, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d WHERE len(w) >= {suffix.THRESHOLD}),
+        g AS (SELECT r, doc_id, i, md5(string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {suffix.THRESHOLD - 1} FOLLOWING)) AS gram, n FROM x),
+        k AS (SELECT *, count(*) OVER (PARTITION BY gram) AS times FROM g WHERE i <= n - {suffix.THRESHOLD}),
+        p AS (SELECT r, doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > {suffix.THRESHOLD}, true) AS begins FROM k WHERE times > 1),
+        s AS (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM p)
+        SELECT doc_id, CAST(min(i) AS INTEGER) AS first_word, CAST(max(i) - min(i) + {suffix.THRESHOLD} AS INTEGER) AS n_words FROM s GROUP BY r, doc_id, island""",
+    # The definition; that banding and the sequential test miss nothing of it on a given table is not certain.
+    "op10_minhash": f"""
+        WITH RECURSIVE t AS (SELECT text, min(doc_id) AS first, count(*) AS n_copies FROM documents WHERE text IS NOT NULL GROUP BY text),
+        w AS (SELECT first, regexp_extract_all(text, '{_WORD}') AS w FROM t),
+        s AS (SELECT DISTINCT first, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS shingle FROM w WHERE len(w) > 0),
+        n AS (SELECT first, count(*) AS n FROM s GROUP BY first),
+        b AS (SELECT a.first AS x, b.first AS y, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.first <> b.first GROUP BY 1, 2),
+        p AS MATERIALIZED (SELECT x, y FROM b JOIN n a ON a.first = x JOIN n c ON c.first = y WHERE shared >= {minhash.THRESHOLD} * (a.n + c.n - shared)),
+        r AS (SELECT first, first AS low FROM t UNION SELECT p.y, r.low FROM r JOIN p ON p.x = r.first),
+        c AS (SELECT first, min(low) AS class_id FROM r GROUP BY first)
+        SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(l.n, 0) AS n_links, coalesce(t.n_copies, 1) AS n_copies
+        FROM documents d LEFT JOIN t ON d.text = t.text LEFT JOIN c ON c.first = t.first LEFT JOIN (SELECT x, count(*) AS n FROM p GROUP BY x) l ON l.x = t.first""",
 }

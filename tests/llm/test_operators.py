@@ -87,7 +87,7 @@ def test_mix(docs, rows, budget):
     assert [(r.doc_id, r.source or "", r.tokens, r.finish_time, r.served) for r in got] == brute_mix(unique, weights, budget, token_count)
     whole = mixing.mix_documents(docs, weights, budget=budget)
     assert whole.columns == docs.columns
-    counted = mixing.mix_documents(docs.filter("doc_id is not null"), weights, budget=budget, counter=tokencount.counted)
+    counted = mixing.mix_documents(docs.filter("doc_id is not null"), weights, budget=budget, counter=bpe.counted)
     assert counted.columns == docs.columns and sorted(r.doc_id for r in counted.collect()) == sorted(r.doc_id for r in got)
     for count in (None, "n_chars"):
         mixed = mixing.mix(docs, weights, budget=budget, tokens_col=count).collect()
