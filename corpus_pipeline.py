@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kozue.llm import bpe, exactdedup, minhash, mixing, quality, tokencount
+from kozue.llm import bpe, exactdedup, minhash, mixing, quality
 from kozue.llm.common import deleted, shared_folder
 
 WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
@@ -31,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(docs, WEIGHTS, budget_fraction=BUDGET_FRACTION, counter=tokencount.counted)
+    return mixing.mix_documents(docs, WEIGHTS, budget_fraction=BUDGET_FRACTION, counter=bpe.counted)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
