@@ -18,6 +18,10 @@ from ..schema import ARROW_TOKEN, SENTENCE
 SEGMENT = r"[ \t\r\f\x0b]+|[\p{L}\p{N}]+|[^ \t\r\f\x0b\p{L}\p{N}]"
 ENTITIES = ("Person", "City", "Company", "Country")
 CONTENT = ("NUM", "PROPN", "VERB", "NOUN")
+#: Parts of speech, those of content first, and relations; kernels work on their places.
+POS = (*CONTENT, "ADP", "PUNCT")
+NUM, PROPN, VERB, NOUN, ADP, PUNCT = range(6)
+RELATIONS = ("ROOT", "case", "punct", "nummod", "compound", "advcl_bunsetu", "nmod_bunsetu")
 #: Clause rule of seed trees.
 SEED_MARKERS = ({"orth": "[,;]"},)
 
@@ -45,73 +49,76 @@ class _Builder:
         import regex
 
         self.segments = regex.compile(SEGMENT).findall
-        self.memo: dict[str, str] = {}
-
-    def pos(self, word: str) -> str:
-        known = self.memo.get(word)
-        if known is None:
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            known = self.memo[word] = pos_of(word)
-        return known
 
     def batch(self, lines: list[str]) -> pa.ListArray:
-        orth: list[str] = []
-        gap: list[str] = []
+        """Tokens of lines. What depends on the word alone is found once for each word of the batch."""
+        vocabulary: dict[str, int] = {}
+        number = vocabulary.setdefault
+        words: list[int] = []
         idx: list[int] = []
+        gaps: list[int] = []
         begin = [0]
         for line in lines:
             at = 0
             for s in self.segments(line):
                 if s[0] in " \t\r\f\x0b":
-                    if len(orth) > begin[-1]:
-                        gap[-1] = " "
+                    if len(words) > begin[-1]:
+                        gaps.append(len(words) - 1)
                 else:
-                    orth.append(s)
-                    gap.append("")
+                    words.append(number(s, len(vocabulary)))
                     idx.append(at)
                 at += len(s)
-            begin.append(len(orth))
-        n = len(orth)
-        pos = np.array([self.pos(w) for w in orth], object)
+            begin.append(len(words))
+        n = len(words)
+        of = np.array(words, np.int64)
         bounds = np.array(begin, np.int64)
-        head, dep = tree(pos, bounds)
+        known = list(vocabulary)
+        low = [w.lower() for w in known]
+        poses = [pos_of(w) for w in known]
+        codes = np.array([POS.index(p) for p in poses], np.int64)[of] if n else of
+
+        def each(values: list[str | None]) -> pa.Array:
+            return pa.array(values, pa.string()).take(pa.array(of))
+
+        head, dep = tree(codes, bounds)
         first = np.repeat(bounds[:-1], np.diff(bounds))
-        proper = pos == "PROPN"
+        proper = codes == PROPN
         here = np.arange(n)
         follows = proper & np.append(False, proper[:-1]) & (here != first) if n else proper
         start = np.maximum.accumulate(np.where(proper & ~follows, here, 0)) if n else here
-        kind = np.array([ENTITIES[len(w) % 4] for w in orth], object)
-        low = [w.lower() for w in orth]
-        content = np.isin(pos.astype(str), CONTENT) if n else np.zeros(0, bool)
+        kind = np.where(proper, np.array([len(w) % 4 for w in known], np.int64)[of[start]], 4) if n else of
+        gap = np.zeros(n, np.int64)
+        gap[gaps] = 1
+
+        def among(names: tuple[str, ...], code: np.ndarray) -> pa.Array:
+            return pa.array(names, pa.string()).take(pa.array(code))
+
         fields = [
-            pa.array(orth, pa.string()),
-            pa.array(gap, pa.string()),
-            pa.array(low, pa.string()),
-            pa.array(low, pa.string()),
-            pa.array(pos, pa.string()),
-            pa.array([f"{p.lower()}-general" for p in pos], pa.string()),
-            pa.array(dep, pa.string()),
+            each(known),
+            among(("", " "), gap),
+            each(low),
+            each(low),
+            each(poses),
+            each([f"{p.lower()}-general" for p in poses]),
+            among(RELATIONS, dep),
             pa.array((head - first).astype(np.int32)),
-            pa.array(np.where(proper, np.where(follows, "I", "B"), "O").astype(object), pa.string()),
-            pa.array(np.where(proper, kind[start], "").astype(object) if n else [], pa.string()),
-            pa.array([f"<{w}>" for w in low], pa.string(), mask=~content),
-            pa.array(["godan;basic"] * n, pa.string(), mask=pos != "VERB"),
+            among(("O", "B", "I"), proper.astype(np.int64) + follows),
+            among((*ENTITIES, ""), kind),
+            each([f"<{w}>" if p in CONTENT else None for w, p in zip(low, poses, strict=True)]),
+            each(["godan;basic" if p == "VERB" else None for p in poses]),
             pa.array(idx, pa.int32()),
         ]
         return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.StructArray.from_arrays(fields, fields=list(ARROW_TOKEN)))
 
 
 def tree(pos: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Heads (places in the batch) and relations."""
+    """Heads (places in the batch) and places of relations in RELATIONS; pos: places in POS."""
     n = len(pos)
     here, sizes = np.arange(n), np.diff(begin)
     first, last = np.repeat(begin[:-1], sizes), np.repeat(begin[1:] - 1, sizes)
     if not n:
-        return here, np.zeros(0, object)
-    text = pos.astype(str)
-    content = np.isin(text, CONTENT)
-    verb, noun = text == "VERB", np.isin(text, ("NOUN", "PROPN"))
+        return here, here
+    verb, noun, content = pos == VERB, (pos == NOUN) | (pos == PROPN), pos <= NOUN
 
     def before(flag):  # the nearest flagged place to the left, -1 if there is none
         return np.append(-1, np.maximum.accumulate(np.where(flag, here, -1))[:-1])
@@ -122,15 +129,12 @@ def tree(pos: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lastly = np.maximum.accumulate(np.where(content, here, -1))[last]
     root = np.where(lastly >= first, lastly, first)
     left, right, next_verb = before(content), after(content), after(verb)
-    joined = content & np.append(noun[1:], False) & (here < last) & ((text == "NUM") | noun)
+    joined = content & np.append(noun[1:], False) & (here < last) & ((pos == NUM) | noun)
     head = np.where(joined, here + 1, np.where(next_verb <= last, next_verb, root))
     loose = np.where(left >= first, left, np.where(right <= last, right, first))
     head = np.where(content, head, loose)
     head[here == root] = root[here == root]
-    dep = np.where(verb, "advcl_bunsetu", "nmod_bunsetu").astype(object)
-    dep[joined] = np.where(text == "NUM", "nummod", "compound")[joined]
-    dep[text == "ADP"], dep[text == "PUNCT"] = "case", "punct"
-    dep[here == root] = "ROOT"
+    dep = np.select([here == root, pos == ADP, pos == PUNCT, joined & (pos == NUM), joined, verb], [0, 1, 2, 3, 4, 5], 6)
     return head, dep
 
 
