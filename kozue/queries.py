@@ -16,6 +16,7 @@ from .operators import evaluate, formats, phrases, split, tokens, treebank
 from .operators.recognize import Options, recognize
 from .plans import seed
 from .sources import lines as line_source
+from .sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,7 +35,7 @@ def query(sql: str | None = None):
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return read_table(spark, sf, "documents")
 
 
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,6 +163,24 @@ def q_comment_analyze(spark, sf):
     return line_source.comments(_as_lines(spark, sf), "analyze")
 
 
+@query(f"WITH {_HASHED} SELECT CAST(file_no AS VARCHAR) AS src, CAST(line_no AS BIGINT) AS line_no, line[2:] AS text FROM h WHERE line LIKE '#%'")
+def q_treebank_lines(spark, sf):
+    rows = _as_lines(spark, sf).select(F.col("file_no").cast("string").alias("src"), F.col("line_no").cast("bigint").alias("line_no"), F.regexp_replace("line", "^#", "# text = ").alias("line"))
+    return line_source.treebank_sentences(rows)
+
+
+@query(f"""WITH {LINES}, s AS (SELECT doc_id, sent_id, text, regexp_extract_all(text, '[A-Z][a-z]+|[^A-Z]+|[A-Z]') AS parts FROM lines WHERE NOT regexp_matches(text, '[<>]')),
+    p AS (SELECT doc_id, sent_id, unnest(parts) AS part, unnest(range(0, len(parts))) AS k FROM s),
+    w AS (SELECT *, CAST(sum(length(part)) OVER ({_S} ORDER BY k ROWS UNBOUNDED PRECEDING) AS INTEGER) AS upto FROM p)
+    SELECT doc_id || '-' || sent_id AS file_id, 'Name' AS label, CAST(upto - length(part) AS INTEGER) AS "begin", upto AS "end" FROM w WHERE regexp_matches(part, '^[A-Z][a-z]+$')""")
+def q_tagged_texts(spark, sf):
+    from .sources import tagged
+
+    rows = seed.sentences_of(documents(spark, sf)).filter(~F.col("text").rlike("[<>]"))
+    source = F.concat(F.lit("<DOC><TEXT>"), F.regexp_replace("text", "([A-Z][a-z]+)", "<Name>$1</Name>"), F.lit("</TEXT></DOC>"))
+    return tagged.tag_table(tagged.parse(rows.select(F.concat_ws("-", "doc_id", "sent_id").alias("file_id"), source.alias("value"))))
+
+
 @query(f"""WITH {TREE}, {LABELS}
     SELECT CASE WHEN ent_iob = 'O' THEN 'O' ELSE ent_iob || '-' || ent_type END AS label_ene,
            CASE WHEN ent_iob = 'O' THEN 'O' ELSE ent_iob || '-' || coalesce(ontonotes, 'OTHERS') END AS label_ontonotes, count(*) AS n
@@ -473,6 +492,11 @@ def q_split_b(spark, sf):
     return _split(spark, sf, "B")
 
 
+@query(f"WITH {_split_sql('[orth]').replace('length(orth) >= 8 AS cut', 'false AS cut')} SELECT * FROM pieces")
+def q_split_c(spark, sf):
+    return _split(spark, sf, "C")
+
+
 @query(f"""WITH {TOKENS} SELECT doc_id, sent_id, string_agg(CASE WHEN length(orth) >= 8 THEN array_to_string(list_transform(range(0, (length(orth) - 1) // 3 + 1), lambda k: substring(orth, k * 3 + 1, 3)), '+') ELSE orth END, ' ' ORDER BY i) AS pieces FROM tok GROUP BY 1, 2""")
 def q_sub_tokens(spark, sf):
     rows = split.split_compounds(seed.with_sub_tokens(sentences(spark, sf)), None)

@@ -287,3 +287,16 @@ def test_socket_stream(spark, tmp_path):
         query.stop()
         done.set()
         server.close()
+
+
+def test_small_tables_are_spread(spark, tmp_path):
+    from kozue.sources.tables import read_table, spread
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
+    df = read_table(spark, str(tmp_path), "one")
+    assert df.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism and df.count() == 1000
+    one = spark.read.parquet(str(tmp_path / "one.parquet"))
+    assert spread(one, 10) is one
+    spark.range(1000).repartition(20).write.parquet(str(tmp_path / "many.parquet"))
+    many = spark.read.parquet(str(tmp_path / "many.parquet"))
+    assert spread(many) is many
