@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import read_table
 from . import bpe, chat, embeddup, exactdedup, langid, minhash, mixing, quality, suffix, tokencount
 
 #: Shares of the mixture, relative to each other; sources not named have a weight of 1.
@@ -13,51 +14,47 @@ WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
 BUDGET_FRACTION = 0.5
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, budget_fraction=BUDGET_FRACTION)
+    return mixing.mix(read_table(spark, sf_dir, "documents"), WEIGHTS, budget_fraction=BUDGET_FRACTION)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+    return tokencount.token_counts(read_table(spark, sf_dir, "documents"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    return quality.classify(documents, quality.train(documents, table(spark, sf_dir, "labels")))
+    documents = read_table(spark, sf_dir, "documents")
+    return quality.classify(documents, quality.train(documents, read_table(spark, sf_dir, "labels")))
 
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddup.near_classes(table(spark, sf_dir, "embeddings"))
+    return embeddup.near_classes(read_table(spark, sf_dir, "embeddings"))
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(table(spark, sf_dir, "conversations"))
+    return chat.format_chats(read_table(spark, sf_dir, "conversations"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return exactdedup.exact_dedup(documents, copies_col="n_copies").select("doc_id", "n_copies")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(table(spark, sf_dir, "documents"))
+    return bpe.encode_decode(read_table(spark, sf_dir, "documents"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = read_table(spark, sf_dir, "documents")
     return langid.identify(documents, *langid.train(documents))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.repeated_passages(table(spark, sf_dir, "documents"))
+    return suffix.repeated_passages(read_table(spark, sf_dir, "documents"))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_classes(table(spark, sf_dir, "documents"))
+    return minhash.near_classes(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
