@@ -14,7 +14,7 @@ def spread(df: DataFrame, small: int = SMALL) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if len(df.inputFiles()) >= cores:
         return df
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # py4j gives an int or an object
     return df.repartition(2 * cores) if size <= small else df
 
 
