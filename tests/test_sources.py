@@ -300,3 +300,15 @@ def test_small_tables_are_spread(spark, tmp_path):
     spark.range(1000).repartition(20).write.parquet(str(tmp_path / "many.parquet"))
     many = spark.read.parquet(str(tmp_path / "many.parquet"))
     assert spread(many) is many
+
+
+def test_tables_of_large_row_groups_are_spread(spark, tmp_path):
+    from kozue.sources.tables import largest_piece, spread
+
+    spark.range(100_000).coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
+    one = spark.read.parquet(str(tmp_path / "one.parquet"))
+    assert largest_piece(one, 1000) > 1000 and largest_piece(one) == 32 << 20
+    size = largest_piece(one, 1000)
+    assert spread(one, 10, size) is one
+    moved = spread(one, 10, size // 40)
+    assert moved.rdd.getNumPartitions() > 40 and moved.count() == 100_000
