@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType, _parse_datatype_string
 
+from ..plans.flow import Step, counted, field, starts
+
 MISSED = "_"
 FIELDS = ("orth", "ws", "pos", "tag", "dep", "head", "ent_iob", "ent_type")
 _FLAGS = ("tokens", "tag", "pos", "uas", "las", "pos_uas", "pos_las", "root")
@@ -150,23 +152,40 @@ def _counted(batch_pairs: Aligned) -> dict[str, int]:
 
 def _sums(pairs: DataFrame) -> DataFrame:
     """One row with all counters."""
+    return _added(pairs.select("gold", "system").mapInArrow(lambda batches: map(sums, batches), SUMS_SCHEMA))
+
+
+SUMS_SCHEMA = ", ".join(f"{k} bigint" for k in _SUMS)
 
-    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = _counted(Aligned(Side(batch.column(0)), Side(batch.column(1))))
-            yield pa.RecordBatch.from_arrays([pa.array([c[k]], pa.int64()) for k in _SUMS], list(_SUMS))
 
-    rows = pairs.select("gold", "system").mapInArrow(stage, ", ".join(f"{k} bigint" for k in _SUMS))
+def sums(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """One row with the counters of a batch of pairs."""
+    c = _counted(Aligned(Side(batch.column("gold")), Side(batch.column("system"))))
+    return pa.RecordBatch.from_arrays([pa.array([c[k]], pa.int64()) for k in _SUMS], list(_SUMS))
+
+
+def _added(rows: DataFrame) -> DataFrame:
     return rows.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in _SUMS])
 
 
+def slimmed(tokens: pa.ListArray) -> pa.ListArray:
+    """Tokens with the fields that evaluation looks at."""
+    flat = pa.StructArray.from_arrays([field(tokens, n) for n in FIELDS], FIELDS)
+    return pa.ListArray.from_arrays(pa.array(starts(tokens).astype(np.int32)), flat)
+
+
 def counts(pairs: DataFrame) -> DataFrame:
     """measure, correct, gold, system."""
+    return measures(_sums(pairs))
+
+
+def measures(sums_: DataFrame) -> DataFrame:
+    """measure, correct, gold, system of counters."""
     rows = []
     for m in MEASURES:
         g, s = _TOTALS.get(m, ("n", "sn"))
         rows.append(F.struct(F.lit(m).alias("measure"), F.col(m).alias("correct"), F.col(g).alias("gold"), F.col(s).alias("system")))
-    return _sums(pairs).select(F.inline(F.array(*rows)))
+    return _added(sums_).select(F.inline(F.array(*rows)))
 
 
 def rates(counted: DataFrame) -> DataFrame:
@@ -187,19 +206,36 @@ def composite_score(counted: DataFrame) -> DataFrame:
 def _matrix(pairs: DataFrame, labels) -> DataFrame:
     """gold, system, n; labels gives the two label columns of a batch. They are counted in the kernel first."""
 
-    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            g, s = labels(Aligned(Side(batch.column(0)), Side(batch.column(1))))
-            counted = pa.table({"gold": g, "system": s}).group_by(["gold", "system"]).aggregate([([], "count_all")])
-            yield from counted.rename_columns(["gold", "system", "n"]).to_batches()
+    step = matrix_step(labels)
+    return added_matrix(pairs.select("gold", "system").mapInArrow(lambda batches: map(step, batches), MATRIX_SCHEMA))
+
+
+MATRIX_SCHEMA = "gold string, system string, n bigint"
+
 
-    rows = pairs.select("gold", "system").mapInArrow(stage, "gold string, system string, n bigint")
+def matrix_step(labels) -> Step:
+    """gold, system, n of a batch of pairs."""
+    count = counted("gold", "system")
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        g, s = labels(Aligned(Side(batch.column("gold")), Side(batch.column("system"))))
+        return count(pa.RecordBatch.from_arrays([g, s], ["gold", "system"]))
+
+    return step
+
+
+def added_matrix(rows: DataFrame) -> DataFrame:
     return rows.filter("system is not null").groupBy("gold", "system").agg(F.sum("n").alias("n"))
 
 
 def confusion(pairs: DataFrame, field: str) -> DataFrame:
     """gold, system, n for "pos" or "dep". A gold token that the system missed counts as `_` if no system token ends where it does;
     a relation counts as itself only where the head agrees."""
+    return _matrix(pairs, answers(field))
+
+
+def answers(field: str):
+    """The two label columns of `confusion`."""
 
     def labels(a: Aligned) -> tuple[pa.Array, pa.Array]:
         g, s = a.gold.columns[field], a.field(field)
@@ -207,7 +243,7 @@ def confusion(pairs: DataFrame, field: str) -> DataFrame:
             g, s = pc.utf8_lower(g), pc.if_else(pa.array(a.flags()["uas"]), s, pc.if_else(pa.array(a.same), MISSED, pa.scalar(None, pa.string())))
         return g, pc.if_else(pa.array(a.ends), s, MISSED)
 
-    return _matrix(pairs, labels)
+    return labels
 
 
 def label_rates(matrix: DataFrame) -> DataFrame:
@@ -254,38 +290,50 @@ def entities(sentences: DataFrame) -> DataFrame:
 
 
 def entity_counts(pairs: DataFrame) -> DataFrame:
-    return _sums(pairs).select("ge", "se", "ent_span", "ent_label")
+    return entity_totals(_sums(pairs))
+
+
+def entity_totals(sums_: DataFrame) -> DataFrame:
+    return _added(sums_).select("ge", "se", "ent_span", "ent_label")
 
 
 def entity_confusion(pairs: DataFrame) -> DataFrame:
     """gold, system, n over the entities of gold."""
+    return _matrix(pairs, entity_answers)
 
-    def labels(a: Aligned) -> tuple[pa.Array, pa.Array]:
-        g, s, _ = a.entities()
-        return g, pc.fill_null(s, MISSED)
 
-    return _matrix(pairs, labels)
+def entity_answers(a: Aligned) -> tuple[pa.Array, pa.Array]:
+    g, s, _ = a.entities()
+    return g, pc.fill_null(s, MISSED)
 
 
 def aligned(pairs: DataFrame) -> DataFrame:
     """A row for each gold token: sent, begin, end, its fields (g), those of the system token of the same span (s, null if none), and
     whether some system token ends where it does."""
-    names = ("tag", "pos", "dep")
+    kind = _parse_datatype_string(f"begin int, end int, {BOTH}")
+    schema = StructType([pairs.schema["sent"], *kind.fields, StructField("ends", BooleanType())])
+    return pairs.select("sent", "gold", "system").mapInArrow(lambda batches: map(aligned_rows, batches), schema)
 
-    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a = Aligned(Side(batch.column(1)), Side(batch.column(2)))
-            g = pa.StructArray.from_arrays([a.gold.columns[n] for n in names], names)
-            s = pa.StructArray.from_arrays([a.field(n) for n in names], names, mask=pa.array(~a.same))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a.gold.row)), pa.array(a.gold.first.astype(np.int32)), pa.array(a.gold.last.astype(np.int32)), g, s, pa.array(a.ends)], ["sent", "begin", "end", "g", "s", "ends"])
 
-    kind = _parse_datatype_string("begin int, end int, g struct<tag:string,pos:string,dep:string>, s struct<tag:string,pos:string,dep:string>")
-    return pairs.select("sent", "gold", "system").mapInArrow(stage, StructType([pairs.schema["sent"], *kind.fields, StructField("ends", BooleanType())]))
+BOTH = "g struct<tag:string,pos:string,dep:string>, s struct<tag:string,pos:string,dep:string>"
+
+
+def aligned_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """What aligned returns, of a batch of pairs."""
+    names = ("tag", "pos", "dep")
+    a = Aligned(Side(batch.column("gold")), Side(batch.column("system")))
+    g = pa.StructArray.from_arrays([a.gold.columns[n] for n in names], names)
+    s = pa.StructArray.from_arrays([a.field(n) for n in names], names, mask=pa.array(~a.same))
+    return pa.RecordBatch.from_arrays([batch.column("sent").take(pa.array(a.gold.row)), pa.array(a.gold.first.astype(np.int32)), pa.array(a.gold.last.astype(np.int32)), g, s, pa.array(a.ends)], ["sent", "begin", "end", "g", "s", "ends"])
 
 
 def conditional_accuracy(pairs: DataFrame, condition: Column) -> DataFrame:
     """Agreement of the part of speech among matched tokens for which a condition on the gold fields g.* holds: n, correct, accuracy."""
-    both = aligned(pairs).filter(F.col("s").isNotNull() & condition)
+    return accuracy(aligned(pairs), condition)
+
+
+def accuracy(rows: DataFrame, condition: Column) -> DataFrame:
+    both = rows.filter(F.col("s").isNotNull() & condition)
     n, right = F.count(F.lit(1)), F.sum(F.when(F.col("g.pos") == F.col("s.pos"), 1).otherwise(0))
     return both.agg(n.alias("n"), F.coalesce(right, F.lit(0)).alias("correct")).withColumn("accuracy", F.when(F.col("n") > 0, F.col("correct") / F.col("n")).otherwise(0.0))
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ARROW_TOKEN
-from .recognize import flatten
+from .recognize import Flat, flatten, token_slices
 from .tokens import joined
 
 MODES = ("A", "B", "C", None)
@@ -39,6 +39,10 @@ def default_pos(surface: str, tag: str, following: str | None) -> tuple[str, str
     return table.get(head, head.upper() if head.isascii() and head else "X"), None
 
 
+#: Rules that don't look at the surface.
+BY_TAGS = (default_pos,)
+
+
 def check_mode(mode: str | None) -> str | None:
     if mode not in MODES:
         raise ValueError(f"split mode is A, B, C or None, not {mode}")
@@ -92,10 +96,14 @@ def split_sentence(tokens: list[dict], subs: list[dict | None] | None, mode: str
 
 
 def split_batch(tokens: pa.ListArray, subs: pa.ListArray, mode: str, pos_rule: PosRule = default_pos) -> pa.ListArray:
-    """split_sentence for all sentences of a batch at once; only the parts of speech of pieces are decided one by one."""
+    """split_sentence for all sentences of a batch at once."""
+    return split_lists(tokens, _aligned(tokens, subs, mode), pos_rule)
+
+
+def split_lists(tokens: pa.ListArray, lists: pa.ListArray, pos_rule: PosRule = default_pos) -> pa.ListArray:
+    """Sentences with their tokens replaced by pieces; lists: those of each token, null for none."""
     f = flatten(tokens)
     n, head = len(f.head), f.head
-    lists = _aligned(tokens, subs, mode)
     sizes = np.where(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)) > 0, np.asarray(pc.fill_null(pc.list_value_length(lists), 0)), 0)
     has = sizes > 0
     count = np.maximum(sizes, 1)
@@ -127,24 +135,14 @@ def split_batch(tokens: pa.ListArray, subs: pa.ListArray, mode: str, pos_rule: P
         reading = pc.if_else(mask, pc.if_else(pc.equal(reading, ""), empty, reading), fields["reading"])
         inflection = both("inflection", "inf")
         inflection = pc.if_else(mask, pc.if_else(pc.equal(pc.fill_null(inflection, ""), ""), empty, inflection), fields["inflection"])
-        dep_of = pa.array([DEP_BY_TAG.get(x, "compound") for x in tag.to_pylist()], pa.string())
+        coded = tag.dictionary_encode()
+        dep_of = pa.array([DEP_BY_TAG.get(x, "compound") for x in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
         later = pa.array(piece & (k > 0))
         iob = pc.if_else(pc.and_(later, pc.equal(fields["ent_iob"], "B")), "I", fields["ent_iob"])
         width = np.asarray(pc.fill_null(pc.utf8_length(surface), 0)).astype(np.int64)
         before = np.cumsum(width) - width
         shift = pa.array((before - before[first[old]]).astype(np.int32))
-        pos = fields["pos"].to_pylist()
-        surfaces, tags = surface.to_pylist(), tag.to_pylist()
-        own_tags = f.strings("tag").to_pylist()
-        ends = set(f.begin[1:].tolist())
-        for i in np.flatnonzero(has).tolist():
-            pending, a, b = None, int(first[i]), int(last[i])
-            for j in range(a, b + 1):
-                if pending:
-                    pos[j], pending = pending, None
-                else:
-                    following = tags[j + 1] if j < b else own_tags[i + 1] if i + 1 not in ends else None
-                    pos[j], pending = pos_rule(surfaces[j], tags[j], following)
+        pos = _pieces_pos(f, has, first, last, old, piece, fields["pos"], surface, tag, pos_rule)
         fields |= {
             "orth": surface,
             "tag": tag,
@@ -153,7 +151,7 @@ def split_batch(tokens: pa.ListArray, subs: pa.ListArray, mode: str, pos_rule: P
             "reading": reading,
             "inflection": inflection,
             "ent_iob": iob,
-            "pos": pa.array(pos, pa.string()),
+            "pos": pos,
             "ws": pc.if_else(pa.array(piece & ~final), "", fields["ws"]),
             "dep": pc.if_else(pa.array(piece & ~final), dep_of, fields["dep"]),
             "idx": pc.add(fields["idx"], shift),
@@ -164,6 +162,39 @@ def split_batch(tokens: pa.ListArray, subs: pa.ListArray, mode: str, pos_rule: P
     return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), struct)
 
 
+def _pieces_pos(f: Flat, has: np.ndarray, first: np.ndarray, last: np.ndarray, old: np.ndarray, piece: np.ndarray, own: pa.Array, surface: pa.Array, tag: pa.Array, pos_rule: PosRule) -> pa.Array:
+    """Parts of speech of pieces. A rule that looks at tags alone is asked once for each pair of tags, unless it decides for two pieces
+    at once somewhere; then, as with other rules, they are decided one by one."""
+    ends = np.zeros(len(has) + 1, bool)
+    ends[f.begin[1:]] = True
+    if pos_rule in BY_TAGS and not tag.null_count:
+        coded = tag.dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        code = coded.indices.to_numpy().astype(np.int64)
+        end = np.arange(len(old)) == last[old]
+        # What follows a token's last piece is the next token's own tag, which isn't that of its first piece where it is cut.
+        words = f.strings("tag").dictionary_encode()
+        names = words.dictionary.to_pylist()
+        word = words.indices.to_numpy().astype(np.int64)
+        inner = np.append(code[1:], 0)
+        outer = np.where(ends[old + 1], -1, np.append(word, 0)[old + 1]) + len(known)
+        pairs, of = np.unique(np.where(piece, code * (len(known) + len(names) + 1) + np.where(end, outer + 1, inner), -1), return_inverse=True)
+        followers = [*known, None, *names]
+        found = [pos_rule("", known[p // len(followers)], followers[p % len(followers)]) if p >= 0 else ("", None) for p in pairs.tolist()]
+        if all(b is None for _, b in found):
+            return pc.if_else(pa.array(piece), pa.array([a for a, _ in found], pa.string()).take(pa.array(of)), own)
+    pos, surfaces, tags, own_tags = own.to_pylist(), surface.to_pylist(), tag.to_pylist(), f.strings("tag").to_pylist()
+    for i in np.flatnonzero(has).tolist():
+        pending, a, b = None, int(first[i]), int(last[i])
+        for j in range(a, b + 1):
+            if pending:
+                pos[j], pending = pending, None
+            else:
+                following = tags[j + 1] if j < b else own_tags[i + 1] if not ends[i + 1] else None
+                pos[j], pending = pos_rule(surfaces[j], tags[j], following)
+    return pa.array(pos, pa.string())
+
+
 def _aligned(tokens: pa.ListArray, subs: pa.ListArray, mode: str) -> pa.ListArray:
     """The lists of a mode, one for each token; sentences without sub-tokens get nulls."""
     if not subs.null_count and subs.offsets.equals(tokens.offsets):
@@ -188,8 +219,9 @@ def split_compounds(sentences: DataFrame, mode: str | None, pos_rule: PosRule =
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            split = split_batch(batch.column(t), batch.column(s), mode, pos_rule)
-            yield pa.RecordBatch.from_arrays([split if n == "tokens" else batch.column(names.index(n)) for n in rest], rest)
+            for part in token_slices(batch):
+                split = split_batch(part.column(t), part.column(s), mode, pos_rule)
+                yield pa.RecordBatch.from_arrays([split if n == "tokens" else part.column(names.index(n)) for n in rest], rest)
 
     return sentences.mapInArrow(stage, sentences.drop("sub_tokens").schema)
 

@@ -12,14 +12,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType, _parse_datatype_string
 
 from ..functions.fields import swap_width
 from .evaluate import Side
-from .recognize import SUFFIX, flatten
-from .trees import crossing, depths
+from ..plans.flow import Step, field, ints, joined, owners, per_row, starts, with_column, with_fields
+from .recognize import SUFFIX, flatten, token_slices
+from .trees import crossing, depths, scatter
 
 
 def mark_bunsetu_heads(head: list[int], dep: list[str], bi: list[str | None]) -> list[str]:
@@ -111,6 +113,10 @@ def merge_to(spans: list[tuple[int, int]], tokens: list[dict]) -> list[dict]:
     return out
 
 
+#: Tokens of a slice whose tokens become Python values.
+ROWS_TOKENS = 1 << 13
+
+
 def rewritten(sentences: DataFrame, change: Callable[..., list[dict]], *columns: str, error: str | None = None) -> DataFrame:
     """sentences with tokens that `change` makes of them and of the values of the columns. Where it raises a ValueError, the sentence is
     left out; or if `error` is given, its tokens are null and that column says why."""
@@ -118,7 +124,7 @@ def rewritten(sentences: DataFrame, change: Callable[..., list[dict]], *columns:
     place, places = names.index("tokens"), [names.index(c) for c in columns]
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in token_slices(whole, ROWS_TOKENS)):
             keep, changed, said = [], [], []
             for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in (place, *places)), strict=True)):
                 try:
@@ -140,26 +146,156 @@ def rewritten(sentences: DataFrame, change: Callable[..., list[dict]], *columns:
 def with_bunsetu_heads(sentences: DataFrame, bi: str = "bi", error: str | None = None) -> DataFrame:
     """sentences with the suffix on the relation of each bunsetu's root; bi: the column with the tokens' bunsetu labels."""
 
-    def change(tokens: list[dict], labels: list[str | None]) -> list[dict]:
-        dep = mark_bunsetu_heads([t["head"] for t in tokens], [t["dep"] for t in tokens], labels)
-        return [t | {"dep": d} for t, d in zip(tokens, dep, strict=True)]
-
-    return rewritten(sentences, change, bi, error=error)
+    return _stepped(sentences, bunsetu_head_deps(bi), error=error)
 
 
 def with_suffix(sentences: DataFrame, spans: str = "spans") -> DataFrame:
     """sentences with the suffix on the first token of each span that has its head outside; spans: start and end, places of tokens."""
-
-    def change(tokens: list[dict], found: list[dict]) -> list[dict]:
-        dep = append_suffix([t["head"] for t in tokens], [t["dep"] for t in tokens], [(x["start"], x["end"]) for x in found])
-        return [t | {"dep": d} for t, d in zip(tokens, dep, strict=True)]
-
-    return rewritten(sentences, change, spans)
+    return _stepped(sentences, suffixed(spans))
 
 
 def retokenised(sentences: DataFrame, spans: str = "spans", error: str | None = None) -> DataFrame:
     """sentences with tokens merged to those of another tokenisation; spans: begin and end, characters."""
-    return rewritten(sentences, lambda tokens, found: merge_to([(x["begin"], x["end"]) for x in found], tokens), spans, error=error)
+    return _stepped(sentences, merged(spans), error=error)
+
+
+#: A batch's tokens changed, and what is wrong with each sentence (null: nothing).
+Change = Callable[[pa.RecordBatch], tuple[pa.ListArray, pa.Array]]
+
+
+def _stepped(sentences: DataFrame, change: Change, error: str | None = None) -> DataFrame:
+    """sentences changed, as `rewritten` does it, by a kernel over batches."""
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from map(stepped(change, error), token_slices(batch))
+
+    return sentences.mapInArrow(stage, StructType([*sentences.schema.fields, StructField(error, StringType())]) if error else sentences.schema)
+
+
+def stepped(change: Change, error: str | None = None) -> Step:
+    """Batches of sentences changed; those with an error are left out, or have null tokens if there is a column for it."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tokens, said = change(batch)
+        good = said.is_null()
+        if error is None:
+            return with_column(batch, "tokens", tokens).filter(good)
+        tokens = tokens if said.null_count == len(said) else pc.if_else(good, tokens, pa.scalar(None, tokens.type))
+        return with_column(with_column(batch, "tokens", tokens), error, said)
+
+    return step
+
+
+def bunsetu_head_deps(bi: str = "bi") -> Change:
+    def change(batch: pa.RecordBatch) -> tuple[pa.ListArray, pa.Array]:
+        tokens, labels = batch.column("tokens"), batch.column(bi)
+        head, dep = (field(tokens, n).to_pylist() for n in ("head", "dep"))
+        begin, flat, at = starts(tokens).tolist(), labels.flatten().to_pylist(), starts(labels).tolist()
+        said: list[str | None] = []
+        for k, (a, b) in enumerate(zip(begin, begin[1:], strict=False)):
+            try:
+                dep[a:b] = mark_bunsetu_heads(head[a:b], dep[a:b], flat[at[k] : at[k + 1]])
+                said.append(None)
+            except ValueError as e:
+                said.append(str(e))
+        return with_fields(tokens, dep=pa.array(dep, pa.string())), pa.array(said, pa.string())
+
+    return change
+
+
+def suffixed(spans: str = "spans") -> Change:
+    """append_suffix for all sentences of a batch at once."""
+
+    def change(batch: pa.RecordBatch) -> tuple[pa.ListArray, pa.Array]:
+        tokens, found = batch.column("tokens"), batch.column(spans)
+        f = flatten(tokens)
+        base = f.begin[:-1][owners(found)]
+        begin, end = (field(found, n).to_numpy(zero_copy_only=False).astype(np.int64) + base for n in ("start", "end"))
+        some = end > begin
+        begin, end = begin[some], end[some]
+        at, of = scatter(begin, end - begin), np.repeat(np.arange(len(begin)), end - begin)
+        up, n = f.head[at], len(f.head)
+        outside = (up < begin[of]) | (up >= end[of]) | (up == at)
+        first = np.minimum.reduceat(np.where(outside, at, n), np.cumsum(end - begin) - (end - begin)) if len(begin) else at
+        mark = np.zeros(n, bool)
+        mark[first[first < n]] = True
+        dep = f.strings("dep")
+        free = pc.and_(pc.not_equal(pc.utf8_lower(dep), "root"), pc.invert(pc.ends_with(dep, SUFFIX)))
+        marked = pc.if_else(pc.and_(pa.array(mark), free), pc.binary_join_element_wise(dep, SUFFIX, ""), dep)
+        return with_fields(tokens, dep=marked), pa.nulls(batch.num_rows, pa.string())
+
+    return change
+
+
+def groups(spans: list[tuple[int, int]], begin: list[int], end: list[int]) -> list[int]:
+    """The group of each token, as merge_to makes them."""
+    of, s, upto, g, n = [], 0, -1, -1, len(spans)
+    for b, e in zip(begin, end, strict=True):
+        while s < n and spans[s][1] <= b:
+            s += 1
+        if b >= upto:
+            g += 1
+        of.append(g)
+        if e > upto:
+            upto = e
+        k = s
+        while k < n and spans[k][0] < upto:
+            if spans[k][1] > upto:
+                upto = spans[k][1]
+            k += 1
+    return of
+
+
+def merged(spans: str = "spans") -> Change:
+    """merge_to for all sentences of a batch at once; only groups are found one by one."""
+
+    def change(batch: pa.RecordBatch) -> tuple[pa.ListArray, pa.Array]:
+        tokens, found = batch.column("tokens"), batch.column(spans)
+        f, row, n = flatten(tokens), owners(tokens), len(owners(tokens))
+        orth, ws = f.strings("orth"), pc.fill_null(f.strings("ws"), "")
+        begin = f.strings("idx").to_numpy(zero_copy_only=False).astype(np.int64)
+        end = begin + pc.utf8_length(orth).to_numpy(zero_copy_only=False)
+        b, e = begin.tolist(), end.tolist()
+        pairs = list(zip(field(found, "begin").to_pylist(), field(found, "end").to_pylist(), strict=True))
+        at, own = f.begin.tolist(), starts(found).tolist()
+        of = np.array([g for k in range(len(tokens)) for g in groups(pairs[own[k] : own[k + 1]], b[at[k] : at[k + 1]], e[at[k] : at[k + 1]])], np.int64)
+        new = np.append(True, (of[1:] != of[:-1]) | (row[1:] != row[:-1])) if n else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, n))
+        group, here = np.cumsum(new) - 1, np.arange(n)
+        to = np.where(f.head == here, -1, group[f.head]) if n else here
+        outer = to != group if n else new
+        # Heads outside of a group: all must lie in one group, or be none's.
+        low, high, lead = (np.zeros(0, np.int64),) * 3
+        if n:
+            low, high = np.minimum.reduceat(np.where(outer, to, n), first), np.maximum.reduceat(np.where(outer, to, -2), first)
+            lead = np.maximum.reduceat(np.where(outer, here, -1), first)
+        said: list[str | None] = [None] * batch.num_rows
+        for g in np.flatnonzero(low != high)[::-1].tolist():
+            a = int(first[g] - f.begin[row[first[g]]])
+            said[row[first[g]]] = f"tokens {list(range(a, a + int(size[g])))} have several heads outside"
+        lead = np.where(lead < 0, first, lead)
+        start = np.append(np.searchsorted(row[first], np.arange(batch.num_rows)), len(first))
+        head = np.where(low == -1, np.arange(len(first)), np.clip(low, 0, max(0, len(first) - 1))) - start[row[first]]
+        last, bounds = first + size - 1, np.append(first, n)
+        final = np.zeros(n, bool)
+        final[last] = True
+        take = pa.array(lead)
+        values = {name: f.strings(name).take(take) for name in f.columns}
+        values |= {
+            "orth": joined(pc.binary_join_element_wise(orth, pc.if_else(pa.array(final), "", ws), ""), bounds, ""),
+            "ws": f.strings("ws").take(pa.array(last)),
+            "lemma": joined(f.strings("lemma"), bounds, ""),
+            "norm": joined(f.strings("norm"), bounds, ""),
+            "head": ints(head),
+            "idx": f.strings("idx").take(pa.array(first)),
+        }
+        kind = tokens.type.value_type
+        struct = pa.StructArray.from_arrays([values[x.name].cast(x.type) for x in kind], fields=list(kind))
+        return pa.ListArray.from_arrays(ints(start), struct), pa.array(said, pa.string())
+
+    return change
 
 
 def decoded(sentences: DataFrame, labels: str = "labels", must_have: bool = False) -> DataFrame:
@@ -361,6 +497,24 @@ def augment_width(sentences: DataFrame, key: list[str], seed: int = 1) -> DataFr
     return sentences.withColumn("copy", F.lit(0)).unionByName(second)
 
 
+def width_copies(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A row a sentence and a row for its copy of swapped widths, as augment_width has them by doc_id and sent_id: copy, text, lemmas."""
+    from ..functions.fields import SWAPPED
+
+    lemmas = joined(field(batch.column("tokens"), "lemma"), starts(batch.column("tokens")), " ")
+    rows, texts, changed = [], [], []
+    for k, (d, n, text, words) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), lemmas.to_pylist(), strict=True)):
+        swapped = text.translate(SWAPPED)
+        if swapped != text:
+            draw = int(hashlib.md5(f"{d}:{n}:1".encode()).hexdigest()[:8], 16) % 6
+            rows.append(k)
+            texts.append(swapped if draw < 4 else text)
+            changed.append(words.translate(SWAPPED) if draw < 2 or draw >= 4 else words)
+    every = np.append(np.arange(batch.num_rows), np.array(rows, np.int64)).astype(np.int64)
+    copies = ints(np.arange(len(every)) >= batch.num_rows)
+    return per_row(batch, every, copy=copies, text=pa.concat_arrays([batch.column(2), pa.array(texts, pa.string())]), lemmas=pa.concat_arrays([lemmas, pa.array(changed, pa.string())]))
+
+
 def dep_report(table: DataFrame) -> DataFrame:
     """dep, n over the bunsetu heads of a token table."""
     return table.filter("is_head").groupBy("dep").agg(F.count(F.lit(1)).alias("n"))
