@@ -247,8 +247,16 @@ def groups(spans: list[tuple[int, int]], begin: list[int], end: list[int]) -> li
     return of
 
 
+def _within(begin: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray | None:
+    """The span of each token as its group, if spans and tokens come in order without overlaps and each token lies in one; else None."""
+    if not len(begin) or not len(low) or (end <= begin).any() or (high <= low).any() or (begin[1:] < end[:-1]).any() or (low[1:] < high[:-1]).any():
+        return None
+    of = np.searchsorted(low, begin, side="right") - 1
+    return of if (of >= 0).all() and (end <= high[of]).all() else None
+
+
 def merged(spans: str = "spans") -> Change:
-    """merge_to for all sentences of a batch at once; only groups are found one by one."""
+    """merge_to for all sentences of a batch at once; only groups of spans and tokens that cross are found one by one."""
 
     def change(batch: pa.RecordBatch) -> tuple[pa.ListArray, pa.Array]:
         tokens, found = batch.column("tokens"), batch.column(spans)
@@ -256,10 +264,12 @@ def merged(spans: str = "spans") -> Change:
         orth, ws = f.strings("orth"), pc.fill_null(f.strings("ws"), "")
         begin = f.strings("idx").to_numpy(zero_copy_only=False).astype(np.int64)
         end = begin + pc.utf8_length(orth).to_numpy(zero_copy_only=False)
-        b, e = begin.tolist(), end.tolist()
-        pairs = list(zip(field(found, "begin").to_pylist(), field(found, "end").to_pylist(), strict=True))
-        at, own = f.begin.tolist(), starts(found).tolist()
-        of = np.array([g for k in range(len(tokens)) for g in groups(pairs[own[k] : own[k + 1]], b[at[k] : at[k + 1]], e[at[k] : at[k + 1]])], np.int64)
+        low, high = (field(found, name).to_numpy(zero_copy_only=False).astype(np.int64) for name in ("begin", "end"))
+        of = _within(row << 32 | begin, row << 32 | end, owners(found) << 32 | low, owners(found) << 32 | high)
+        if of is None:
+            b, e, pairs = begin.tolist(), end.tolist(), list(zip(low.tolist(), high.tolist(), strict=True))
+            at, own = f.begin.tolist(), starts(found).tolist()
+            of = np.array([g for k in range(len(tokens)) for g in groups(pairs[own[k] : own[k + 1]], b[at[k] : at[k + 1]], e[at[k] : at[k + 1]])], np.int64)
         new = np.append(True, (of[1:] != of[:-1]) | (row[1:] != row[:-1])) if n else np.zeros(0, bool)
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, n))

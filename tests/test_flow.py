@@ -96,6 +96,9 @@ def test_merging_and_suffixes_of_a_batch_are_those_of_its_sentences():
     kind = {k: pa.list_(pa.struct([(a, pa.int32()), (b, pa.int32())])) for k, a, b in (("spans", "begin", "end"), ("places", "start", "end"))}
     batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(ARROW_TOKEN)), pa.array(spans, kind["spans"]), pa.array(places, kind["places"])], ["tokens", "spans", "places"])
     merged, said = (x.to_pylist() for x in treebank.merged()(batch))
+    each = [treebank.merged()(batch.slice(k, 1)) for k in range(400)]  # without others that cross, groups are found at once
+    assert [x[0].to_pylist()[0] for x in each if x[1][0].as_py() is None] == [m for m, s in zip(merged, said, strict=True) if s is None]
+    assert [x[1][0].as_py() for x in each] == said
     marked = treebank.suffixed("places")(batch)[0].to_pylist()
     bad = 0
     for k, tokens in enumerate(rows):
