@@ -131,8 +131,8 @@ def split_lists(tokens: pa.ListArray, lists: pa.ListArray, pos_rule: PosRule = d
     fields = {name: f.strings(name).take(pa.array(old)) for name in f.columns}
     if len(values):
         empty = pa.scalar(None, pa.string())
-        reading = pc.replace_substring_regex(pc.fill_null(both("reading", "reading"), ""), "[=|]", "_")
-        reading = pc.if_else(mask, pc.if_else(pc.equal(reading, ""), empty, reading), fields["reading"])
+        read = pc.replace_substring(pc.replace_substring(pc.fill_null(values.field("reading"), ""), "=", "_"), "|", "_")
+        reading = pc.if_else(mask, pc.if_else(pc.equal(read, ""), empty, read).take(pa.array(place)), fields["reading"])
         inflection = both("inflection", "inf")
         inflection = pc.if_else(mask, pc.if_else(pc.equal(pc.fill_null(inflection, ""), ""), empty, inflection), fields["inflection"])
         coded = tag.dictionary_encode()
