@@ -187,19 +187,58 @@ def stepped(change: Change, error: str | None = None) -> Step:
     return step
 
 
+def _roots(head: np.ndarray, is_root: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The root that mark_bunsetu_heads finds of each bunsetu; start: where they begin, first of all at the first token."""
+    n = len(head)
+    here, of = np.arange(n), np.repeat(np.arange(len(start)), np.diff(np.append(start, n)))
+    # The last token that is taken whatever was before; after it, only those count that its head, and theirs in turn, lies under.
+    root = np.maximum.reduceat(np.where((head < start[of]) | is_root | (head == here) | (here == start[of]), here, -1), start)
+    after = head[root][of]
+    later = (here > root[of]) & (here <= after) & (head > after)
+    ends = np.append(start[1:], n)
+    for g in np.unique(of[later]).tolist():
+        a, b = int(root[g]), int(ends[g])
+        part, at = head[a:b].tolist(), 0
+        for i in range(1, b - a):
+            if a + i <= part[at] < part[i]:
+                at = i
+        root[g] = a + at
+    return root
+
+
+def _marked_one_by_one(tokens: pa.ListArray, labels: pa.ListArray) -> tuple[pa.ListArray, pa.Array]:
+    head, dep = (field(tokens, n).to_pylist() for n in ("head", "dep"))
+    begin, flat, at = starts(tokens).tolist(), labels.flatten().to_pylist(), starts(labels).tolist()
+    said: list[str | None] = []
+    for k, (a, b) in enumerate(zip(begin, begin[1:], strict=False)):
+        try:
+            dep[a:b] = mark_bunsetu_heads(head[a:b], dep[a:b], flat[at[k] : at[k + 1]])
+            said.append(None)
+        except ValueError as e:
+            said.append(str(e))
+    return with_fields(tokens, dep=pa.array(dep, pa.string())), pa.array(said, pa.string())
+
+
 def bunsetu_head_deps(bi: str = "bi") -> Change:
+    """mark_bunsetu_heads for all sentences of a batch at once."""
+
     def change(batch: pa.RecordBatch) -> tuple[pa.ListArray, pa.Array]:
         tokens, labels = batch.column("tokens"), batch.column(bi)
-        head, dep = (field(tokens, n).to_pylist() for n in ("head", "dep"))
-        begin, flat, at = starts(tokens).tolist(), labels.flatten().to_pylist(), starts(labels).tolist()
-        said: list[str | None] = []
-        for k, (a, b) in enumerate(zip(begin, begin[1:], strict=False)):
-            try:
-                dep[a:b] = mark_bunsetu_heads(head[a:b], dep[a:b], flat[at[k] : at[k + 1]])
-                said.append(None)
-            except ValueError as e:
-                said.append(str(e))
-        return with_fields(tokens, dep=pa.array(dep, pa.string())), pa.array(said, pa.string())
+        flat, begin = labels.flatten(), starts(tokens)
+        if not np.array_equal(begin, starts(labels)):
+            return _marked_one_by_one(tokens, labels)
+        f, row = flatten(tokens), owners(tokens)
+        dep = f.strings("dep")
+        is_root = pc.fill_null(pc.equal(pc.utf8_lower(dep), "root"), False).to_numpy(zero_copy_only=False)
+        without = np.bincount(row[flat.is_null().to_numpy(zero_copy_only=False)], minlength=batch.num_rows) > 0
+        if len(row):
+            begins = pc.fill_null(pc.equal(flat, "B"), False).to_numpy(zero_copy_only=False).copy()
+            begins[begin[:-1][np.diff(begin) > 0]] = True
+            mark = np.zeros(len(row), bool)
+            mark[_roots(f.head, is_root, np.flatnonzero(begins))] = True
+            dep = pc.if_else(pa.array(mark & ~is_root & ~without[row]), pc.binary_join_element_wise(dep, SUFFIX, ""), dep)
+        said = pa.array(["a token without a bunsetu label"]).take(pa.array(np.zeros(batch.num_rows, np.int64), mask=~without))
+        return with_fields(tokens, dep=dep), said
 
     return change
 
