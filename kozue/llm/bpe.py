@@ -29,6 +29,9 @@ DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces that a worker remembers in each of two generations; a bound on memory, not on what is encoded.
 MEMO = 100_000
+#: Bytes up to which a piece's ranks are looked through for the lowest one: a queue costs more than it spares there.
+SHORT = 24
+NONE = 1 << 40
 
 
 def load_ranks(path: str = DEFAULT_RANKS) -> dict[bytes, int]:
@@ -65,6 +68,7 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         self.single = [ranks[bytes((b,))] for b in range(256)]
         self.two = [ranks.get(bytes((b >> 8, b & 255)), -1) for b in range(1 << 16)]
+        self.near = [NONE if r < 0 else r for r in self.two]
         self.pieces = Memo(lambda piece: array("i", self.merge(piece.encode())).tobytes())
         size = max(ranks.values(), default=-1) + 1
         strings = [b""] * size
@@ -78,6 +82,25 @@ class Encoder:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        return self.scanned(piece) if len(piece) <= SHORT else self.queued(piece)
+
+    def scanned(self, piece: bytes) -> list[int]:
+        """The merges of a short piece, the lowest rank (leftmost first) found by looking at all."""
+        rank_of, single, near = self.ranks.get, self.single, self.near
+        begin = list(range(len(piece) + 1))
+        token = [single[b] for b in piece]
+        pair = [near[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
+        while pair and (rank := min(pair)) < NONE:
+            i = pair.index(rank)
+            token[i] = rank
+            del token[i + 1], begin[i + 1], pair[i]
+            if i < len(pair):
+                pair[i] = rank_of(piece[begin[i] : begin[i + 2]], NONE)
+            if i:
+                pair[i - 1] = rank_of(piece[begin[i - 1] : begin[i + 1]], NONE)
+        return token
+
+    def queued(self, piece: bytes) -> list[int]:
         n, rank_of, push, pop, two = len(piece), self.ranks.get, heapq.heappush, heapq.heappop, self.two
         # Symbols are linked by where they begin: after[i] is the next one (n at the end), before[i] the previous one.
         after, before = list(range(1, n + 1)), list(range(-1, n))

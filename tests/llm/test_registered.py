@@ -101,3 +101,20 @@ def test_queries_over_documents(spark, folder):
         break
     want = sorted((i, label[i], links[groups[t][0]], len(groups[t])) for i, t in text.items())
     assert sorted((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in run("op10_minhash")) == want
+
+
+def test_short_pieces_merge_as_with_a_queue():
+    import random
+
+    from kozue.llm import bpe
+
+    r = random.Random(7)
+    letters = [bytes((b,)) for b in range(256)]
+    ranks = {b: k for k, b in enumerate(letters)}
+    for n in (2, 3, 4, 6):  # longer strings of few letters, so that merges overlap
+        for _ in range(60):
+            ranks.setdefault(bytes(r.choice(b"ab ") for _ in range(n)), len(ranks))
+    coder = bpe.Encoder(ranks)
+    for _ in range(2000):
+        piece = bytes(r.choice(b"ab c") for _ in range(r.randint(1, 40)))
+        assert coder.scanned(piece) == coder.queued(piece)
