@@ -101,7 +101,8 @@ def split_batch(tokens: pa.ListArray, subs: pa.ListArray, mode: str, pos_rule: P
 
 
 def split_lists(tokens: pa.ListArray, lists: pa.ListArray, pos_rule: PosRule = default_pos) -> pa.ListArray:
-    """Sentences with their tokens replaced by pieces; lists: those of each token, null for none."""
+    """Sentences with their tokens replaced by pieces; lists: those of each token, null for none. Pieces have the fields that tokens have;
+    reading and inflection may be left out."""
     f = flatten(tokens)
     n, head = len(f.head), f.head
     sizes = np.where(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)) > 0, np.asarray(pc.fill_null(pc.list_value_length(lists), 0)), 0)
@@ -121,20 +122,22 @@ def split_lists(tokens: pa.ListArray, lists: pa.ListArray, pos_rule: PosRule = d
     new_head = np.where(piece & ~root[old] & ~tight[old] & ~final, last[old], up)
     values = lists.flatten()
     place = np.where(piece, np.cumsum(piece) - 1, 0)
-    mask = pa.array(piece)
+    mask, of_own, of_both = pa.array(piece), pa.array(old), pa.array(np.where(piece, n + place, old))
 
     def both(name: str, sub: str) -> pa.Array:
-        own = f.strings(name).take(pa.array(old))
-        return pc.if_else(mask, values.field(sub).take(pa.array(place)), own) if len(values) else own
+        return pa.concat_arrays([f.strings(name), values.field(sub)]).take(of_both) if len(values) else f.strings(name).take(of_own)
 
     surface, tag = both("orth", "surface"), both("tag", "tag")
-    fields = {name: f.strings(name).take(pa.array(old)) for name in f.columns}
+    replaced = {"orth", "tag", "lemma", "norm", "head"} if len(values) else {"head"}
+    fields = {name: f.strings(name).take(of_own) for name in f.columns if name not in replaced}
     if len(values):
         empty = pa.scalar(None, pa.string())
-        read = pc.replace_substring(pc.replace_substring(pc.fill_null(values.field("reading"), ""), "=", "_"), "|", "_")
-        reading = pc.if_else(mask, pc.if_else(pc.equal(read, ""), empty, read).take(pa.array(place)), fields["reading"])
-        inflection = both("inflection", "inf")
-        inflection = pc.if_else(mask, pc.if_else(pc.equal(pc.fill_null(inflection, ""), ""), empty, inflection), fields["inflection"])
+        if "reading" in fields:
+            read = pc.replace_substring(pc.replace_substring(pc.fill_null(values.field("reading"), ""), "=", "_"), "|", "_")
+            fields["reading"] = pc.if_else(mask, pc.if_else(pc.equal(read, ""), empty, read).take(pa.array(place)), fields["reading"])
+        if "inflection" in fields:
+            inflection = both("inflection", "inf")
+            fields["inflection"] = pc.if_else(mask, pc.if_else(pc.equal(pc.fill_null(inflection, ""), ""), empty, inflection), fields["inflection"])
         coded = tag.dictionary_encode()
         dep_of = pa.array([DEP_BY_TAG.get(x, "compound") for x in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
         later = pa.array(piece & (k > 0))
@@ -148,8 +151,6 @@ def split_lists(tokens: pa.ListArray, lists: pa.ListArray, pos_rule: PosRule = d
             "tag": tag,
             "lemma": both("lemma", "lemma"),
             "norm": both("norm", "norm"),
-            "reading": reading,
-            "inflection": inflection,
             "ent_iob": iob,
             "pos": pos,
             "ws": pc.if_else(pa.array(piece & ~final), "", fields["ws"]),
@@ -158,7 +159,8 @@ def split_lists(tokens: pa.ListArray, lists: pa.ListArray, pos_rule: PosRule = d
         }
     begin = np.append(0, np.cumsum(count))[f.begin]
     fields["head"] = pa.array((new_head - np.repeat(begin[:-1], np.diff(begin))).astype(np.int32))
-    struct = pa.StructArray.from_arrays([fields[x.name].cast(x.type) for x in ARROW_TOKEN], fields=list(ARROW_TOKEN))
+    kinds = [x for x in ARROW_TOKEN if x.name in fields]
+    struct = pa.StructArray.from_arrays([fields[x.name].cast(x.type) for x in kinds], fields=kinds)
     return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), struct)
 
 
