@@ -8,9 +8,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from kozue.operators import formats, treebank
+from kozue.operators import formats, tokens, treebank
 from kozue.operators.recognize import Options, recognised
 from kozue.plans import seed
+from kozue.schema import ARROW_TOKEN
 from kozue.sources import conllu
 
 LETTERS = " \tabcdefghXYZ019,.;-#=|\\éÈİΣσ漢٣²\x85\xa0\U0001f600"
@@ -80,3 +81,32 @@ def test_bunsetu_roots_equal_those_found_token_by_token():
         roots = treebank._roots(np.array(head), np.array([d == "ROOT" for d in dep]), np.array(start))
         marked = treebank.mark_bunsetu_heads(head, dep, ["B" if i in start else "I" for i in range(n)])
         assert [d if d == "ROOT" or i not in roots else d + "_bunsetu" for i, d in enumerate(dep)] == marked
+
+
+def forest(r: random.Random, n: int, circles: bool) -> list[int]:
+    """Heads of n tokens: chains and bushes, in any order of places."""
+    order = r.sample(range(n), n)
+    head = list(range(n))
+    for k, i in enumerate(order):
+        if r.random() < 0.95:
+            head[i] = order[r.randrange(n)] if circles and r.random() < 0.2 else order[max(0, k - r.choice((1, 1, 1, 30)))]
+    return head
+
+
+def test_first_paths_equal_those_by_climbing():
+    r = random.Random(6)
+    for k in range(120):
+        heads = [forest(r, r.choice((0, 1, 2, 3, 9, 70)), circles=k % 3 == 0) for _ in range(r.randint(0, 6))]
+        flat = pa.array([i for h in heads for i in h], pa.int32())
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(h) for h in heads])).astype(np.int32)), pa.StructArray.from_arrays([flat], fields=[ARROW_TOKEN.field(ARROW_TOKEN.get_field_index("head"))]))
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(heads)), pa.int64()), pa.array([0] * len(heads), pa.int32()), lists], ["doc_id", "sent_id", "tokens"])
+        wanted = []
+        for h in heads:
+            way, at = [], 0
+            while h and h[at] not in (at, 0, *way):
+                at = h[at]
+                way.append(at)
+            wanted.append((" ".join(map(str, way)), len(h) == 1 or len(h) - 1 in way))
+        assert [(x["path"], x["below_last"]) for x in tokens.first_paths(batch).to_pylist()] == wanted
+        if len(heads) > 1:
+            assert [(x["path"], x["below_last"]) for x in tokens.first_paths(batch.slice(1)).to_pylist()] == wanted[1:]
