@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from kozue.operators import formats, tokens, treebank
+from kozue.operators import formats, tokens, treebank, trees
 from kozue.operators.recognize import Options, recognised
 from kozue.plans import seed
 from kozue.schema import ARROW_TOKEN
@@ -93,6 +93,36 @@ def forest(r: random.Random, n: int, circles: bool) -> list[int]:
     return head
 
 
+def test_sums_over_subtrees_equal_those_by_climbing():
+    r = random.Random(5)
+    for k in range(120):
+        n = r.choice((0, 1, 5, 60, 400))
+        head = forest(r, n, circles=k % 3 == 0)
+        held = [[] for _ in head]
+        for i in range(n):
+            way, at = [i], i
+            while head[at] != at and head[at] not in way:
+                at = head[at]
+                way.append(at)
+            for a in way if head[at] == at else [i]:  # a way into a circle isn't summed up
+                held[a].append(i)
+        h = np.array(head, np.int64)
+        depth = trees.depths(h)
+        left, right, size = trees.edges(h, depth)
+        assert (left.tolist(), right.tolist(), size.tolist()) == ([min(x) for x in held], [max(x) for x in held], [len(x) - 1 for x in held])
+        assert trees.total_below(h, depth, np.arange(n) % 3).tolist() == [sum(i % 3 for i in x) for x in held]
+
+
+def test_deep_trees_cost_no_array_a_level():
+    n = 30_000
+    for head in (np.minimum(np.arange(n) + 1, n - 1), np.append(np.minimum(np.arange(n) + 1, n - 1), np.full(n, n - 1))):
+        depth = trees.depths(head)
+        wide, nodes, above = trees.levels(depth)
+        assert len(wide) <= 1 and sum(map(len, wide)) + len(nodes) - above == len(head) - 1
+        left, right, size = trees.edges(head, depth)
+        assert size[n - 1] == len(head) - 1 and size[: n - 1].tolist() == list(range(n - 1)) and not left[:n].any() and right[n - 1] == len(head) - 1
+
+
 def test_first_paths_equal_those_by_climbing():
     r = random.Random(6)
     for k in range(120):
