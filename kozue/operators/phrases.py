@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.flow import field, ints, joined as joined_stretches, joined_ranges, owners, per_row, starts, with_column
+from ..plans.flow import counted, field, ints, joined as joined_stretches, joined_ranges, owners, per_row, starts, with_column
 from .recognize import flatten
 from .tokens import at, joined, traverse
 
@@ -216,6 +216,17 @@ def _flags(values: pa.Array) -> np.ndarray:
     return pc.fill_null(values, False).to_numpy(zero_copy_only=False)
 
 
+def phrase_lengths(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A row a bunsetu head: the label of its phrase and the number of its words."""
+    units = batch.column("units")
+    at = pc.filter(pa.StructArray.from_arrays([field(units, n) for n in ("label", "phrase_start", "phrase_end")], ["label", "start", "end"]), field(units, "is_head"))
+    return pa.RecordBatch.from_arrays([at.field("label"), pc.subtract(at.field("end"), at.field("start"))], ["label", "n_words"])
+
+
+#: Steps that count phrases by label and length.
+span_counts = (phrase_lengths, counted("label", "n_words"))
+
+
 def bunsetu_heads(batch: pa.RecordBatch) -> pa.RecordBatch:
     """A row a sentence: the places of its bunsetu heads."""
     units = batch.column("units")

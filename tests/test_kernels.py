@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from kozue.operators import formats, tokens, treebank, trees
+from kozue.operators import formats, phrases, tokens, treebank, trees
 from kozue.operators.recognize import Options, recognised
-from kozue.plans import seed
+from kozue.plans import flow, seed
 from kozue.schema import ARROW_TOKEN
 from kozue.sources import conllu
 
@@ -140,3 +140,18 @@ def test_first_paths_equal_those_by_climbing():
         assert [(x["path"], x["below_last"]) for x in tokens.first_paths(batch).to_pylist()] == wanted
         if len(heads) > 1:
             assert [(x["path"], x["below_last"]) for x in tokens.first_paths(batch.slice(1)).to_pylist()] == wanted[1:]
+
+
+def test_phrase_spans_leave_the_stage_as_counts_by_length():
+    batch = lines(random.Random(7), "abcd efgh XY, 12", 400)
+    found = recognised(seed.annotated(batch), Options(markers=()), ("is_head", "label", "phrase_start", "phrase_end"))
+    rows = flow.token_rows(["is_head", "label", "phrase_start", "phrase_end"])(found).to_pylist()
+    wanted: dict[tuple, int] = {}
+    for x in rows:
+        if x["is_head"]:
+            key = x["label"], x["phrase_end"] - x["phrase_start"]
+            wanted[key] = wanted.get(key, 0) + 1
+    part = found
+    for step in phrases.span_counts:
+        part = step(part)
+    assert {(x["label"], x["n_words"]): x["n"] for x in part.to_pylist()} == wanted and part.num_rows == len(wanted)
